@@ -1,0 +1,8 @@
+"""Operators for building training corpora. Nothing else in the library imports this subpackage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need no copy of this package: the functions that run there travel with the plan.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
