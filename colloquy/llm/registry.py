@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import chat_digests, format_chats
 from .langid import identify
 from .sample import fold
+from .substrings import substring_dedup
 from .tables import table
 from .topk import exact_topk
 from .toxicity import toxicity
@@ -62,6 +63,31 @@ from n group by conv_id
 """
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup(docs, span=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP7_SQL = r"""
+with d as (
+  select row_number() over () as row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') as w from documents
+), s as (
+  select row_id, unnest(generate_series(1, len(w) - 34)) as p from d where len(w) >= 35
+), g as (
+  select s.row_id, s.p, array_to_string(d.w[s.p : s.p + 34], ' ') as words from s join d using (row_id)
+), r as (
+  select row_id, p from (select *, count(*) over (partition by words) as n from g) where n > 1
+), gone as (
+  select distinct row_id, unnest(generate_series(p, p + 34)) as p from r
+), x as (
+  select row_id, list(p) as gone from gone group by row_id
+)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(gone), 0) as bigint) as n_removed,
+  sha256(coalesce(array_to_string(case when gone is null then w else list_filter(w, lambda v, i: not list_contains(gone, i)) end, ' '), '')) as kept_sha256
+from d left join x using (row_id)
+"""
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 5) == 0
@@ -77,8 +103,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_topk": op1_exact_topk, "op3_chat_format": op3_chat_format, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
+    return {"op1_exact_topk": op1_exact_topk, "op3_chat_format": op3_chat_format, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op3_chat_format": OP3_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op3_chat_format": OP3_SQL, "op7_substring_dedup": OP7_SQL}
