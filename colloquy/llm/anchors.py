@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 from .tables import written
 from .words import Words, gram_positions, ints, minimisers, slices
 
+NO_ID = -(1 << 63)
 SCAN = "id bigint, c1 bigint, c2 bigint, n_words bigint, sha string, pos int, h bigint, own boolean"
 
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text and the two halves of the content's key."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(F.lit(1), text).alias("c1"), F.xxhash64(F.lit(2), text).alias("c2"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"), F.xxhash64(F.lit(1), text).alias("c1"), F.xxhash64(F.lit(2), text).alias("c2"))
 
 
 def kept_digest(words: Words, n: int, keep: np.ndarray | None = None) -> str:

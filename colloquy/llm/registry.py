@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat import chat_digests, format_chats
 from .langid import identify
+from .neardup import near_duplicates
 from .sample import fold
 from .substrings import substring_dedup
 from .tables import table
@@ -63,6 +64,10 @@ from n group by conv_id
 """
 
 
+def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup(docs, span=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -103,7 +108,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_topk": op1_exact_topk, "op3_chat_format": op3_chat_format, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
+    return {"op1_exact_topk": op1_exact_topk, "op3_chat_format": op3_chat_format, "op4_minhash_neardup": op4_minhash_neardup, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

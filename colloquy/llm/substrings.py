@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import covered, kept_digest, live_anchors, live_positions, live_windows
+from .anchors import NO_ID, covered, kept_digest, live_anchors, live_positions, live_windows
 from .tables import written
 from .words import Words, ints, slices, span_hashes
 
@@ -137,7 +137,7 @@ def substring_dedup(docs: DataFrame, span: int = 35, id_col: str = "doc_id", tex
     cut = cut.select("c1", "c2", "n_removed", "kept_sha256", "removed").unionByName(copied, allowMissingColumns=True)
     all_gone = F.coalesce("copied", F.lit(False)) & (F.col("n_words") >= span)
     return rows.join(cut, ["c1", "c2"], "left").select(
-        F.col("id").alias(id_col),
+        F.nullif(F.col("id"), F.lit(NO_ID)).alias(id_col),
         "n_words",
         F.when(all_gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(all_gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
