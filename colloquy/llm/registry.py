@@ -12,6 +12,7 @@ from .langid import identify
 from .neardup import near_duplicates
 from .sample import fold
 from .substrings import substring_dedup
+from .suffixes import repeated_runs
 from .tables import table
 from .topk import exact_topk
 from .toxicity import toxicity
@@ -68,6 +69,28 @@ def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), span=50).select("doc_id", "begin", "length")
+
+
+OP6_SQL = r"""
+with d as (
+  select row_number() over () as row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') as w from documents
+), s as (
+  select row_id, unnest(generate_series(1, len(w) - 49)) as p from d where len(w) >= 50
+), g as (
+  select s.row_id, s.p, array_to_string(d.w[s.p : s.p + 49], ' ') as words from s join d using (row_id)
+), r as (
+  select row_id, p from (select *, count(*) over (partition by words) as n from g) where n > 1
+), m as (
+  select *, case when p <= lag(p) over (partition by row_id order by p) + 50 then 0 else 1 end as begins from r
+), i as (
+  select *, sum(begins) over (partition by row_id order by p) as island from m
+)
+select doc_id, min(p) - 1 as begin, max(p) - min(p) + 50 as length from i join d using (row_id) group by doc_id, row_id, island
+"""
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup(docs, span=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -108,8 +131,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_topk": op1_exact_topk, "op3_chat_format": op3_chat_format, "op4_minhash_neardup": op4_minhash_neardup, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
+    return {"op1_exact_topk": op1_exact_topk, "op3_chat_format": op3_chat_format, "op4_minhash_neardup": op4_minhash_neardup, "op6_suffix_array_dedup": op6_suffix_array_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op3_chat_format": OP3_SQL, "op7_substring_dedup": OP7_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op3_chat_format": OP3_SQL, "op6_suffix_array_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL}
