@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chat_digests, format_chats
+from .decontaminate import contaminated
 from .langid import identify
 from .neardup import near_duplicates
 from .sample import fold
@@ -130,8 +131,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_topk": op1_exact_topk, "op3_chat_format": op3_chat_format, "op4_minhash_neardup": op4_minhash_neardup, "op6_suffix_array_dedup": op6_suffix_array_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
+    return {"op1_exact_topk": op1_exact_topk, "op3_chat_format": op3_chat_format, "op4_minhash_neardup": op4_minhash_neardup, "op6_suffix_array_dedup": op6_suffix_array_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:

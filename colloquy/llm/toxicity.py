@@ -30,14 +30,9 @@ from .words import Words, ints, slices
 PREFILTER = 1 << 20
 
 
-def normal(text):
-    """Lower case, and ends of words freed of punctuation."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[.,;:!?\"'()]+", " ")
-
-
 def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     """Distinct (text, word hash) pairs."""
-    words = Words(texts)
+    words = Words(texts, folded=True)
     text, h = words.text_of_word(), words.hashes
     order = np.lexsort((h, text))
     text, h = text[order], h[order]
@@ -93,7 +88,7 @@ def fit_nnpu(p: tuple, u: tuple, prior: float, epochs: int = 400, rate: float =
 
 
 def score_texts(texts: pa.Array, model: dict) -> np.ndarray:
-    words, n = Words(texts), len(texts)
+    words, n = Words(texts, folded=True), len(texts)
     if model["bias"] is None:
         return np.zeros(n)
     chosen = model["words"]
@@ -123,7 +118,7 @@ def toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, most: int
     model: dict = {"words": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": None}
     if any(1 in k for k in ids.values()):
         picked = F.broadcast(spark.createDataFrame([(k,) for k in ids], training.select(id_col).schema))
-        rows = training.join(picked, id_col, "left_semi").select(id_col, normal(F.col(text_col)).alias("text"))
+        rows = training.join(picked, id_col, "left_semi").select(id_col, F.col(text_col).alias("text"))
         sides: dict[int, list] = {0: [], 1: []}
         for part in rows.mapInArrow(sample_features, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, words array<bigint>").toLocalIterator():
             for k in ids[part[0]]:
@@ -142,7 +137,7 @@ def toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, most: int
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(score_texts(part.column("text"), held.value))], names=[id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), normal(F.col(text_col)).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
 def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

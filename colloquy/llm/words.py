@@ -48,6 +48,14 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[base]
 
 
+def fold_table() -> np.ndarray:
+    """Bytes with ASCII capitals lowered and ASCII punctuation, but for `_`, `-` and `$`, made spaces."""
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    table[np.frombuffer(b".,;:!?\"'()[]{}|*#%&", np.uint8)] = 32
+    return table
+
+
 def text_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One string array without nulls (a null text counts as empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -75,13 +83,15 @@ class Words:
     first: index of each text's first word (one more entry than texts); hashes: one per word.
     """
 
-    def __init__(self, column: pa.Array, seed: int = 1) -> None:
+    def __init__(self, column: pa.Array, seed: int = 1, folded: bool = False) -> None:
         texts = text_array(column)
         _, offsets, values = texts.buffers()
         n = len(texts)
         offs = np.frombuffer(offsets, dtype=np.int64, count=n + 1 + texts.offset)[texts.offset :] if offsets is not None and n else np.zeros(1, np.int64)
         low, high = int(offs[0]), int(offs[-1])
         self.data = np.frombuffer(values, dtype=np.uint8)[low:high] if values is not None and high > low else np.zeros(0, np.uint8)
+        if folded:
+            self.data = fold_table()[self.data]
         self.offs = offs - low
         inside = (self.data != 32) & ((self.data < 9) | (self.data > 13))
         edge = np.zeros(len(self.data) + 1, bool)
