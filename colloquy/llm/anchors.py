@@ -96,6 +96,7 @@ def live_anchors(docs: DataFrame, k: int, span: int, digest: bool, id_col: str,
     contents = rows.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("id").alias("last"))
     found = scan.where("pos is not null")
     often = found.groupBy("h").agg(F.min("c1").alias("least"), F.max("c1").alias("most"), F.max("own").alias("own"), F.count("*").alias("n")).where("least <> most or own").select("h", "n")
+    often = written(often, "often")  # then Spark can split the hot hashes of the join
     live = found.select("id", "c1", "pos", "h").join(often, "h")
     live = live.groupBy("id", "c1").agg(F.collect_list(F.struct("pos", "n", "h")).alias("live"))  # of one document
     live = live.join(contents.select(F.col("rep").alias("id"), "c1", "c2", "copies"), ["id", "c1"])

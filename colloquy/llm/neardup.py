@@ -166,6 +166,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 26, ro
     contents = some.groupBy("c1").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     bucket = some.select("c1", F.posexplode("bands")).select(F.xxhash64("pos", "col").alias("bucket"), "c1").distinct()
     full = bucket.groupBy("bucket").agg(F.min("c1").alias("least"), F.max("c1").alias("most")).where("least < most").select("bucket", "least")
+    bucket, full = written(bucket, "bands"), written(full, "full")  # then Spark can split the hot buckets of the join
     member = written(bucket.join(full, "bucket"), "buckets")
     groups = written(components(member, "c1", "least"), "groups")
     sizes = some.groupBy("c1").agg(F.max("size").alias("size"), F.min("id").alias("id"))
