@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .chat import chat_digests, format_chats
 from .decontaminate import contaminated
 from .langid import identify
+from .lines import line_decisions
 from .neardup import near_duplicates
+from .pieces import encode_texts
 from .sample import fold
 from .substrings import substring_dedup
 from .suffixes import repeated_runs
@@ -40,6 +42,10 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 """
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], rows.schema)
@@ -70,6 +76,10 @@ def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_decisions(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), span=50).select("doc_id", "begin", "length")
 
@@ -137,7 +147,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_topk": op1_exact_topk, "op3_chat_format": op3_chat_format, "op4_minhash_neardup": op4_minhash_neardup, "op6_suffix_array_dedup": op6_suffix_array_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op10_decontamination": op10_decontamination}
+    return {"op1_exact_topk": op1_exact_topk, "op2_sentencepiece": op2_sentencepiece, "op3_chat_format": op3_chat_format, "op4_minhash_neardup": op4_minhash_neardup, "op5_line_dedup": op5_line_dedup, "op6_suffix_array_dedup": op6_suffix_array_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
