@@ -1,6 +1,389 @@
-def queries():
-    return {}
+"""The queries over the driver's tables, each with the SQL that gives the same rows.
 
+The tables are structural analogs: customer stands for users, orders for conversations (and, with
+hashed keys, for refresh tokens), lineitem for messages to be counted, conversations for messages
+with text, events for hits of limiters and for JSON bodies.
+"""
 
-def oracle_sql():
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .functions import time as TM
+from .operators import limiters, relations, replies, versions
+from .plans.errors import CODES, error_codes
+from .plans.limits import limit_table
+from .sources.logs import log_line
+from .sources.requests import within_body_limit
+from .sources.tables import parquet_table as table
+from .sources.tables import readiness as engine_readiness
+
+DAY = 86_400
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def users(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("email"))
+
+
+def conversations(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("conversation_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("created_at"))
+
+
+def counted_messages(spark: SparkSession, d: str) -> DataFrame:
+    role = F.when(F.col("l_linestatus") == "O", "user").when(F.col("l_linestatus") == "F", "assistant").otherwise("system")
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("conversation_id"), role.alias("role"))
+
+
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+
+
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    made = TM.as_utc(F.col("o_orderdate"))
+    return table(spark, d, "orders").select(
+        X.token_hash(F.col("o_orderkey").cast("string")).alias("token_hash"),
+        F.col("o_custkey").alias("user_id"),
+        TM.plus_days(made, 7).alias("expires_at"),
+        F.when(F.col("o_orderstatus") == "F", made).alias("revoked_at"),
+        F.col("o_orderkey").alias("token_id"),
+    )
+
+
+TOKENS_SQL = """tokens as (
+  select sha256(cast(o_orderkey as varchar)) as token_hash, o_custkey as user_id, o_orderdate + interval 7 day as expires_at,
+    case when o_orderstatus = 'F' then o_orderdate end as revoked_at, o_orderkey as token_id from orders
+)"""
+AS_OF = "1996-06-01 00:00:00"
+
+
+def as_of():
+    return F.lit(AS_OF).cast("timestamp")
+
+
+@query("""
+select c_custkey as user_id,
+  (select count(*) from orders o where o.o_custkey = c.c_custkey) as conversation_count,
+  (select count(*) from orders o join lineitem l on l.l_orderkey = o.o_orderkey where o.o_custkey = c.c_custkey) as message_count,
+  (select count(*) from orders o join lineitem l on l.l_orderkey = o.o_orderkey where o.o_custkey = c.c_custkey and l_linestatus = 'O') as user_message_count,
+  (select count(*) from orders o join lineitem l on l.l_orderkey = o.o_orderkey where o.o_custkey = c.c_custkey and l_linestatus = 'F') as assistant_message_count
+from customer c""")
+def usage_summary(spark, d):
+    return relations.usage_summary(users(spark, d), conversations(spark, d), counted_messages(spark, d))
+
+
+@query("""
+with c as (
+  select o_orderkey as conversation_id, o_custkey as user_id, o_orderdate as created_at, count(l_orderkey) as message_count
+  from orders left join lineitem on l_orderkey = o_orderkey group by 1, 2, 3
+) select *, row_number() over (partition by user_id order by created_at desc, conversation_id desc) as newest_rank from c""")
+def conversation_list(spark, d):
+    return relations.conversation_list(conversations(spark, d), counted_messages(spark, d))
+
+
+@query("""
+select conv_id, string_agg(role || ':' || text, '|' order by turn) as history, count(*) as n from conversations group by conv_id""")
+def conversation_history(spark, d):
+    t = turns(spark, d)
+    nested = relations.histories(t.select("conv_id").distinct(), t, "conv_id", ["turn"], ["role", "text"])
+    return nested.select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["text"])), "|").alias("history"), F.size("messages").cast("long").alias("n"))
+
+
+@query("select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn) as position from conversations")
+def history_rows(spark, d):
+    return relations.history_rows(turns(spark, d), "conv_id", ["turn"])
+
+
+@query("select c_custkey as user_id, c_name as email from customer where c_name = 'Customer#000000007'")
+def user_by_email(spark, d):
+    return relations.by_key(users(spark, d), "email", "Customer#000000007")
+
+
+@query("select o_orderkey as conversation_id, o_custkey as user_id, o_orderdate as created_at from orders where o_orderkey = 7 and o_custkey = (select o_custkey from orders where o_orderkey = 7)")
+def owned_conversation(spark, d):
+    c = conversations(spark, d)
+    return c.where("conversation_id = 7").join(users(spark, d).select("user_id"), "user_id", "left_semi").select(c.columns)
+
+
+@query("""
+select o.o_orderkey as conversation_id, o.o_custkey + o.o_orderkey % 2 as user_id, m.o_orderdate as created_at,
+  case when m.o_orderkey is null then 'chat_conversation_missing' end as error
+from orders o left join orders m on m.o_orderkey = o.o_orderkey and m.o_custkey = o.o_custkey + o.o_orderkey % 2""")
+def owned_lookup(spark, d):
+    """Every other request asks for another user's conversation."""
+    c = conversations(spark, d)
+    asked = c.select("conversation_id", (F.col("user_id") + F.col("conversation_id") % 2).alias("user_id"))
+    return relations.looked_up(asked, c, ["conversation_id", "user_id"], ["created_at"])
+
+
+REPLY_SQL = """replies as (
+  select conv_id, 'Mock assistant reply: ' || arg_max(text, turn) as reply from conversations where role = 'user' group by conv_id
+), w as (select conv_id, reply, string_split(reply, ' ') as w from replies), chunks as (
+  select conv_id, 0 as seq, w[1] || ' ' as chunk from w union all select conv_id, 1, w[2] || ' ' from w
+  union all select conv_id, 2, array_to_string(w[3:], ' ') from w
+)"""
+
+
+@query(f"with {REPLY_SQL} select conv_id, reply from replies")
+def mock_reply(spark, d):
+    return replies.mock_replies(turns(spark, d))
+
+
+@query(f"with {REPLY_SQL} select conv_id, cast(seq as bigint) as seq, chunk from chunks")
+def reply_chunks(spark, d):
+    return replies.reply_chunks(replies.mock_replies(turns(spark, d)))
+
+
+@query(f"with {REPLY_SQL} select conv_id, string_agg(chunk, '' order by seq) as reply from chunks where length(chunk) > 0 group by conv_id")
+def rejoined_reply(spark, d):
+    return replies.rejoined(replies.without_empty(reply_chunks(spark, d)))
+
+
+EVENTS_SQL = f"""{REPLY_SQL}, asked as (
+  select conv_id, arg_max(text, turn) as user_message, conv_id % 5 = 0 as stop from conversations where role = 'user' group by conv_id
+), sent as (select c.*, stop from chunks c join asked using (conv_id) where not stop or seq = 0), streamed as (
+  select conv_id, 0 as seq, 'metadata' as event, conv_id || '/' || user_message as content from asked
+  union all select conv_id, seq + 1, 'chunk', chunk from sent
+  union all select conv_id, case when stop then 2 else 4 end, case when stop then 'error' else 'done' end, case when stop then 'provider_stream_interrupted' else 'complete' end from asked
+)"""
+
+
+def asked_and_events(spark, d):
+    asked = replies.latest_user_turns(turns(spark, d)).withColumnRenamed("latest", "user_message")
+    chunks = reply_chunks(spark, d)
+    return asked, chunks, replies.stream_events(asked, chunks, F.col("conv_id") % 5 == 0)
+
+
+@query(f"with {EVENTS_SQL} select conv_id, cast(seq as bigint) as seq, event, content from streamed")
+def stream_events(spark, d):
+    """The JSON data are compared by what they hold."""
+    events = asked_and_events(spark, d)[2]
+    got = F.from_json("data", "conversation_id string, user_message string, content string, code string, status string")
+    content = F.coalesce(F.concat_ws("/", got["conversation_id"], got["user_message"], got["content"], got["code"], got["status"]))
+    return events.select("conv_id", "seq", "event", content.alias("content"))
+
+
+@query(f"with {EVENTS_SQL} select conv_id, 'user' as role, user_message as content from asked union all select conv_id, 'assistant', reply from replies join asked using (conv_id) where not stop")
+def persisted_turns(spark, d):
+    return replies.persisted_turns(*asked_and_events(spark, d))
+
+
+@query("select doc_id, coalesce(substr(text, 1, 80), 'Untitled conversation') as title, length(text) between 1 and 4000 as length_ok, n_chars <= 16384 as body_ok from documents")
+def message_checks(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", X.title_of(t).alias("title"), X.length_between(t, 1, 4000).alias("length_ok"), within_body_limit(F.col("n_chars")).alias("body_ok"))
+
+
+@query(r"""
+select doc_id, regexp_replace(x, '^[ \t\n\r\f\v\x{1c}-\x{1f}\x{85}\p{Z}]+|[ \t\n\r\f\v\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g') as stripped
+from (select doc_id, chr(160) || chr(9) || text || chr(12288) || chr(8203) || chr(10) as x from documents)""")
+def normalized_text(spark, d):
+    padded = F.concat(F.lit(" \t"), "text", F.lit("　​\n"))
+    return table(spark, d, "documents").select("doc_id", X.strip(padded).alias("stripped"))
+
+
+@query("select conv_id, turn, sha256(text) as token_hash from conversations")
+def token_hashes(spark, d):
+    return turns(spark, d).select("conv_id", "turn", X.token_hash(F.col("text")).alias("token_hash"))
+
+
+@query(f"with {TOKENS_SQL} select token_id, token_hash, user_id from tokens where revoked_at is null and expires_at > timestamp '{AS_OF}'")
+def active_tokens_as_of(spark, d):
+    return versions.active_tokens(tokens(spark, d), as_of()).select("token_id", "token_hash", "user_id")
+
+
+@query(f"""with {TOKENS_SQL} select token_id, token_hash,
+  coalesce(epoch_us(case when token_id % 3 = 0 and revoked_at is null then timestamp '{AS_OF}' else revoked_at end), -1) as revoked_us from tokens""")
+def revoke_tokens(spark, d):
+    t = tokens(spark, d)
+    return versions.revoked(t, t.where("token_id % 3 = 0"), as_of()).select("token_id", "token_hash", F.coalesce(F.unix_micros("revoked_at"), F.lit(-1)).alias("revoked_us"))
+
+
+@query(f"""with {TOKENS_SQL}, live as (
+  select * from tokens where token_id % 4 = 0 and revoked_at is null and expires_at > timestamp '{AS_OF}'
+) select token_hash, user_id, epoch_us(expires_at) as expires_us,
+  coalesce(epoch_us(case when token_hash in (select token_hash from live) then timestamp '{AS_OF}' else revoked_at end), -1) as revoked_us from tokens
+union all select sha256('new-' || token_id), user_id, epoch_us(timestamp '{AS_OF}' + interval 7 day), -1 from live""")
+def rotate_tokens(spark, d):
+    t = tokens(spark, d)
+    presented = t.where("token_id % 4 = 0").select("token_hash", F.concat(F.lit("new-"), "token_id").alias("new_token"))
+    return versions.rotated(t, presented, as_of(), 7).select("token_hash", "user_id", F.unix_micros("expires_at").alias("expires_us"), F.coalesce(F.unix_micros("revoked_at"), F.lit(-1)).alias("revoked_us"))
+
+
+FIRST_HIT_SQL = """
+with recursive h as (
+  select event_type, user_id, event_id, epoch_us(ts) as t, row_number() over (partition by event_type, user_id order by ts, event_id) as n from events
+), f as (
+  select event_type, user_id, event_id, n, t as open, 1 as used, true as allowed from h where n = 1
+  union all
+  select h.event_type, h.user_id, h.event_id, h.n, case when h.t >= f.open + 86400000000 then h.t else f.open end,
+    case when h.t >= f.open + 86400000000 then 1 when f.used < 2 then f.used + 1 else f.used end,
+    h.t >= f.open + 86400000000 or f.used < 2
+  from f join h on h.event_type = f.event_type and h.user_id = f.user_id and h.n = f.n + 1
+) select event_type, user_id, event_id, allowed from f"""
+HIT_KEYS = ["event_type", "user_id"]
+
+
+@query(FIRST_HIT_SQL)
+def limiter_first_hit(spark, d):
+    return limiters.first_hit_windows(table(spark, d, "events"), HIT_KEYS, 2, DAY).drop("ts")
+
+
+@query(FIRST_HIT_SQL)
+def limiter_first_hit_streamed(spark, d):
+    return limiters.first_hit_windows_streamed(table(spark, d, "events"), HIT_KEYS, 2, DAY).drop("ts")
+
+
+@query("""
+select event_type, user_id, event_id, row_number() over (partition by event_type, user_id, epoch_us(ts) // 86400000000 order by ts, event_id) <= 2 as allowed from events""")
+def limiter_epoch(spark, d):
+    return limiters.epoch_windows(table(spark, d, "events"), HIT_KEYS, 2, DAY).drop("ts")
+
+
+@query()
+def proxy_limit(spark, d):
+    return limiters.leaky_bucket(table(spark, d, "events"), ["event_type"], 30, 20)
+
+
+@query("""
+select * from (values ('auth_register', 'rate', 5, 60, 'rate_limit_exceeded'), ('auth_token', 'rate', 10, 60, 'rate_limit_exceeded'),
+  ('chat_messages', 'rate', 30, 60, 'rate_limit_exceeded'), ('chat_stream', 'rate', 15, 60, 'rate_limit_exceeded'),
+  ('chat', 'quota', 100, 3600, 'quota_exceeded'), ('chat_stream', 'quota', 50, 3600, 'quota_exceeded')) t(action, kind, "limit", window_seconds, error)""")
+def limit_parameters(spark, d):
+    return limit_table(spark)
+
+
+@query("""
+select 2 * c_custkey + 1000000 as user_id, c_name || '-new' as email from customer where c_custkey % 2 = 1""")
+def register_dedupe(spark, d):
+    """Users of even keys exist; all come again twice, the odd ones under new names."""
+    u = users(spark, d)
+    there = u.where("user_id % 2 = 0")
+    again = u.select(F.when(F.col("user_id") % 2 == 0, F.col("email")).otherwise(F.concat("email", F.lit("-new"))).alias("email"), (F.col("user_id") * 2 + 1_000_000).alias("user_id"))
+    incoming = again.withColumn("arrival", F.col("user_id")).unionByName(again.withColumn("arrival", F.col("user_id") + 1))
+    return versions.new_users(there, incoming).select("user_id", "email")
+
+
+@query("""
+select o_orderkey as conversation_id, o_custkey as user_id, 'Untitled conversation' as title from orders where o_orderkey % 10 = 0
+union all select o_orderkey, o_custkey, o_orderpriority from orders where o_orderkey % 10 <> 0""")
+def insert_defaults(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("conversation_id"), F.col("o_custkey").alias("user_id"), F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderpriority")).alias("title"))
+    return versions.inserted(rows.limit(0), rows.withColumn("title", X.title_of(F.col("title"))))
+
+
+@query("""
+select r.conv_id as request_id, r.conv_id % 50 + 1 as user_id, case when r.conv_id % 3 > 0 then r.conv_id + 1 else -1 end as conversation_id,
+  case when r.conv_id % 3 = 0 then substr(r.text, 1, 80) else o.o_orderpriority end as title,
+  case when r.conv_id % 3 = 0 then 'created' when o.o_orderkey is not null then 'loaded' else 'chat_conversation_missing' end as outcome
+from conversations r left join orders o on r.conv_id % 3 > 0 and o.o_orderkey = r.conv_id + 1 and o.o_custkey = r.conv_id % 50 + 1 where r.turn = 0""")
+def load_or_create(spark, d):
+    there = table(spark, d, "orders").select(F.col("o_orderkey").alias("conversation_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("title"))
+    i = F.col("conv_id")
+    asked = turns(spark, d).where("turn = 0").select(i.alias("request_id"), (i % 50 + 1).alias("user_id"), F.when(i % 3 > 0, i + 1).alias("conversation_id"), F.col("text").alias("message"))
+    return versions.loaded_or_created(asked, there).withColumn("conversation_id", F.coalesce("conversation_id", F.lit(-1)))
+
+
+@query("""
+select 'users' as what, count(*) as n from customer where c_custkey % 7 <> 0
+union all select 'conversations', count(*) from orders where o_custkey % 7 <> 0
+union all select 'messages', count(*) from lineitem join orders on l_orderkey = o_orderkey where o_custkey % 7 <> 0
+union all select 'refresh_tokens', count(*) from orders where o_custkey % 7 <> 0""")
+def cascade_delete(spark, d):
+    left = versions.deleted_with_children({"users": users(spark, d), "conversations": conversations(spark, d), "messages": counted_messages(spark, d), "refresh_tokens": tokens(spark, d)}, users(spark, d).where("user_id % 7 = 0").select("user_id"))
+    parts = [frame.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, frame in left.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+@query("select l_orderkey as conversation_id, count(*) as n from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderkey % 9 <> 0) group by 1")
+def orphans(spark, d):
+    parents = conversations(spark, d).where("conversation_id % 9 <> 0")
+    return relations.orphans(counted_messages(spark, d), parents, "conversation_id", "conversation_id").groupBy("conversation_id").agg(F.count("*").alias("n"))
+
+
+@query("""
+select o_orderkey as conversation_id, c_name as email from orders join customer on c_custkey = o_custkey""")
+def conversation_owner(spark, d):
+    return conversations(spark, d).join(users(spark, d), "user_id").select("conversation_id", "email")
+
+
+@query("""
+with a as (
+  select event_id // 3 as request_id, event_id % 3 as attempt,
+    case when event_type in ('click', 'view') then 'provider_unavailable' when event_type = 'purchase' then 'provider_timeout' end as code, 0 as emitted from events
+), t as (select * from a where attempt <= 1), s as (
+  select *, code is null or code <> 'provider_unavailable' or attempt = 1 as stops from t
+), p as (
+  select *, row_number() over (partition by request_id order by case when stops then 0 else 1 end, case when stops then attempt else -attempt end) as n from s
+) select request_id, attempt, code, attempt + 1 as attempts_made from p where n = 1""")
+def retry_outcome(spark, d):
+    e = table(spark, d, "events")
+    code = F.when(F.col("event_type").isin("click", "view"), "provider_unavailable").when(F.col("event_type") == "purchase", "provider_timeout")
+    attempts = e.select(F.floor(F.col("event_id") / 3).alias("request_id"), (F.col("event_id") % 3).alias("attempt"), code.alias("code"), F.lit(0).alias("emitted"))
+    return replies.retry_outcomes(attempts, 1)
+
+
+@query("select * from (values " + ", ".join(f"('{c}', {s})" for c, s in CODES) + ") t(code, http_status)")
+def error_code_table(spark, d):
+    return error_codes(spark)
+
+
+@query("select true as database_ready, 'ready' as status")
+def readiness(spark, d):
+    return engine_readiness(spark)
+
+
+@query("""
+select event_id, case when epoch_us(ts) % 1000000 = 0 then strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') else strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') end as iso,
+  cast(json_extract_string(props, '$.k') as bigint) as k, epoch_us(ts + interval 30 day) as later_us from events""")
+def event_times(spark, d):
+    ts = TM.as_utc(F.col("ts"))
+    return table(spark, d, "events").select("event_id", TM.iso_format(ts).alias("iso"), F.from_json("props", "k long")["k"].alias("k"), F.unix_micros(TM.plus_days(ts, 30)).alias("later_us"))
+
+
+@query("""
+select event_id, json_extract_string(l, '$.level') as level, json_extract_string(l, '$.path') as path from (
+  select event_id, case when event_id % 2 = 0 then json_object('level', 'INFO', 'path', '/' || event_type) else json_object('level', 'INFO') end as l from events)""")
+def log_lines(spark, d):
+    e = table(spark, d, "events")
+    rows = e.select("event_id", TM.iso_format(F.col("ts")).alias("timestamp"), F.lit("INFO").alias("level"), F.lit("api").alias("logger"), F.col("event_type").alias("message"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("/"), "event_type")).alias("path"))
+    line = F.from_json(log_line(rows), "level string, path string")
+    return rows.select("event_id", line["level"].alias("level"), line["path"].alias("path"))
+
+
+@query("select conv_id, turn, case when role in ('user', 'assistant', 'system') then role else 'developer' end as payload_role, 'Mock assistant reply: ' || text as said from conversations")
+def payload_roles(spark, d):
+    return turns(spark, d).select("conv_id", "turn", relations.payload_role(F.col("role")).alias("payload_role"), F.concat(F.lit(X.REPLY_PREFIX), "text").alias("said"))
+
+
+@query("select conv_id, turn, json_quote(text) as literal from (select conv_id, turn, regexp_replace(text, '[^ -~\n]', '?', 'g') as text from conversations)")
+def json_literals(spark, d):
+    plain = F.regexp_replace("text", r"[^ -~\n]", "?")
+    return turns(spark, d).select("conv_id", "turn", X.python_json_string(plain).alias("literal"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
