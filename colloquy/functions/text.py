@@ -63,7 +63,7 @@ def python_json_string(text: Column) -> Column:
         one = F.concat(F.lit("\\u"), F.lower(F.substring(units, 1, 4)))
         two = F.when(F.length(units) > 4, F.concat(F.lit("\\u"), F.lower(F.substring(units, 5, 4)))).otherwise(F.lit(""))
         named = F.when(ch == '"', F.lit('\\"')).when(ch == "\\", F.lit("\\\\")).when(ch == "\n", F.lit("\\n")).when(ch == "\r", F.lit("\\r")).when(ch == "\t", F.lit("\\t")).when(ch == "\b", F.lit("\\b")).when(ch == "\f", F.lit("\\f"))
-        return named.when((code >= 32) & (code < 127), ch).when(code == 127, ch).otherwise(F.concat(one, two))
+        return named.when((code >= 32) & (code < 127), ch).otherwise(F.concat(one, two))
 
     plain = ~text.rlike(r'[^\x20-\x7e]|["\\]')
     return F.concat(F.lit('"'), F.when(plain, text).otherwise(F.array_join(F.transform(F.split(text, ""), escaped), "")), F.lit('"'))
