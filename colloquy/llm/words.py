@@ -16,7 +16,16 @@ import pyarrow.compute as pc
 U = np.uint64
 SLICE_BYTES = 4 << 20
 _BASE, _GRAM = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+class Cache(dict):
+    """Made anew in each process: what it holds does not travel with the functions that use it."""
+
+    def __reduce__(self):
+        return (Cache, ())
+
+
+_POWERS = Cache()
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
