@@ -7,7 +7,7 @@ block, and the blocks are concatenated:
 
 An assistant's block ends with ``</s>``, others with ``[/role]``; ``[next]`` stands between turns
 that a block merges. In texts and roles ``&``, ``<`` and ``[`` are written as ``&amp;``, ``&lt;`` and
-``&lsb;``, so no text can hold a control string and the texts can be read back.
+``&lsb;`` (in roles ``]`` as ``&rsb;`` too), so no text can hold a control string and the texts can be read back.
 
 Defined results: a null text or role is empty; a null turn sorts first; rows of equal turn sort by
 role, then text; repeated rows are turns of their own; a null conv_id is a conversation of its own;
@@ -28,6 +28,14 @@ def unescaped(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&lsb;"), F.lit("[")), F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
 
 
+def escaped_role(role: Column) -> Column:
+    return F.replace(escaped(role), F.lit("]"), F.lit("&rsb;"))
+
+
+def unescaped_role(role: Column) -> Column:
+    return unescaped(F.replace(role, F.lit("&rsb;"), F.lit("]")))
+
+
 def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
     """Rows (conv_id, formatted, loss_spans): loss_spans has begin (from 1) and length, in code points
     of ``formatted``, of each text of ``loss_role``."""
@@ -42,7 +50,7 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
         """What stands before, in and after the text of a turn; blocks of a role are merged here."""
         begins = (i == 0) | (F.try_element_at(F.col("t"), F.greatest(i, F.lit(1)))["role"] != x["role"])
         ends = (i + 1 == last) | (F.try_element_at(F.col("t"), F.least(i + 2, last))["role"] != x["role"])
-        role = escaped(x["role"])
+        role = escaped_role(x["role"])
         return F.struct(
             F.when(begins, F.concat(F.lit("<s>["), role, F.lit("]"))).otherwise(F.lit("[next]")).alias("open"),
             escaped(x["text"]).alias("body"),
@@ -74,7 +82,7 @@ def read_chats(formatted: DataFrame) -> DataFrame:
         body = F.substr(b, F.length(role) + 3)
         close = F.when(body.endswith("</s>"), F.lit(4)).otherwise(F.length(role) + 3)
         inner = F.substr(body, F.lit(1), F.length(body) - close)
-        return F.transform(F.split(inner, r"\[next\]", -1), lambda x: F.struct(unescaped(role).alias("role"), unescaped(x).alias("text")))
+        return F.transform(F.split(inner, r"\[next\]", -1), lambda x: F.struct(unescaped_role(role).alias("role"), unescaped(x).alias("text")))
 
     loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substr(F.col("formatted"), s["begin"].cast("int"), s["length"].cast("int")))), "")
     return formatted.select("conv_id", F.flatten(F.transform(blocks, of_block)).alias("turns"), loss.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))

@@ -58,7 +58,7 @@ with t as (
   union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), n as (
   select *, length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&lsb;')) as n_text,
-    length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&lsb;')) as n_role,
+    length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&lsb;'), ']', '&rsb;')) as n_role,
     lag(role) over w is distinct from role as begins, lead(role) over w is distinct from role as ends
   from t window w as (partition by conv_id order by turn nulls first, role, text)
 )

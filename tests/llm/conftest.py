@@ -1,0 +1,33 @@
+import pytest
+from pyspark.sql import types as T
+
+TEXTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+
+
+@pytest.fixture
+def docs(spark):
+    """Documents from a list of texts (ids count from 0) or of (id, text), with clashing extra columns."""
+
+    def made(rows, extra=True):
+        rows = [r if isinstance(r, tuple) else (i, r) for i, r in enumerate(rows)]
+        frame = spark.createDataFrame(rows, TEXTS)
+        if extra:
+            for name in ("id", "score", "pos", "h", "rank", "c", "n", "label"):
+                frame = frame.selectExpr("*", f"'x' as {name}")
+        return frame
+
+    return made
+
+
+@pytest.fixture(scope="session")
+def prose():
+    import random
+
+    source = random.Random(5)
+    words = ["".join(source.choice("abcdefghiklmnoprstu") for _ in range(source.randint(2, 8))) for _ in range(4000)]
+
+    def text(n, seed):
+        r = random.Random(seed)
+        return " ".join(r.choice(words) for _ in range(n))
+
+    return text
