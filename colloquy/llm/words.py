@@ -58,7 +58,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fold_table() -> np.ndarray:
-    """Bytes with ASCII capitals lowered and ASCII punctuation, but for `_`, `-` and `$`, made spaces."""
+    """Bytes with ASCII capitals lowered (Words lowers those of Latin-1 too) and ASCII punctuation, but for `_`, `-` and `$`, made spaces."""
     table = np.arange(256, dtype=np.uint8)
     table[65:91] += 32
     table[np.frombuffer(b".,;:!?\"'()[]{}|*#%&", np.uint8)] = 32
@@ -100,7 +100,10 @@ class Words:
         low, high = int(offs[0]), int(offs[-1])
         self.data = np.frombuffer(values, dtype=np.uint8)[low:high] if values is not None and high > low else np.zeros(0, np.uint8)
         if folded:
-            self.data = fold_table()[self.data]
+            raw = self.data
+            self.data = fold_table()[raw]
+            after = raw[1:]  # of U+00C0 to U+00DE, whose first byte is C3, the small letters are 32 on
+            self.data[1:][(raw[:-1] == 0xC3) & (after >= 0x80) & (after <= 0x9E) & (after != 0x97)] += 32
         self.offs = offs - low
         inside = (self.data != 32) & ((self.data < 9) | (self.data > 13))
         edge = np.zeros(len(self.data) + 1, bool)
