@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import REPLY_PREFIX, python_json_string, words_after
 
-Reply = Callable[[list[dict]], str]
-Chunks = Callable[[list[dict]], Iterator[str]]
-
-
 def latest_user_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """(key, latest): conversations without a user turn are left out."""
     return turns.where(F.col("role") == "user").groupBy(key).agg(F.max_by("text", order).alias("latest"))
@@ -54,7 +50,7 @@ def stream_events(requests: DataFrame, chunks: DataFrame, interrupted: Column, k
         key,
         (F.coalesce("last", F.lit(-1)) + 2).cast("long").alias("seq"),
         F.when(F.col("_stop"), "error").otherwise("done").alias("event"),
-        F.when(F.col("_stop"), '{"detail": "Mock provider stream interrupted.", "code": "provider_stream_interrupted"}').otherwise('{"status": "complete"}').alias("data"),
+        F.when(F.col("_stop"), '{"detail": "LLM provider stream interrupted.", "code": "provider_stream_interrupted"}').otherwise('{"status": "complete"}').alias("data"),
     )
     return meta.unionByName(parts).unionByName(end)
 
@@ -92,53 +88,124 @@ class ProviderError(Exception):
         self.code = code
 
 
-def _mock(turns: list[dict]) -> str:
-    return REPLY_PREFIX + next(t["content"] for t in reversed(turns) if t["role"] == "user")
+class Provider:
+    """A plug-in: a reply, or its chunks, from the turns of a conversation (dicts of role and content)."""
+
+    def reply(self, turns: list[dict]) -> str:
+        raise NotImplementedError
+
+    def chunks(self, turns: list[dict]) -> Iterator[str]:
+        yield self.reply(turns)
+
+
+class Mock(Provider):
+    def reply(self, turns: list[dict]) -> str:
+        return REPLY_PREFIX + next(t["content"] for t in reversed(turns) if t["role"] == "user")
+
+    def chunks(self, turns: list[dict]) -> Iterator[str]:
+        first, second, *rest = self.reply(turns).split(" ")
+        yield from (first + " ", second + " ", " ".join(rest))
+
+
+class Failing(Provider):
+    """Fails with a code, the chunks after ``sent`` have gone out."""
+
+    def __init__(self, code: str, sent: tuple[str, ...] = (), late_code: str = "") -> None:
+        self.code, self.sent, self.late_code = code, sent, late_code
+
+    def reply(self, turns: list[dict]) -> str:
+        raise ProviderError(self.code)
+
+    def chunks(self, turns: list[dict]) -> Iterator[str]:
+        yield from self.sent
+        raise ProviderError(self.late_code or self.code)
 
 
-def _fails(code: str) -> Reply:
-    def reply(turns: list[dict]) -> str:
-        raise ProviderError(code)
+class Flaky(Mock):
+    """Fails at its first call only."""
 
-    return reply
+    def __init__(self) -> None:
+        self.calls = 0
 
+    def reply(self, turns: list[dict]) -> str:
+        self.calls += 1
+        if self.calls == 1:
+            raise ProviderError("provider_unavailable")
+        return super().reply(turns)
 
-#: Names of the built-in providers.
-PROVIDERS: dict[str, Reply] = {"mock": _mock, "failing-mock": _fails("provider_unavailable"), "partial-failing-mock": _fails("provider_stream_interrupted"), "timeout-mock": _fails("provider_timeout")}
 
+#: Names of the built-in providers. Each request gets a provider of its own.
+PROVIDERS: dict[str, Callable[[], Provider]] = {
+    "mock": Mock,
+    "failing-mock": lambda: Failing("provider_unavailable"),
+    "partial-failing-mock": lambda: Failing("provider_unavailable", ("Mock ",), "provider_stream_interrupted"),
+    "flaky-mock": Flaky,
+    "timeout-mock": lambda: Failing("provider_timeout"),
+}
 
-def provider(name: str, extra: dict[str, Reply] | None = None) -> Reply:
-    known = PROVIDERS | (extra or {})
-    return known.get(name.strip().lower(), _fails("provider_unsupported"))
 
+def provider(name: str, extra: dict[str, Callable[[], Provider]] | None = None) -> Callable[[], Provider]:
+    """What makes providers of that name; unknown names make providers that fail."""
+    return (PROVIDERS | (extra or {})).get(name.strip().lower(), lambda: Failing("provider_unsupported"))
 
-def reliable(reply: Reply, max_retries: int = 1) -> Callable[[list[dict]], tuple[str | None, str | None, int]]:
-    """(reply, error code, attempts) of a provider, tried again only when it is unavailable."""
 
-    def call(turns: list[dict]) -> tuple[str | None, str | None, int]:
-        code = None
-        for attempt in range(max_retries + 1):
-            try:
-                return reply(turns), None, attempt + 1
-            except ProviderError as failed:
-                code = failed.code
-            except TimeoutError:
-                code = "provider_timeout"
-            if code != "provider_unavailable":
-                break
-        return None, code, attempt + 1
+def code_of(failed: Exception) -> str:
+    return failed.code if isinstance(failed, ProviderError) else "provider_timeout"
 
-    return call
 
+def reliable_reply(made: Provider, turns: list[dict], max_retries: int) -> tuple[str | None, str | None, int]:
+    """(reply, error code, attempts); tried again only when the provider is unavailable."""
+    code = None
+    for attempt in range(max_retries + 1):
+        try:
+            return made.reply(turns), None, attempt + 1
+        except (ProviderError, TimeoutError) as failed:
+            code = code_of(failed)
+        if code != "provider_unavailable":
+            break
+    return None, code, attempt + 1
 
-def provider_replies(histories: DataFrame, reply: Reply, max_retries: int = 1, key: str = "conv_id") -> DataFrame:
+
+def reliable_chunks(made: Provider, turns: list[dict], max_retries: int) -> Iterator[tuple[str, str]]:
+    """(event, data): chunks, then done or error; tried again only before the first chunk."""
+    for attempt in range(max_retries + 1):
+        sent = False
+        try:
+            for chunk in made.chunks(turns):
+                sent = True
+                yield "chunk", chunk
+        except (ProviderError, TimeoutError) as failed:
+            if sent or attempt == max_retries or code_of(failed) != "provider_unavailable":
+                yield "error", code_of(failed)
+                return
+        else:
+            yield "done", ""
+            return
+
+
+def _turns(column: pd.Series) -> list[list[dict]]:
+    return [[dict(t) if isinstance(t, dict) else t.asDict() for t in turns] for turns in column]
+
+
+def provider_replies(histories: DataFrame, make: Callable[[], Provider], max_retries: int = 1, key: str = "conv_id") -> DataFrame:
     """(key, reply, error, attempts) of histories(key, messages array<struct<role,content>>) by a Python plug-in."""
-    call = reliable(reply, max_retries)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [call([dict(t) if isinstance(t, dict) else t.asDict() for t in turns]) for turns in pdf["messages"]]
+            got = [reliable_reply(make(), turns, max_retries) for turns in _turns(pdf["messages"])]
             yield pd.DataFrame({key: pdf[key], "reply": [g[0] for g in got], "error": [g[1] for g in got], "attempts": [g[2] for g in got]})
 
     kind = histories.schema[key].dataType.simpleString()
     return histories.select(key, "messages").mapInPandas(run, f"`{key}` {kind}, reply string, error string, attempts int")
+
+
+def provider_chunks(histories: DataFrame, make: Callable[[], Provider], max_retries: int = 1, key: str = "conv_id") -> DataFrame:
+    """(key, seq, event, data) of the same histories: chunks, then done or error (data: its code)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, n, *e) for k, turns in zip(pdf[key], _turns(pdf["messages"]), strict=True) for n, e in enumerate(reliable_chunks(make(), turns, max_retries))]
+            yield pd.DataFrame(rows, columns=[key, "seq", "event", "data"])
+
+    kind = histories.schema[key].dataType.simpleString()
+    return histories.select(key, "messages").mapInPandas(run, f"`{key}` {kind}, seq long, event string, data string")

@@ -52,10 +52,22 @@ def test_retries(spark):
 
 def test_plug_ins(spark):
     histories = spark.createDataFrame([(1, [("user", "Hi")])], "conv_id long, messages array<struct<role:string,content:string>>")
-    calls = {"mock": ("Mock assistant reply: Hi", None, 1), "failing-mock": (None, "provider_unavailable", 2), "timeout-mock": (None, "provider_timeout", 1), "nope": (None, "provider_unsupported", 1)}
+    calls = {
+        "mock": ("Mock assistant reply: Hi", None, 1),
+        "failing-mock": (None, "provider_unavailable", 2),
+        "partial-failing-mock": (None, "provider_unavailable", 2),
+        "flaky-mock": ("Mock assistant reply: Hi", None, 2),
+        "timeout-mock": (None, "provider_timeout", 1),
+        "nope": (None, "provider_unsupported", 1),
+    }
     for name, expected in calls.items():
         r = replies.provider_replies(histories, replies.provider(name)).first()
         assert (r.reply, r.error, r.attempts) == expected
+    whole = [("chunk", "Mock "), ("chunk", "assistant "), ("chunk", "reply: Hi"), ("done", "")]
+    streams = {"mock": whole, "flaky-mock": whole, "partial-failing-mock": [("chunk", "Mock "), ("error", "provider_stream_interrupted")], "failing-mock": [("error", "provider_unavailable")]}
+    for name, expected in streams.items():
+        rows = replies.provider_chunks(histories, replies.provider(name)).orderBy("seq").collect()
+        assert [(r.event, r.data) for r in rows] == expected
 
 
 def test_schema_versions(spark):
