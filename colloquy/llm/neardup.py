@@ -34,7 +34,7 @@ from .words import U, Words, ints, mix, slices, span_hashes
 SHINGLE = 5
 UNIT = 2_000_000
 NO_ID = -(1 << 63)
-SKETCH_BYTES = 8 << 20
+SKETCH_BYTES = 4 << 20
 
 
 def distinct_shingles(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
