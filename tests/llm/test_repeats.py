@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from colloquy.llm.lines import alike, dedup_lines, line_decisions
+from colloquy.llm.lines import NEAR_BITS, alike, dedup_lines, line_decisions, other_pairs, simhash
 from colloquy.llm.neardup import near_duplicates
 from colloquy.llm.substrings import substring_dedup
 from colloquy.llm.suffixes import repeated_runs
@@ -127,3 +127,21 @@ def test_edit_similarity_is_exact(spark):
     plain = F.levenshtein("a", "b") <= F.floor(0.2 * F.greatest(F.length("a"), F.length("b")) + 1e-6)
     want = frame.where(plain)
     assert 100 < want.count() < 400 and alike(frame, "a", "b", 0.8).exceptAll(want).count() == 0 and want.exceptAll(alike(frame, "a", "b", 0.8)).count() == 0
+
+
+def test_every_two_lines_of_a_bucket_meet(spark):
+    # blocks 0 and 1 are equal; 3 and 9 differ in one bit, and stand between others that are far from both
+    sims = {1: 0, 2: 0x3FF << 30, 3: 0xFFFFF << 40, 4: (0xFFFFF << 40) + (0xFF << 22), 5: (0xFFFFF << 40) + (0xFFFF << 22), 9: (0xFFFFF << 40) + (1 << 39)}
+    frame = spark.createDataFrame([(n, s, 100, n) for n, s in sims.items()], "nh long, sim long, size int, label long")
+    near = {(a, b) for a in sims for b in sims if a < b and (sims[a] ^ sims[b]).bit_count() <= NEAR_BITS}
+    assert (3, 9) in near and {tuple(r) for r in other_pairs(frame, 0.8).collect()} == near
+    assert other_pairs(frame.selectExpr("nh", "sim", "size", "1L as label"), 0.8).count() == 0
+
+
+def test_simhash_counts_every_word(spark):
+    r = random.Random(6)
+    for n in (1, 15, 16, 63, 64, 5000):
+        hashes = [r.getrandbits(63) for _ in range(n)]
+        want = sum(1 << b for b in range(60) if 2 * sum(h >> b & 1 for h in hashes) > n)
+        frame = spark.createDataFrame([(hashes,)], "h array<long>")
+        assert frame.select(simhash(F.col("h"))).first()[0] == want
