@@ -2,15 +2,17 @@
 
 Only the suffixes at content-selected positions (minimisers; see anchors.py) are kept, and of these
 only those whose first k words begin another such suffix too. A suffix carries its next and its
-previous ``span - k`` words as 32-bit word hashes. The suffixes are sorted (first words, then the
-words after); neighbours in that order and in the order of the words before are compared; matches
-are extended to the right and to the left as far as both go. Where a match has ``span`` words or
-more, both suffixes' runs are repeats. Every repeat of ``span`` words or more holds a kept suffix in
-each window of ``span`` words, so the union of the runs covers long repeats whole.
+previous ``span - k`` words as 32-bit word hashes. The suffixes are sorted by their first words; in
+a group of equal first words, each window of ``span`` words around a suffix is compared with all
+others at the same offset, by the hash of the words before and after. Windows that two suffixes
+share are repeats, and a suffix's run is the union of its own. Every repeat of ``span`` words or more holds a kept
+suffix in each window of ``span`` words, so the union of the runs covers long repeats whole.
 
-Sorting is by Spark (it spills); a task compares one bounded block of sorted suffixes at a time. A
+Sorting is by Spark (it spills); a task compares one block of sorted suffixes at a time. A
 first-words group of more than ``HOT`` suffixes is cut by its next and, again, by its previous half
-of the words needed (a match has one of the halves), so a hot group is dealt over many tasks.
+of the words needed (a window has one of the halves), so a hot group is dealt over many tasks. Where
+a group is longer than a block, one suffix for each different window goes on to its next block, so
+memory follows the different windows of one group.
 
 Exact copies are one content; of those with two rows or more, the whole text is a repeat.
 
@@ -34,7 +36,6 @@ from .words import Words, ints, mix, slices
 
 HOT = 4096
 BLOCK = 20_000
-NEIGHBOURS = 4
 RUNS = "doc long, begin int, end int, match_id long"
 
 
@@ -81,73 +82,77 @@ def context_task(k: int, span: int):
     return run
 
 
-def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many leading columns agree and hold a word."""
-    same = (a == b) & (a != 0)
-    return np.where(same.all(axis=1), a.shape[1], same.argmin(axis=1))
+def heads(near: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first 0, 1, ... words of each row, and how many leading columns hold a word."""
+    codes = np.zeros((len(near), near.shape[1] + 1), np.uint64)
+    for c in range(near.shape[1]):
+        codes[:, c + 1] = mix(codes[:, c] ^ near[:, c].astype(np.uint64), seed)
+    there = near != 0
+    return codes, np.where(there.all(axis=1), near.shape[1], there.argmin(axis=1)) if near.shape[1] else np.zeros(len(near), np.int64)
 
 
-def match_block(group: np.ndarray, after: np.ndarray, before: np.ndarray, doc: np.ndarray, rep: np.ndarray, pos: np.ndarray, k: int, span: int) -> list[np.ndarray]:
-    """Runs (doc, begin, end, match_id) from comparing neighbours in two orders."""
+def match_block(group: np.ndarray, after: np.ndarray, before: np.ndarray, doc: np.ndarray, rep: np.ndarray, pos: np.ndarray, k: int, span: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Runs (doc, begin, end, match_id) of the windows that two suffixes of a group share; a mask with one suffix for each different window."""
     reach = after.shape[1]
-    prefixes = []
-    for depth in (reach, 3 * reach // 4, reach // 2, reach // 4):  # words before: sorted like the leaves of their trie
-        code = np.zeros(len(group), np.uint64)
-        for c in range(depth):
-            code = mix(code ^ before[:, c].astype(np.uint64), 9)
-        prefixes.append(code)
-    orders = (np.arange(len(group)), np.lexsort((*prefixes, group)))
-    found = []
-    for order in orders:
-        for step in range(1, NEIGHBOURS + 1):
-            a, b = order[:-step], order[step:]
-            go = (group[a] == group[b]) & ((doc[a] != doc[b]) | (pos[a] != pos[b]))
-            a, b = a[go], b[go]
-            right, left = common(after[a], after[b]), common(before[a], before[b])
-            good = left + k + right >= span
-            a, b, left, right = a[good], b[good], left[good], right[good]
-            for x, y in ((a, b), (b, a)):
-                found.append(np.array([doc[x], pos[x] - left, pos[x] + k + right, rep[y]]))
-    return list(np.concatenate(found, axis=1)) if found else [np.zeros(0, np.int64)] * 4
+    (right, n_right), (left, n_left) = heads(after, 8), heads(before, 9)
+    least, most = np.full(len(group), reach + 1), np.full(len(group), -1)  # words before the suffix, in shared windows
+    match, stands = np.full(len(group), np.iinfo(np.int64).max), np.zeros(len(group), bool)
+    for n in range(reach + 1):
+        at = np.flatnonzero((n_left >= n) & (n_right >= reach - n))
+        if not len(at):
+            continue
+        code = mix(left[at, n] ^ mix(right[at, reach - n] ^ mix(group[at], 21), 22), 23)
+        order = np.lexsort((rep[at], code))
+        at, code = at[order], code[order]
+        begins = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        stands[at[begins]] = True
+        sizes = np.diff(np.append(begins, len(at)))
+        other = np.repeat(rep[at[begins]], sizes)
+        many = begins[sizes > 1]
+        other[many] = rep[at[many + 1]]
+        shared = np.repeat(sizes > 1, sizes)
+        at, other = at[shared], other[shared]
+        least[at], most[at] = np.minimum(least[at], n), n
+        match[at] = np.minimum(match[at], other)
+    found = np.flatnonzero(most >= 0)
+    return [doc[found], pos[found] - most[found], pos[found] - least[found] + span, match[found]], stands
 
 
 def match_task(k: int, span: int):
-    """Over sorted suffixes, in blocks that end where a first-words group ends; a larger group is cut with overlap."""
+    """Over sorted suffixes, in blocks that end where a first-words group ends; of a larger group what stands for its windows is kept."""
     reach = span - k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        kept = 0
 
-        def block(b: pa.RecordBatch) -> pa.RecordBatch:
+        def block(b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
             h, cut, doc, rep, pos = (b.column(c).to_numpy() for c in ("h", "cut", "doc", "rep", "pos"))
             after, before = (np.frombuffer(b"".join(b.column(c).to_pylist()), ">u4").reshape(-1, reach) for c in ("after", "before"))
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (cut[1:] != cut[:-1])
-            d, begin, end, other = match_block(np.cumsum(new), after, before, doc, rep, pos.astype(np.int64), k, span)
-            order = np.lexsort((other, end, begin, d))
-            d, begin, end, other = d[order], begin[order], end[order], other[order]
-            new = np.ones(len(d), bool)
-            new[1:] = (d[1:] != d[:-1]) | (begin[1:] != begin[:-1]) | (end[1:] != end[:-1])
-            return pa.RecordBatch.from_arrays([pa.array(d[new]), pa.array(begin[new].astype(np.int32)), pa.array(end[new].astype(np.int32)), pa.array(other[new])], names=["doc", "begin", "end", "match_id"])
+            (d, begin, end, other), stands = match_block(np.cumsum(new), after, before, doc, rep, pos.astype(np.int64), k, span)
+            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(other)], names=["doc", "begin", "end", "match_id"]), stands
 
         for b in batches:
             held.append(b)
-            if sum(x.num_rows for x in held) < BLOCK:
+            if sum(x.num_rows for x in held) < max(BLOCK, 2 * kept):
                 continue
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             h, cut = whole.column("h").to_numpy(), whole.column("cut").to_numpy()
             edge = np.flatnonzero((h[1:] != h[:-1]) | (cut[1:] != cut[:-1]))
             at = int(edge[-1]) + 1 if len(edge) else 0
             if at:
-                yield block(whole.slice(0, at))
-                held = [whole.slice(at)]
+                yield block(whole.slice(0, at))[0]
+                held, kept = [whole.slice(at)], 0
             else:
-                yield block(whole)
-                held = [whole.slice(whole.num_rows - NEIGHBOURS)]
+                runs, stands = block(whole)
+                yield runs
+                held, kept = [whole.filter(pa.array(stands))], int(stands.sum())
         if held:
             rest = pa.Table.from_batches(held).combine_chunks().to_batches()
             if rest:
-                yield block(rest[0])
+                yield block(rest[0])[0]
 
     return run
 

@@ -2,10 +2,15 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+from colloquy.llm import suffixes
+from colloquy.llm.anchors import anchors_of
 from colloquy.llm.lines import NEAR_BITS, alike, dedup_lines, line_decisions, other_pairs, simhash
 from colloquy.llm.neardup import near_duplicates
 from colloquy.llm.substrings import substring_dedup
 from colloquy.llm.suffixes import repeated_runs
+from colloquy.llm.words import Words, ints
 from pyspark.sql import functions as F
 
 
@@ -145,3 +150,26 @@ def test_simhash_counts_every_word(spark):
         want = sum(1 << b for b in range(60) if 2 * sum(h >> b & 1 for h in hashes) > n)
         frame = spark.createDataFrame([(hashes,)], "h array<long>")
         assert frame.select(simhash(F.col("h"))).first()[0] == want
+
+
+def test_passages_also_quoted_in_part(prose, monkeypatch):
+    # passages whose only anchor ends where the heads end and begins where the tails begin
+    passages = [p for p in (prose(60, 3000 + n) for n in range(600)) if Words(pa.array([p])).grams(16)[1].argmin() == 22][:6]
+    texts = []
+    for n, passage in enumerate(passages):
+        passage = passage.split()
+        parts = [passage] * 2 + [passage[:38]] * 40 + [passage[-38:]] * 40
+        texts += [prose(20, 1000 * n + i) + " " + " ".join(p) + " " + prose(20, 1000 * n + 500 + i) for i, p in enumerate(parts)]
+    words = Words(pa.array(texts))
+    at, h = anchors_of(words, 16, 50)
+    text = np.searchsorted(words.first, at, side="right") - 1
+    for often, block in ((10, 20_000), (10, 7), (5000, 20_000), (5000, 7)):
+        monkeypatch.setattr(suffixes, "BLOCK", block)
+        live = [[{"pos": int(at[j] - words.first[i]), "n": often, "h": int(ints(h)[j])} for j in np.flatnonzero(text == i)] for i in range(len(texts))]
+        rows = pa.RecordBatch.from_pydict({"doc": range(len(texts)), "rep": range(len(texts)), "text": texts, "live": pa.array(live, pa.list_(pa.struct([("pos", pa.int32()), ("n", pa.int64()), ("h", pa.int64())])))})
+        found = pa.Table.from_batches(suffixes.context_task(16, 50)(iter([rows]))).sort_by([("h", "ascending"), ("cut", "ascending"), ("after", "ascending")])
+        got = {}
+        for b in suffixes.match_task(16, 50)(iter(found.to_batches(max_chunksize=3))):
+            for r in b.to_pylist():
+                got.setdefault(r["doc"], set()).update(range(r["begin"], r["end"]))
+        assert got == {i: gone for i, (_, gone) in enumerate(windows(texts, 50)) if gone} and len(got) == 12
