@@ -1,9 +1,9 @@
 """MinHash near-dedup (operator 4): ProbMinHash, banding, verification.
 
-Texts are sets of shingles of five words, weighted 1 + ln(count). Each shingle is a Poisson process
+Texts are sets of shingles of five words, all of weight 1, as in the verification. Each shingle is a Poisson process
 whose rate is its weight; its arrivals, drawn by keyed hashes, fall on random registers of the
 sketch, and it stops once the next arrival comes later than every register's. Two registers agree
-with the texts' probability Jaccard. Bands of registers form buckets; texts linked by buckets form
+with the texts' probability Jaccard, which for equal weights is the Jaccard similarity of the sets. Bands of registers form buckets; texts linked by buckets form
 candidate groups. Inside a group every two texts that are not linked yet are compared by the exact
 Jaccard similarity of their shingle sets, and texts of 0.8 or more are linked.
 
@@ -85,8 +85,8 @@ def sketch_task(bands: int, rows: int):
         for whole in batches:
             for part in slices(whole, "text", SKETCH_BYTES):
                 words = Words(part.column("text"))
-                text, h, count = distinct_shingles(words)
-                sketch = prob_minhash(text, h, 1.0 + np.log(count), len(words), bands * rows)
+                text, h, _ = distinct_shingles(words)
+                sketch = prob_minhash(text, h, np.ones(len(h)), len(words), bands * rows)
                 c1 = span_hashes(words.hashes, words.first[:-1], words.first[1:], 3)
                 c2 = span_hashes(words.hashes, words.first[:-1], words.first[1:], 4)
                 some = words.counts > 0

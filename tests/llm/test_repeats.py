@@ -173,3 +173,10 @@ def test_passages_also_quoted_in_part(prose, monkeypatch):
             for r in b.to_pylist():
                 got.setdefault(r["doc"], set()).update(range(r["begin"], r["end"]))
         assert got == {i: gone for i, (_, gone) in enumerate(windows(texts, 50)) if gone} and len(got) == 12
+
+
+def test_near_duplicates_with_a_line_repeated(spark, docs, prose):
+    plain = [prose(104, 800 + n) for n in range(12)]
+    texts = plain + [t + (" " + prose(15, 900 + n)) * 50 for n, t in enumerate(plain)]
+    assert all(0.8 < len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) < 0.9 for a, b in zip(plain, texts[12:], strict=True))
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs(texts)).collect()} == {i: i % 12 for i in range(24)}
