@@ -2,7 +2,7 @@
 
 The queries are cut into blocks of at most ``block`` rows; a block is the only thing that is
 broadcast, so its size has a bound whatever the input. Every task multiplies a block with its tiles
-of vectors, keeps k per query and tile, merges tiles as they come, and the lists of the tasks are
+of vectors, keeps k different ids per query and tile, merges tiles as they come, and the lists of the tasks are
 merged by a tree of two levels in Spark.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part;
@@ -46,6 +46,14 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
 
+def once(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each id of a row counts with its best score; its other places score -inf."""
+    order = np.lexsort((-scores, ids), axis=1)
+    ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+    scores[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
+    return ids, scores
+
+
 def search_task(queries: list[tuple[np.ndarray, np.ndarray]], k: int):
     """queries: for each vector length, ids and a matrix."""
 
@@ -65,8 +73,11 @@ def search_task(queries: list[tuple[np.ndarray, np.ndarray]], k: int):
                     there = tile_ids[rows]
                     scores = q @ vectors.T
                     scores[ids[:, None] == there[None, :]] = -np.inf
-                    got = best(np.broadcast_to(there, scores.shape), scores, k)
-                    tops[n] = best(np.hstack([tops[n][0], got[0]]), np.hstack([tops[n][1], got[1]]), k)
+                    all_ids = np.broadcast_to(there, scores.shape)
+                    if len(np.unique(there)) < len(there):
+                        all_ids, scores = once(all_ids, scores)
+                    got = best(all_ids, scores, k)
+                    tops[n] = best(*once(np.hstack([tops[n][0], got[0]]), np.hstack([tops[n][1], got[1]])), k)
         for (ids, _), (found, scores) in zip(queries, tops, strict=True):
             row, place = np.nonzero(np.isfinite(scores))
             yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(found[row, place]), pa.array(scores[row, place])], names=["query_id", "vec_id", "score"])
@@ -94,7 +105,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
         part = there.mapInArrow(search_task(held, k), "query_id long, vec_id long, score double").withColumn("part", F.spark_partition_id() % 16)
         lists = part if lists is None else lists.unionAll(part)
     order = [F.desc("score"), F.asc("vec_id")]
-    lists = lists.dropDuplicates(["query_id", "vec_id"])
+    lists = lists.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.min("part").alias("part"))
     for by in (["query_id", "part"], ["query_id"]):
         lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
     return lists.select("query_id", "rank", "vec_id", "score")

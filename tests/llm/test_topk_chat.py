@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+from colloquy.llm import topk
 from colloquy.llm.chat import chat_digests, format_chats, read_chats
 from colloquy.llm.topk import exact_topk
 from pyspark.sql import functions as F
@@ -45,3 +47,13 @@ def test_chat_round_trip(spark):
     text = formatted.where("conv_id = 0").first().formatted
     assert text.count("<s>[user]") == 2 and text.count("</s>") == 1 and text.count("[next]") == 2
     assert chat_digests(format_chats(frame.limit(0))).count() == 0
+
+
+def test_topk_counts_a_repeated_best_row_once(spark, monkeypatch):
+    rows = [(i, [float(i)]) for i in range(10)] + [(9, [9.0])] * 5
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(1)
+    assert [(x.rank, x.vec_id) for x in exact_topk(frame, frame.where("vec_id = 1"), 5).orderBy("rank").collect()] == [(1, 9), (2, 8), (3, 7), (4, 6), (5, 5)]
+    monkeypatch.setattr(topk, "TILE", 2)  # copies in several tiles of a task
+    batch = pa.RecordBatch.from_pydict({"id": [r[0] for r in rows], "v": [r[1] for r in rows]})
+    (got,) = topk.search_task([(np.array([1]), np.array([[1.0]]))], 5)(iter([batch]))
+    assert sorted(got.column("vec_id").to_pylist()) == [5, 6, 7, 8, 9]
