@@ -3,14 +3,15 @@
 Texts are cut into passages of ``WIDTH`` words, every ``STRIDE`` words. Terms are the words of the
 benchmark; their document frequencies are counted over all texts. A randomised SVD of TF-IDF
 passages (one power step, then Rayleigh-Ritz on the range found, both as sums over distributed
-passages and the benchmark's items) gives the latent space. It is fitted on the passages of at most
-``SAMPLE`` texts (the least keyed hashes of their ids) and all items; every passage of every text is
-then searched: passages whose terms bound every cosine below the threshold are left out, the rest
-are compared with all items in the latent space. Candidates are checked by the longest common
+passages and the benchmark's items) gives the latent space. It is fitted on every passage of every
+text and all items, and has as many dimensions as items at least; every passage is then searched: passages whose terms bound every cosine below the threshold are left out, the rest
+are compared with all items in the latent space and by their plain cosine, so that what the space
+does not hold of an item loses no copy; the larger of the two counts. Candidates are checked by the longest common
 subsequence of words with the passage and its surroundings, and by the same measure of the item's
 answer, its last quarter.
 
-The items are taken in blocks of at most ``BLOCK``; only a block's model is broadcast.
+The items are taken in blocks of about ``RANK``; only a block's model is broadcast. The sums of the
+tasks are added up in Spark, so the driver gets one sum a fit.
 
 Defined results: null texts and texts or items without words match nothing; several matches of a
 text and an item count once, by the best; equal items are all reported; repeated rows are reported
@@ -26,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sample import bounded_sample
 from .words import Words, ints, slices
 
 WIDTH, STRIDE = 32, 16
-SAMPLE, BLOCK, RANK = 2000, 2048, 256
+RANK = 256
+#: Rows of a sum that travel together.
+ROWS = 256
 PREFILTER = 1 << 22
 
 
@@ -110,10 +112,20 @@ def passage_matrix(words: Words, hit: np.ndarray, term: np.ndarray, idf: np.ndar
     return text, begin, end, row, term[pick], idf[term[pick]] / np.maximum(norm[row], 1e-9)
 
 
-def fit_space(sample: DataFrame, items: list[np.ndarray], terms: Terms, idf: np.ndarray, rest: float, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def add_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the parts of sums."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, raw in zip(batch.column("part").to_pylist(), batch.column("total"), strict=True):
+            total = np.frombuffer(raw.as_buffer(), np.float64)
+            sums[part] = sums[part] + total if part in sums else total.copy()
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "total"])
+
+
+def fit_space(texts: DataFrame, items: list[np.ndarray], terms: Terms, idf: np.ndarray, rest: float, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """The latent basis (terms x rank) and the items' places in it."""
-    spark, v = sample.sparkSession, len(terms.hashes)
-    rank = min(RANK, v)
+    spark, v = texts.sparkSession, len(terms.hashes)
+    rank = min(max(RANK, len(items)), v)
     row = np.repeat(np.arange(len(items)), [len(x) for x in items])
     term = np.searchsorted(terms.hashes, np.concatenate(items))
     weight = idf[term]
@@ -121,7 +133,7 @@ def fit_space(sample: DataFrame, items: list[np.ndarray], terms: Terms, idf: np.
     weight = weight / np.maximum(norm[row], 1e-9)
 
     def over(basis: np.ndarray, gram: bool) -> np.ndarray:
-        """A'(A basis), or basis'A'A basis, over sampled passages and items."""
+        """A'(A basis), or basis'A'A basis, over all passages and items."""
         held = spark.sparkContext.broadcast((terms, idf, rest, basis))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,12 +146,14 @@ def fit_space(sample: DataFrame, items: list[np.ndarray], terms: Terms, idf: np.
                     y = summed(r, t, w.astype(np.float32), len(text), basis)
                     total += y.T @ y if gram else back(r, t, w.astype(np.float32), y, len(terms.hashes))
                     n += len(text)
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], names=["n", "total"])
-
-        parts = sample.mapInArrow(run, "n long, total binary").collect()  # from four tasks
-        n = sum(p["n"] for p in parts)
-        found = sum((np.frombuffer(p["total"], np.float32).astype(np.float64) for p in parts), np.zeros(1))
-        found = found.reshape(-1, basis.shape[1]) if len(found) > 1 else np.zeros((basis.shape[1] if gram else v, basis.shape[1]))
+            cut = [np.array([float(n)]), *(total[a : a + ROWS].astype(np.float64) for a in range(0, len(total), ROWS))]  # part 0 is n
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], names=["part", "total"])
+
+        sums = "part int, total binary"
+        found = texts.select("text").mapInArrow(run, sums).repartition("part").mapInArrow(add_task, sums).collect()  # one sum, not one a task
+        parts = [np.frombuffer(p["total"], np.float64) for p in sorted(found, key=lambda p: p["part"])]
+        n = int(parts[0][0]) if parts else 0
+        found = np.concatenate(parts[1:]).reshape(-1, basis.shape[1]) if parts else np.zeros((basis.shape[1] if gram else v, basis.shape[1]))
         y = summed(row, term, weight, len(items), basis.astype(np.float64))
         own = y.T @ y if gram else back(row, term, weight, y, v)
         return found + own * max(1.0, n / max(len(items), 1))
@@ -157,9 +171,10 @@ def search_task(held, cosine: float, overlap: float, answer: float):
         terms, idf, rest, basis, placed, items, item_ids = held.value
         item_terms = [np.searchsorted(terms.hashes, x) for x in items]
         # the most that a term adds to the cosine with any item
-        most = np.zeros(len(terms.hashes))
-        for x in item_terms:
+        most, plain = np.zeros(len(terms.hashes)), np.zeros((len(terms.hashes), len(items)), np.float32)
+        for i, x in enumerate(item_terms):
             own = np.bincount(x, minlength=0) * idf[: int(x.max()) + 1]
+            plain[: len(own), i] = own / max(np.linalg.norm(own), 1e-9)
             most[: len(own)] = np.maximum(most[: len(own)], own / max(np.linalg.norm(own), 1e-9))
         there = np.zeros(len(terms.hashes), bool)
         for whole in batches:
@@ -173,7 +188,8 @@ def search_task(held, cosine: float, overlap: float, answer: float):
                 y = summed(number[row[use]], term[use], weight[use].astype(np.float32), int(able.sum()), basis)
                 which = np.flatnonzero(able)
                 best: dict[tuple[int, int], tuple[float, float]] = {}
-                p, n = np.nonzero(y @ placed.T >= cosine) if len(which) else (np.zeros(0, int), np.zeros(0, int))
+                near = np.maximum(y @ placed.T, summed(number[row[use]], term[use], weight[use].astype(np.float32), len(which), plain))
+                p, n = np.nonzero(near >= cosine)
                 for p_, n_ in zip(p.tolist(), n.tolist(), strict=True):
                     t, item = int(text[which[p_]]), items[n_]
                     # the passage with what stands around it, as long as the item
@@ -189,7 +205,7 @@ def search_task(held, cosine: float, overlap: float, answer: float):
                     share = lcs(item, around) / len(item)
                     tail = item[-max(1, len(item) // 4) :]
                     if share >= overlap and lcs(tail, around) >= answer * len(tail) and share > best.get((t, n_), (0.0, 0.0))[0]:
-                        best[t, n_] = (share, float(y[p_] @ placed[n_]))
+                        best[t, n_] = (share, float(near[p_, n_]))
                 keys = list(best)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(pa.array([k[0] for k in keys], pa.int64())), pa.array([item_ids[k[1]] for k in keys], pa.int64()), pa.array([best[k][0] for k in keys], pa.float64()), pa.array([best[k][1] for k in keys], pa.float64())],
@@ -223,10 +239,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.2, ove
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     asked = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
-    blocks = max(1, -(-asked.count() // BLOCK))
-    chosen = bounded_sample(texts.where("id is not null").select("id", F.lit(0).alias("one")), "one", "id", SAMPLE)
-    ids = [r[0] for r in chosen.select("id").collect()]  # SAMPLE at most
-    sample = texts.where(F.col("id").isin(ids)).select("text").repartition(4) if ids else texts.select("text").limit(0)
+    blocks = max(1, -(-asked.count() // RANK))
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, item_id long, overlap double, cosine double"
     found = spark.createDataFrame([], schema)
     for b in range(blocks):
@@ -243,7 +256,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.2, ove
             counts[term] = n
         rest = float(np.log(counts[-1] + 1) + 1)
         idf = np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 0.05
-        basis, placed = fit_space(sample, items, terms, idf, rest)
+        basis, placed = fit_space(texts, items, terms, idf, rest)
         held = spark.sparkContext.broadcast((terms, idf, rest, basis, placed, items, item_ids))
         part = texts.mapInArrow(search_task(held, cosine, overlap, answer), schema.replace(f"`{id_col}`", "id", 1))
         found = found.unionAll(part.withColumnRenamed("id", id_col))

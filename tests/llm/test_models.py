@@ -1,11 +1,12 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from colloquy.llm import pieces
 from colloquy.llm.components import components
-from colloquy.llm.decontaminate import contaminated, lcs
+from colloquy.llm.decontaminate import Terms, contaminated, lcs, search_task
 from colloquy.llm.langid import identify, viterbi
 from colloquy.llm.toxicity import toxicity
 from colloquy.llm.words import Words, minimisers
@@ -150,3 +151,21 @@ def test_decontamination(spark, prose):
     got = {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
     assert got == {(100 + i, i) for i in held} | {(200, 4), (203, 5)}
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_a_copy_is_found_whatever_the_space_holds(prose):
+    words = Words(pa.array([prose(24, 2000), prose(24, 2001)]))
+    items = [words.hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+    terms = Terms(words.hashes)
+    v = len(terms.hashes)
+    held = SimpleNamespace(value=(terms, np.ones(v), 1.0, np.zeros((v, 1), np.float32), np.zeros((2, 1)), items, np.array([7, 8])))
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "text": [prose(60, 1) + " " + prose(24, 2001) + " " + prose(60, 2), prose(100, 3)]})
+    (got,) = search_task(held, 0.2, 0.6, 0.5)(iter([batch]))
+    assert [(r["id"], r["item_id"]) for r in got.to_pylist()] == [(1, 8)]
+
+
+def test_more_items_than_a_block(spark, prose):
+    items = [(i, prose(24, 2000 + i)) for i in range(600)]
+    rows = [(i, prose(60, i) + " " + items[i * 15][1] + " " + prose(60, 500 + i)) for i in range(40)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == {(i, i * 15) for i in range(40)}
