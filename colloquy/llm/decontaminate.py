@@ -1,7 +1,9 @@
 """Benchmark decontamination (operator 10): latent semantic retrieval and sequence checks.
 
 Texts are cut into passages of ``WIDTH`` words, every ``STRIDE`` words. Terms are the words of the
-benchmark; their document frequencies are counted over all texts. A randomised SVD of TF-IDF
+benchmark; their document frequencies are counted over all texts. Those of all other words, which a
+passage's norm needs, are counted by ``BUCKETS`` hashes: words that share one can only seem more
+common, which raises a cosine and never hides an item. A randomised SVD of TF-IDF
 passages (one power step, then Rayleigh-Ritz on the range found, both as sums over distributed
 passages and the benchmark's items) gives the latent space. It is fitted on every passage of every
 text and all items, and has as many dimensions as items at least; every passage is then searched: passages whose terms bound every cosine below the threshold are left out, the rest
@@ -31,6 +33,7 @@ from .words import Words, ints, slices
 
 WIDTH, STRIDE = 32, 16
 RANK = 256
+BUCKETS = 1 << 18
 #: Rows of a sum that travel together.
 ROWS = 256
 PREFILTER = 1 << 22
@@ -102,13 +105,18 @@ def back(row: np.ndarray, term: np.ndarray, weight: np.ndarray, y: np.ndarray, t
     return summed(term[order], row[order], weight[order], terms, y)
 
 
-def passage_matrix(words: Words, hit: np.ndarray, term: np.ndarray, idf: np.ndarray, rest: float) -> tuple:
-    """The passages, and their normed TF-IDF as row, term and weight of each hit; hit, term: from Terms.find."""
+def buckets(hashes: np.ndarray, n: int) -> np.ndarray:
+    return (ints(hashes) >> 24) & (n - 1)
+
+
+def passage_matrix(words: Words, hit: np.ndarray, term: np.ndarray, idf: np.ndarray, rest: np.ndarray) -> tuple:
+    """The passages, and their normed TF-IDF as row, term and weight of each hit; hit, term: from Terms.find; rest: of other words, by bucket."""
     text, begin, end = passages(words)
     row, pick = rows_of(hit, begin, end)
-    mass = np.bincount(row, weights=idf[term[pick]] ** 2, minlength=len(text))
-    others = (end - begin) - np.bincount(row, minlength=len(text))
-    norm = np.sqrt(mass + others * rest**2)
+    every = rest[buckets(words.hashes, len(rest))]
+    every[hit] = idf[term]
+    mass = np.concatenate([[0], np.cumsum(every**2)])
+    norm = np.sqrt(np.maximum(mass[end] - mass[begin], 0))
     return text, begin, end, row, term[pick], idf[term[pick]] / np.maximum(norm[row], 1e-9)
 
 
@@ -122,7 +130,7 @@ def add_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "total"])
 
 
-def fit_space(texts: DataFrame, items: list[np.ndarray], terms: Terms, idf: np.ndarray, rest: float, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def fit_space(texts: DataFrame, items: list[np.ndarray], terms: Terms, idf: np.ndarray, rest: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """The latent basis (terms x rank) and the items' places in it."""
     spark, v = texts.sparkSession, len(terms.hashes)
     rank = min(max(RANK, len(items)), v)
@@ -216,14 +224,19 @@ def search_task(held, cosine: float, overlap: float, answer: float):
 
 
 def frequency_task(held):
+    """How many texts hold each term (held: Terms), or a word of each bucket (held: None); the last count is that of the texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms: Terms = held.value
-        counts, texts = np.zeros(len(terms.hashes) + 1, np.int64), 0
+        terms = held.value if held else None
+        counts, texts = np.zeros((len(terms.hashes) if terms else BUCKETS) + 1, np.int64), 0
         for whole in batches:
             for part in slices(whole, "text"):
                 words = Words(part.column("text"), folded=True)
-                hit, term = terms.find(words.hashes)
-                text = np.searchsorted(words.first, hit, side="right") - 1
+                if terms:
+                    hit, term = terms.find(words.hashes)
+                    text = np.searchsorted(words.first, hit, side="right") - 1
+                else:
+                    text, term = words.text_of_word(), buckets(words.hashes, BUCKETS)
                 pairs = np.unique(text * np.int64(len(counts)) + term)
                 counts += np.bincount(pairs % len(counts), minlength=len(counts))
                 texts += len(words)
@@ -240,6 +253,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.2, ove
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     asked = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
     blocks = max(1, -(-asked.count() // RANK))
+
+    def counted(held, n: int) -> np.ndarray:
+        counts = np.zeros(n + 1)
+        got = texts.mapInArrow(frequency_task(held), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        counts[got.column("term").to_numpy()] = got.column("n").to_numpy()
+        return counts
+
+    of_words = counted(None, BUCKETS)
+    rest = np.log((of_words[-1] + 1) / (np.minimum(of_words[:-1], of_words[-1]) + 1)) + 0.05
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, item_id long, overlap double, cosine double"
     found = spark.createDataFrame([], schema)
     for b in range(blocks):
@@ -251,10 +273,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.2, ove
         items = [words.hashes[words.first[i] : words.first[i + 1]] for i in kept]
         item_ids = block.column("item").to_numpy()[kept]
         terms = Terms(words.hashes)
-        counts = np.zeros(len(terms.hashes) + 1)
-        for term, n in texts.mapInArrow(frequency_task(spark.sparkContext.broadcast(terms)), "term long, n long").groupBy("term").agg(F.sum("n")).collect():
-            counts[term] = n
-        rest = float(np.log(counts[-1] + 1) + 1)
+        counts = counted(spark.sparkContext.broadcast(terms), len(terms.hashes))
         idf = np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 0.05
         basis, placed = fit_space(texts, items, terms, idf, rest)
         held = spark.sparkContext.broadcast((terms, idf, rest, basis, placed, items, item_ids))

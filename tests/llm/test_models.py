@@ -158,7 +158,7 @@ def test_a_copy_is_found_whatever_the_space_holds(prose):
     items = [words.hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
     terms = Terms(words.hashes)
     v = len(terms.hashes)
-    held = SimpleNamespace(value=(terms, np.ones(v), 1.0, np.zeros((v, 1), np.float32), np.zeros((2, 1)), items, np.array([7, 8])))
+    held = SimpleNamespace(value=(terms, np.ones(v), np.ones(1), np.zeros((v, 1), np.float32), np.zeros((2, 1)), items, np.array([7, 8])))
     batch = pa.RecordBatch.from_pydict({"id": [1, 2], "text": [prose(60, 1) + " " + prose(24, 2001) + " " + prose(60, 2), prose(100, 3)]})
     (got,) = search_task(held, 0.2, 0.6, 0.5)(iter([batch]))
     assert [(r["id"], r["item_id"]) for r in got.to_pylist()] == [(1, 8)]
@@ -169,3 +169,10 @@ def test_more_items_than_a_block(spark, prose):
     rows = [(i, prose(60, i) + " " + items[i * 15][1] + " " + prose(60, 500 + i)) for i in range(40)]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == {(i, i * 15) for i in range(40)}
+
+
+def test_common_words_outside_the_benchmark_weigh_little(spark, prose):
+    item, filler = prose(8, 3000), prose(60, 3001)
+    rows = [(i, filler + (" " + item if i % 2 else "") + " " + filler) for i in range(120)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert {r.doc_id for r in contaminated(docs, bench).collect()} == set(range(1, 120, 2))
