@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _BASE, _GRAM = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 
 
@@ -45,16 +45,17 @@ def byte_codes(seed: int = 1) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size, inverse = max(n, SLICE_BYTES + (1 << 16)), pow(base, -1, 1 << 64)
-        made = []
-        for b in (base, inverse):
-            steps = np.full(size, U(b), dtype=U)
-            steps[0] = 1
-            made.append(np.cumprod(steps, dtype=U))
+    """base**i and base**-i modulo 2**64 for i < n. Only those of a slice are kept; a longer text's go with it."""
+    if base in _POWERS and len(_POWERS[base][0]) >= n:
+        return _POWERS[base]
+    size, made = max(n, SLICE_BYTES + (1 << 16)), []
+    for b in (base, pow(base, -1, 1 << 64)):
+        steps = np.full(size, U(b), dtype=U)
+        steps[0] = 1
+        made.append(np.cumprod(steps, dtype=U, out=steps))
+    if n <= SLICE_BYTES + (1 << 16):
         _POWERS[base] = (made[0], made[1])
-    return _POWERS[base]
+    return made[0], made[1]
 
 
 def fold_table() -> np.ndarray:
@@ -72,6 +73,16 @@ def text_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+def flat_texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and where each begins (one more entry than texts)."""
+    texts = text_array(column)
+    _, offsets, values = texts.buffers()
+    n = len(texts)
+    offs = np.frombuffer(offsets, dtype=np.int64, count=n + 1 + texts.offset)[texts.offset :] if offsets is not None and n else np.zeros(1, np.int64)
+    low, high = int(offs[0]), int(offs[-1])
+    return np.frombuffer(values, dtype=np.uint8)[low:high] if values is not None and high > low else np.zeros(0, np.uint8), offs - low
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text; a longer text stands alone, whole."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64)
@@ -93,18 +104,13 @@ class Words:
     """
 
     def __init__(self, column: pa.Array, seed: int = 1, folded: bool = False) -> None:
-        texts = text_array(column)
-        _, offsets, values = texts.buffers()
-        n = len(texts)
-        offs = np.frombuffer(offsets, dtype=np.int64, count=n + 1 + texts.offset)[texts.offset :] if offsets is not None and n else np.zeros(1, np.int64)
-        low, high = int(offs[0]), int(offs[-1])
-        self.data = np.frombuffer(values, dtype=np.uint8)[low:high] if values is not None and high > low else np.zeros(0, np.uint8)
+        self.data, self.offs = flat_texts(column)
+        self.sums: np.ndarray | None = None
         if folded:
             raw = self.data
             self.data = fold_table()[raw]
             after = raw[1:]  # of U+00C0 to U+00DE, whose first byte is C3, the small letters are 32 on
             self.data[1:][(raw[:-1] == 0xC3) & (after >= 0x80) & (after <= 0x9E) & (after != 0x97)] += 32
-        self.offs = offs - low
         inside = (self.data != 32) & ((self.data < 9) | (self.data > 13))
         edge = np.zeros(len(self.data) + 1, bool)
         edge[self.offs] = True
@@ -124,10 +130,12 @@ class Words:
         return np.diff(self.first)
 
     def hash_spans(self, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+        """Hashes of runs of bytes; equal runs have equal hashes."""
         up, down = powers(_BASE, len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, dtype=U)
-        np.cumsum(byte_codes(seed)[self.data] * up[: len(self.data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts], seed)
+        if self.sums is None:
+            self.sums = np.zeros(len(self.data) + 1, dtype=U)
+            np.cumsum(byte_codes()[self.data] * up[: len(self.data)], out=self.sums[1:])
+        return mix((self.sums[ends] - self.sums[starts]) * down[starts], seed)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), self.counts)
