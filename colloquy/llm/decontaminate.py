@@ -6,13 +6,15 @@ passage's norm needs, are counted by ``BUCKETS`` hashes: words that share one ca
 common, which raises a cosine and never hides an item. A randomised SVD of TF-IDF
 passages (one power step, then Rayleigh-Ritz on the range found, both as sums over distributed
 passages and the benchmark's items) gives the latent space. It is fitted on every passage of every
-text and all items, and has as many dimensions as items at least; every passage is then searched: passages whose terms bound every cosine below the threshold are left out, the rest
-are compared with all items in the latent space and by their plain cosine, so that what the space
-does not hold of an item loses no copy; the larger of the two counts. Candidates are checked by the longest common
+text and all items, and has as many dimensions as items at least; every passage is then searched:
+both its score in the latent space and its plain cosine are sums over its terms, so passages whose
+terms cannot reach the threshold with any item by either are left out, and the rest are compared
+with all items by both; the larger counts, so that what the space does not hold of an item loses no
+copy. Candidates are checked by the longest common
 subsequence of words with the passage and its surroundings, and by the same measure of the item's
 answer, its last quarter.
 
-The items are taken in blocks of about ``RANK``; only a block's model is broadcast. The sums of the
+The items are taken in blocks of about ``RANK`` items and ``BLOCK_CHARS`` characters; only a block's model is broadcast. The sums of the
 tasks are added up in Spark, so the driver gets one sum a fit.
 
 Defined results: null texts and texts or items without words match nothing; several matches of a
@@ -33,9 +35,14 @@ from .words import Words, ints, slices
 
 WIDTH, STRIDE = 32, 16
 RANK = 256
+BLOCK_CHARS = 1 << 17
+#: How many of an item's rarest words a text must hold at least, beside those that it may lack.
+SURE = 4
 BUCKETS = 1 << 18
 #: Rows of a sum that travel together.
 ROWS = 256
+#: The latent space leaves out words of less weight, those that over a third of the texts hold; the plain cosine has them all.
+COMMON = np.log(3) + 0.05
 PREFILTER = 1 << 22
 
 
@@ -47,28 +54,21 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-class Terms:
-    """Look-up of the benchmark's words."""
+def term_table(terms: np.ndarray) -> np.ndarray:
+    """A first filter for ``find_terms``."""
+    maybe = np.zeros(PREFILTER, bool)
+    maybe[ints(terms) & (PREFILTER - 1)] = True
+    return maybe
 
-    def __init__(self, hashes: np.ndarray) -> None:
-        self.__setstate__({"hashes": np.unique(hashes)})
 
-    def __getstate__(self) -> dict:
-        return {"hashes": self.hashes}
-
-    def __setstate__(self, state: dict) -> None:  # the table is made anew where it is needed
-        self.hashes = state["hashes"]
-        self.maybe = np.zeros(PREFILTER, bool)
-        self.maybe[ints(self.hashes) & (PREFILTER - 1)] = True
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in h that hold terms, and the terms' numbers."""
-        if not len(self.hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        hit = np.flatnonzero(self.maybe[ints(h) & (PREFILTER - 1)])
-        at = np.minimum(np.searchsorted(self.hashes, h[hit]), len(self.hashes) - 1)
-        good = self.hashes[at] == h[hit]
-        return hit[good], at[good]
+def find_terms(terms: np.ndarray, maybe: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in h that hold terms (sorted hashes), and the terms' numbers."""
+    if not len(terms):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hit = np.flatnonzero(maybe[ints(h) & (PREFILTER - 1)])
+    at = np.minimum(np.searchsorted(terms, h[hit]), len(terms) - 1)
+    good = terms[at] == h[hit]
+    return hit[good], at[good]
 
 
 def passages(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,43 +81,17 @@ def passages(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, begin, np.minimum(begin + WIDTH, words.first[text + 1])
 
 
-def rows_of(hit: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For hits (sorted places) in passages: the passage and the hit of each pair."""
-    low, high = np.searchsorted(hit, begin), np.searchsorted(hit, end)
-    n = high - low
-    return np.repeat(np.arange(len(begin)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-
-
-def summed(row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
-    """Rows of (sparse matrix) x basis; row is sorted."""
-    out = np.zeros((n, basis.shape[1]), basis.dtype)
-    step = 1 << 16
-    for a in range(0, len(row), step):
-        r = row[a : a + step]
-        begins = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        out[r[begins]] += np.add.reduceat(basis[term[a : a + step]] * weight[a : a + step, None], begins, axis=0)
-    return out
-
-
-def back(row: np.ndarray, term: np.ndarray, weight: np.ndarray, y: np.ndarray, terms: int) -> np.ndarray:
-    """(Sparse matrix) transposed x y."""
-    order = np.argsort(term, kind="stable")
-    return summed(term[order], row[order], weight[order], terms, y)
-
-
 def buckets(hashes: np.ndarray, n: int) -> np.ndarray:
     return (ints(hashes) >> 24) & (n - 1)
 
 
-def passage_matrix(words: Words, hit: np.ndarray, term: np.ndarray, idf: np.ndarray, rest: np.ndarray) -> tuple:
-    """The passages, and their normed TF-IDF as row, term and weight of each hit; hit, term: from Terms.find; rest: of other words, by bucket."""
+def passage_norms(words: Words, hit: np.ndarray, term: np.ndarray, idf: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first and end word of each passage, and the norm of its TF-IDF; hit, term: from find_terms; rest: of other words, by bucket."""
     text, begin, end = passages(words)
-    row, pick = rows_of(hit, begin, end)
     every = rest[buckets(words.hashes, len(rest))]
     every[hit] = idf[term]
     mass = np.concatenate([[0], np.cumsum(every**2)])
-    norm = np.sqrt(np.maximum(mass[end] - mass[begin], 0))
-    return text, begin, end, row, term[pick], idf[term[pick]] / np.maximum(norm[row], 1e-9)
+    return text, begin, end, np.sqrt(np.maximum(mass[end] - mass[begin], 0))
 
 
 def add_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,95 +99,186 @@ def add_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, raw in zip(batch.column("part").to_pylist(), batch.column("total"), strict=True):
-            total = np.frombuffer(raw.as_buffer(), np.float64)
+            total = np.frombuffer(raw.as_buffer(), np.float32).astype(np.float64)
             sums[part] = sums[part] + total if part in sums else total.copy()
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "total"])
 
 
-def fit_space(texts: DataFrame, items: list[np.ndarray], terms: Terms, idf: np.ndarray, rest: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """The latent basis (terms x rank) and the items' places in it."""
-    spark, v = texts.sparkSession, len(terms.hashes)
-    rank = min(max(RANK, len(items)), v)
-    row = np.repeat(np.arange(len(items)), [len(x) for x in items])
-    term = np.searchsorted(terms.hashes, np.concatenate(items))
-    weight = idf[term]
-    norm = np.sqrt(np.bincount(row, weights=weight**2, minlength=len(items)))
-    weight = weight / np.maximum(norm[row], 1e-9)
-
-    def over(basis: np.ndarray, gram: bool) -> np.ndarray:
-        """A'(A basis), or basis'A'A basis, over all passages and items."""
-        held = spark.sparkContext.broadcast((terms, idf, rest, basis))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            terms, idf, rest, basis = held.value
-            total, n = np.zeros((basis.shape[1] if gram else len(terms.hashes), basis.shape[1]), np.float32), 0
-            for whole in batches:
-                for part in slices(whole, "text", 1 << 20):
-                    words = Words(part.column("text"), folded=True)
-                    text, _, _, r, t, w = passage_matrix(words, *terms.find(words.hashes), idf, rest)
-                    y = summed(r, t, w.astype(np.float32), len(text), basis)
-                    total += y.T @ y if gram else back(r, t, w.astype(np.float32), y, len(terms.hashes))
-                    n += len(text)
-            cut = [np.array([float(n)]), *(total[a : a + ROWS].astype(np.float64) for a in range(0, len(total), ROWS))]  # part 0 is n
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], names=["part", "total"])
-
-        sums = "part int, total binary"
-        found = texts.select("text").mapInArrow(run, sums).repartition("part").mapInArrow(add_task, sums).collect()  # one sum, not one a task
-        parts = [np.frombuffer(p["total"], np.float64) for p in sorted(found, key=lambda p: p["part"])]
-        n = int(parts[0][0]) if parts else 0
-        found = np.concatenate(parts[1:]).reshape(-1, basis.shape[1]) if parts else np.zeros((basis.shape[1] if gram else v, basis.shape[1]))
-        y = summed(row, term, weight, len(items), basis.astype(np.float64))
-        own = y.T @ y if gram else back(row, term, weight, y, v)
-        return found + own * max(1.0, n / max(len(items), 1))
-
-    start = np.random.default_rng(seed).standard_normal((v, min(v, rank + 16))).astype(np.float32)
-    q, _ = np.linalg.qr(over(start, False))
-    values, vectors = np.linalg.eigh(over(q.astype(np.float32), True))
-    basis = (q @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
-    placed = summed(row, term, weight.astype(np.float32), len(items), basis)
-    return basis, placed / np.maximum(np.linalg.norm(placed, axis=1, keepdims=True), 1e-9)
+def pair_sums(hit: np.ndarray, term: np.ndarray, weight: np.ndarray, begin: np.ndarray, end: np.ndarray, scale: np.ndarray, slot: np.ndarray, sign: np.ndarray, total: np.ndarray) -> None:
+    """Adds A'(A S) to total (terms x slots, flat).
+
+    A's rows are the passages, scaled; S has one entry a row, sign at slot. A pair of words that some
+    passages share counts as often as these, by a difference of sums over the passages.
+    """
+    slots = len(total) // len(slot)
+    so_far = np.concatenate([[0], np.cumsum(scale**2)])
+    low, high = np.searchsorted(end, hit, side="right"), np.searchsorted(begin, hit, side="right")  # the passages of each word
+    into, column, signed = term * slots, slot[term], weight * sign[term]
+    at, adds = [], []
+    for d in range(WIDTH):
+        n = len(hit) - d
+        a = np.flatnonzero(low[d:] < high[: max(n, 0)])
+        if not len(a):
+            break
+        b = a + d
+        times = so_far[high[a]] - so_far[low[b]]
+        at.append(into[a] + column[b])
+        adds.append((times * weight[a] * signed[b]).astype(np.float32))
+        if d:
+            at.append(into[b] + column[a])
+            adds.append((times * weight[b] * signed[a]).astype(np.float32))
+    if at:
+        total += np.bincount(np.concatenate(at), weights=np.concatenate(adds), minlength=len(total))
+
+
+def fit_space(texts: DataFrame, items: list[np.ndarray], terms: np.ndarray, idf: np.ndarray, rest: np.ndarray, seed: int = 11) -> np.ndarray:
+    """What a passage's entry of each term adds to its latent score with each item (terms x items).
+
+    The space is that of the leading singular vectors of all passages and items, by a randomised
+    method of one pass: Y = A'A S for a random S, and A'A is about Y (S'Y)^-1 Y'. A score is the
+    passage's place in the space times the item's, of length 1; both are linear in the passage, so
+    the basis and the items' places are multiplied once.
+    """
+    spark, v = texts.sparkSession, len(terms)
+    rank = min(RANK, v)
+    slots = min(v, 2 * rank)
+    random = np.random.default_rng(seed)
+    slot, sign = random.permutation(v) % slots, random.choice([-1.0, 1.0], v)
+    held = spark.sparkContext.broadcast((terms, idf, rest, slot, sign))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf, rest, slot, sign = held.value
+        maybe, total, n = term_table(terms), np.zeros(len(terms) * slots), 0
+        spatial = idf >= COMMON
+        for whole in batches:
+            for part in slices(whole, "text"):
+                words = Words(part.column("text"), folded=True)
+                hit, term = find_terms(terms, maybe, words.hashes)
+                _, begin, end, norm = passage_norms(words, hit, term, idf, rest)
+                some = np.flatnonzero(spatial[term])
+                hit, term = hit[some], term[some]
+                pair_sums(hit, term, idf[term], begin, end, 1 / np.maximum(norm, 1e-9), slot, sign, total)
+                n += len(begin)
+        total = total.reshape(-1, slots)
+        total = total.astype(np.float32)
+        cut = [np.array([n], np.float32), *(total[a : a + ROWS] for a in range(0, len(total), ROWS))]  # part 0 is n
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], names=["part", "total"])
+
+    sums = "part int, total binary"
+    found = texts.select("text").mapInArrow(run, sums).repartition("part").mapInArrow(add_task, sums).collect()  # one sum, not one a task
+    parts = [np.frombuffer(p["total"], np.float64) for p in sorted(found, key=lambda p: p["part"])]
+    y = np.concatenate(parts[1:]).reshape(v, slots) if parts else np.zeros((v, slots))
+    plain = plain_scores(items, terms, idf).astype(np.float64) * (idf >= COMMON)[:, None]
+    spread = np.zeros((v, slots))
+    spread[np.arange(v), slot] = sign
+    y = y + (plain @ (plain.T @ spread)) * max(1.0, (parts[0][0] if parts else 0) / max(len(items), 1))
+    values, vectors = np.linalg.eigh((core := spread.T @ y) + core.T)
+    kept = values > 1e-9 * max(values.max(initial=0), 1e-30)
+    left, size, _ = np.linalg.svd(y @ (vectors[:, kept] / np.sqrt(values[kept])), full_matrices=False)
+    basis = left[:, size > 0][:, :rank]
+    placed = basis.T @ plain
+    return (basis @ (placed / np.maximum(np.linalg.norm(placed, axis=0), 1e-9))).astype(np.float32)
+
+
+def plain_scores(items: list[np.ndarray], terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The same for the plain cosine: the items' normed TF-IDF (terms x items)."""
+    out = np.zeros((len(terms), len(items)), np.float32)
+    for i, x in enumerate(items):
+        own = np.bincount(np.searchsorted(terms, x), minlength=len(terms)) * idf
+        out[:, i] = own / max(np.linalg.norm(own), 1e-9)
+    return out
+
+
+def rare_terms(items: list[np.ndarray], idf: np.ndarray, overlap: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the terms that count towards an item's least number of hits: where each term's items begin and how many they are, these items, and each item's number.
+
+    A text that has the share ``overlap`` of an item's words in common with it lacks at most the
+    rest, m words. So of the m + SURE rarest words it holds SURE at least (all, of a shorter item).
+    """
+    term, item, need = [], [], np.zeros(len(items), np.int64)
+    for n, x in enumerate(items):
+        lacks = len(x) - int(np.ceil(overlap * len(x) - 1e-9))
+        rarest = x[np.argsort(-idf[x], kind="stable")][: lacks + SURE]
+        need[n] = max(len(rarest) - lacks, 1)
+        own, times = np.unique(rarest, return_counts=True)
+        # a word that is there once may stand for all its places in the item
+        need[n] = max(1, need[n] - int((times - 1).sum()))
+        term.append(own)
+        item.append(np.full(len(own), n))
+    term, item = np.concatenate(term), np.concatenate(item)
+    order = np.argsort(term, kind="stable")
+    many = np.bincount(term, minlength=len(idf))
+    return np.cumsum(many) - many, many, item[order], need
+
+
+def able_pairs(words: Words, hit: np.ndarray, term: np.ndarray, begin: np.ndarray, end: np.ndarray, rare: tuple, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Passages and items (pairs, distinct) such that the passage, with as many words around it as the item has, holds enough of the item's rarest words."""
+    low, many, rare_item, need = rare
+    low, many = low[term], many[term]
+    at = np.repeat(hit, many)
+    item = rare_item[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+    order = np.lexsort((at, item))
+    at, item = at[order], item[order]
+    found = [np.zeros(0, np.int64)]
+    for k in np.unique(need).tolist():
+        # k hits of an item within the widest window: a superset, as hits of one word count each
+        first = np.flatnonzero(need[item] == k)
+        last = first + k - 1
+        first = first[last < len(at)]
+        last = first + k - 1
+        near = (item[last] == item[first]) & (at[last] - at[first] < WIDTH + 2 * sizes[item[first]])
+        first, last = first[near], last[near]
+        low_p = np.searchsorted(end, at[last] - sizes[item[first]], side="right")
+        high_p = np.searchsorted(begin, at[first] + sizes[item[first]], side="right")
+        n = np.maximum(high_p - low_p, 0)
+        passage = np.repeat(low_p - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        found.append(passage * np.int64(len(sizes)) + np.repeat(item[first], n))
+    pairs = np.unique(np.concatenate(found))
+    return pairs // len(sizes), pairs % len(sizes)
+
+
+def pair_scores(passage: np.ndarray, item: np.ndarray, hit: np.ndarray, term: np.ndarray, begin: np.ndarray, end: np.ndarray, weight: np.ndarray, adds: np.ndarray) -> np.ndarray:
+    """Sums of what the words of each passage add to the score with its item."""
+    low, high = np.searchsorted(hit, begin[passage]), np.searchsorted(hit, end[passage])
+    n = high - low
+    pair = np.repeat(np.arange(len(n)), n)
+    at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.bincount(pair, weights=weight[at] * adds[term[at], item[pair]], minlength=len(n))
 
 
 def search_task(held, cosine: float, overlap: float, answer: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, idf, rest, basis, placed, items, item_ids = held.value
-        item_terms = [np.searchsorted(terms.hashes, x) for x in items]
-        # the most that a term adds to the cosine with any item
-        most, plain = np.zeros(len(terms.hashes)), np.zeros((len(terms.hashes), len(items)), np.float32)
-        for i, x in enumerate(item_terms):
-            own = np.bincount(x, minlength=0) * idf[: int(x.max()) + 1]
-            plain[: len(own), i] = own / max(np.linalg.norm(own), 1e-9)
-            most[: len(own)] = np.maximum(most[: len(own)], own / max(np.linalg.norm(own), 1e-9))
-        there = np.zeros(len(terms.hashes), bool)
+        terms, idf, rest, latent, plain, items, item_ids = held.value
+        maybe, sizes = term_table(terms), np.array([len(x) for x in items])
+        item_terms = [np.searchsorted(terms, x) for x in items]
+        rare = rare_terms(item_terms, idf, overlap)
+        there = np.zeros(len(terms), bool)
         for whole in batches:
             for part in slices(whole, "text"):
                 words = Words(part.column("text"), folded=True)
-                hit, hit_terms = terms.find(words.hashes)
-                text, begin, end, row, term, weight = passage_matrix(words, hit, hit_terms, idf, rest)
-                able = np.bincount(row, weights=weight * most[term], minlength=len(text)) >= cosine  # else no item is near
-                number = np.cumsum(able) - 1
-                use = able[row]
-                y = summed(number[row[use]], term[use], weight[use].astype(np.float32), int(able.sum()), basis)
-                which = np.flatnonzero(able)
+                hit, hit_terms = find_terms(terms, maybe, words.hashes)
+                text, begin, end, norm = passage_norms(words, hit, hit_terms, idf, rest)
+                passage, item = able_pairs(words, hit, hit_terms, begin, end, rare, sizes)
+                scores = (pair_scores(passage, item, hit, hit_terms, begin, end, idf[hit_terms], x) for x in (latent, plain))
+                near = np.maximum(*scores) / np.maximum(norm[passage], 1e-9)
                 best: dict[tuple[int, int], tuple[float, float]] = {}
-                near = np.maximum(y @ placed.T, summed(number[row[use]], term[use], weight[use].astype(np.float32), len(which), plain))
-                p, n = np.nonzero(near >= cosine)
-                for p_, n_ in zip(p.tolist(), n.tolist(), strict=True):
-                    t, item = int(text[which[p_]]), items[n_]
+                for x in np.flatnonzero(near >= cosine).tolist():
+                    p, n = int(passage[x]), int(item[x])
+                    t, own = int(text[p]), items[n]
                     # the passage with what stands around it, as long as the item
-                    low = max(int(words.first[t]), int(begin[which[p_]]) - len(item))
-                    high = min(int(words.first[t + 1]), int(end[which[p_]]) + len(item))
+                    low = max(int(words.first[t]), int(begin[p]) - len(own))
+                    high = min(int(words.first[t + 1]), int(end[p]) + len(own))
                     a, b = np.searchsorted(hit, (low, high))
                     there[hit_terms[a:b]] = True
-                    shared = there[item_terms[n_]].sum()  # the sequence in common is no longer
+                    shared = there[item_terms[n]].sum()  # the sequence in common is no longer
                     there[hit_terms[a:b]] = False
-                    if shared < overlap * len(item):
+                    if shared < overlap * len(own):
                         continue
                     around = words.hashes[low:high]
-                    share = lcs(item, around) / len(item)
-                    tail = item[-max(1, len(item) // 4) :]
-                    if share >= overlap and lcs(tail, around) >= answer * len(tail) and share > best.get((t, n_), (0.0, 0.0))[0]:
-                        best[t, n_] = (share, float(near[p_, n_]))
+                    share = lcs(own, around) / len(own)
+                    tail = own[-max(1, len(own) // 4) :]
+                    if share >= overlap and lcs(tail, around) >= answer * len(tail) and share > best.get((t, n), (0.0, 0.0))[0]:
+                        best[t, n] = (share, float(near[x]))
                 keys = list(best)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(pa.array([k[0] for k in keys], pa.int64())), pa.array([item_ids[k[1]] for k in keys], pa.int64()), pa.array([best[k][0] for k in keys], pa.float64()), pa.array([best[k][1] for k in keys], pa.float64())],
@@ -223,26 +288,27 @@ def search_task(held, cosine: float, overlap: float, answer: float):
     return run
 
 
-def frequency_task(held):
-    """How many texts hold each term (held: Terms), or a word of each bucket (held: None); the last count is that of the texts."""
+def frequency_task(held, others: bool):
+    """How many texts hold each term (numbers from 0) and, if asked for, a word of each bucket (numbers from the number of terms); -1: how many texts there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = held.value if held else None
-        counts, texts = np.zeros((len(terms.hashes) if terms else BUCKETS) + 1, np.int64), 0
+        terms = held.value
+        maybe = term_table(terms)
+        size, texts = len(terms) + others * BUCKETS, 0
+        counts = np.zeros(size, np.int64)
         for whole in batches:
             for part in slices(whole, "text"):
                 words = Words(part.column("text"), folded=True)
-                if terms:
-                    hit, term = terms.find(words.hashes)
-                    text = np.searchsorted(words.first, hit, side="right") - 1
-                else:
-                    text, term = words.text_of_word(), buckets(words.hashes, BUCKETS)
-                pairs = np.unique(text * np.int64(len(counts)) + term)
-                counts += np.bincount(pairs % len(counts), minlength=len(counts))
+                hit, term = find_terms(terms, maybe, words.hashes)
+                text = words.text_of_word()
+                seen = [(text[hit], term)] + ([(text, len(terms) + buckets(words.hashes, BUCKETS))] if others else [])
+                for t, x in seen:
+                    pairs = np.sort(t * np.int64(size) + x)
+                    pairs = pairs[np.flatnonzero(np.diff(pairs, prepend=-1))]
+                    counts += np.bincount(pairs % size, minlength=size)
                 texts += len(words)
-        counts[-1] = texts
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(counts[some], texts))], names=["term", "n"])
 
     return run
 
@@ -252,16 +318,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.2, ove
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     asked = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
-    blocks = max(1, -(-asked.count() // RANK))
+    # about so many blocks that each has RANK items and BLOCK_CHARS characters at most; a longer item stands alone with what its hash brings
+    size = asked.agg(F.count("*").alias("items"), F.sum(F.length("text")).alias("chars")).first()
+    blocks = max(1, -(-size["items"] // RANK), -(-(size["chars"] or 0) // BLOCK_CHARS))
+
+    def counted(terms: np.ndarray, others: bool) -> tuple[np.ndarray, int]:
+        counts = np.zeros(len(terms) + others * BUCKETS)
+        got = texts.mapInArrow(frequency_task(spark.sparkContext.broadcast(terms), others), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        at, n = got.column("term").to_numpy(), got.column("n").to_numpy()
+        counts[at[at >= 0]] = n[at >= 0]
+        return counts, int(n[at < 0].sum())
 
-    def counted(held, n: int) -> np.ndarray:
-        counts = np.zeros(n + 1)
-        got = texts.mapInArrow(frequency_task(held), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-        counts[got.column("term").to_numpy()] = got.column("n").to_numpy()
-        return counts
+    def weights(counts: np.ndarray, of: int) -> np.ndarray:
+        return np.log((of + 1) / (np.minimum(counts, of) + 1)) + 0.05
 
-    of_words = counted(None, BUCKETS)
-    rest = np.log((of_words[-1] + 1) / (np.minimum(of_words[:-1], of_words[-1]) + 1)) + 0.05
+    rest = None
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, item_id long, overlap double, cosine double"
     found = spark.createDataFrame([], schema)
     for b in range(blocks):
@@ -272,11 +343,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.2, ove
             continue
         items = [words.hashes[words.first[i] : words.first[i + 1]] for i in kept]
         item_ids = block.column("item").to_numpy()[kept]
-        terms = Terms(words.hashes)
-        counts = counted(spark.sparkContext.broadcast(terms), len(terms.hashes))
-        idf = np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 0.05
-        basis, placed = fit_space(texts, items, terms, idf, rest)
-        held = spark.sparkContext.broadcast((terms, idf, rest, basis, placed, items, item_ids))
+        terms = np.unique(words.hashes)
+        counts, n_texts = counted(terms, rest is None)
+        idf = weights(counts[: len(terms)], n_texts)
+        rest = weights(counts[len(terms) :], n_texts) if rest is None else rest
+        held = spark.sparkContext.broadcast((terms, idf, rest, fit_space(texts, items, terms, idf, rest), plain_scores(items, terms, idf), items, item_ids))
         part = texts.mapInArrow(search_task(held, cosine, overlap, answer), schema.replace(f"`{id_col}`", "id", 1))
         found = found.unionAll(part.withColumnRenamed("id", id_col))
     return found
