@@ -10,9 +10,11 @@ suffix in each window of ``span`` words, so the union of the runs covers long re
 
 Sorting is by Spark (it spills); a task compares one block of sorted suffixes at a time. A
 first-words group of more than ``HOT`` suffixes is cut by its next and, again, by its previous half
-of the words needed (a window has one of the halves), so a hot group is dealt over many tasks. Where
-a group is longer than a block, one suffix for each different window goes on to its next block, so
-memory follows the different windows of one group.
+of the words needed (a window has one of the halves), and dealt by salt over tasks of about ``HOT``
+suffixes. Each such part is settled by itself; one suffix for each different window of a part then
+goes to a second round, where the parts of a group meet. Where a group is longer than a block, too,
+one suffix for each different window goes on to its next block. So neither a task nor its memory
+follows the number of copies of a passage, but that of a group's different windows.
 
 Exact copies are one content; of those with two rows or more, the whole text is a repeat.
 
@@ -32,11 +34,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import NO_ID, live_anchors
+from .tables import written
 from .words import Words, ints, mix, slices
 
 HOT = 4096
 BLOCK = 20_000
-RUNS = "doc long, begin int, end int, match_id long"
+#: salt: the part of a hot group, -1 if the suffix is in no such group.
+SUFFIX = ["h", "cut", "salt", "after", "before", "doc", "rep", "pos"]
+SUFFIXES = "h long, cut long, salt int, after binary, before binary, doc long, rep long, pos int"
+#: Runs (h is null), and suffixes that go on to the second round (begin is null).
+FOUND = f"begin int, end int, match_id long, {SUFFIXES}"
 
 
 def context_task(k: int, span: int):
@@ -65,7 +72,8 @@ def context_task(k: int, span: int):
 
                 after, before = gathered(k + np.arange(reach)), gathered(-1 - np.arange(reach))
                 half = -(-reach // 2)
-                hot = fields.field("n").to_numpy(zero_copy_only=False) > HOT
+                often = fields.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
+                hot = often > HOT
                 h = fields.field("h").to_numpy(zero_copy_only=False)
                 for side, near in ((0, after), (1, before)):
                     rows = np.flatnonzero(hot | (side == 0))
@@ -77,7 +85,9 @@ def context_task(k: int, span: int):
                     cut = np.where(hot[rows], ints(cut), 0)
                     docs, reps = (part.column(c).to_numpy()[text[rows]] for c in ("doc", "rep"))
                     fixed = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * reach), len(rows), [None, pa.py_buffer(np.ascontiguousarray(x[rows]).tobytes())]).cast(pa.binary()) for x in (after, before)]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[rows]), pa.array(cut), *fixed, pa.array(docs), pa.array(reps), pa.array(pos[rows].astype(np.int32))], names=["h", "cut", "after", "before", "doc", "rep", "pos"])
+                    parts = -(-often[rows] // HOT)
+                    salt = np.where(hot[rows], ints(mix(mix(docs.astype(np.uint64), 11) ^ pos[rows].astype(np.uint64), 12) >> np.uint64(1)) % parts, -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[rows]), pa.array(cut), pa.array(salt.astype(np.int32)), *fixed, pa.array(docs), pa.array(reps), pa.array(pos[rows].astype(np.int32))], names=SUFFIX)
 
     return run
 
@@ -119,40 +129,56 @@ def match_block(group: np.ndarray, after: np.ndarray, before: np.ndarray, doc: n
 
 
 def match_task(k: int, span: int):
-    """Over sorted suffixes, in blocks that end where a first-words group ends; of a larger group what stands for its windows is kept."""
+    """Over sorted suffixes, in blocks that end where a group ends; of a larger group what stands for its windows is kept."""
     reach = span - k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         kept = 0
 
+        def edges(b: pa.RecordBatch) -> np.ndarray:
+            """Mask: where a group begins, but for the first."""
+            h, cut, salt = (b.column(c).to_numpy() for c in ("h", "cut", "salt"))
+            return (h[1:] != h[:-1]) | (cut[1:] != cut[:-1]) | (salt[1:] != salt[:-1])
+
         def block(b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
-            h, cut, doc, rep, pos = (b.column(c).to_numpy() for c in ("h", "cut", "doc", "rep", "pos"))
+            doc, rep, pos = (b.column(c).to_numpy() for c in ("doc", "rep", "pos"))
             after, before = (np.frombuffer(b"".join(b.column(c).to_pylist()), ">u4").reshape(-1, reach) for c in ("after", "before"))
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (cut[1:] != cut[:-1])
-            (d, begin, end, other), stands = match_block(np.cumsum(new), after, before, doc, rep, pos.astype(np.int64), k, span)
-            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(other)], names=["doc", "begin", "end", "match_id"]), stands
+            group = np.concatenate([[0], np.cumsum(edges(b))])
+            (d, begin, end, other), stands = match_block(group, after, before, doc, rep, pos.astype(np.int64), k, span)
+            own = {"begin": pa.array(begin.astype(np.int32)), "end": pa.array(end.astype(np.int32)), "match_id": pa.array(other), "doc": pa.array(d)}
+            return filled(own, len(d), b.schema), stands
+
+        def again(b: pa.RecordBatch, stands: np.ndarray) -> pa.RecordBatch:
+            """What goes on to the second round: of hot groups, what stands for their windows."""
+            part = b.filter(pa.array(stands & (b.column("salt").to_numpy() >= 0)))
+            return filled({n: part.column(n) for n in SUFFIX}, part.num_rows, b.schema)
+
+        def filled(own: dict, n: int, schema: pa.Schema) -> pa.RecordBatch:
+            kinds = {"begin": pa.int32(), "end": pa.int32(), "match_id": pa.int64()} | {f.name: f.type for f in schema}
+            return pa.RecordBatch.from_arrays([own.get(c, pa.nulls(n, kind)) for c, kind in kinds.items()], names=list(kinds))
 
         for b in batches:
             held.append(b)
             if sum(x.num_rows for x in held) < max(BLOCK, 2 * kept):
                 continue
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            h, cut = whole.column("h").to_numpy(), whole.column("cut").to_numpy()
-            edge = np.flatnonzero((h[1:] != h[:-1]) | (cut[1:] != cut[:-1]))
-            at = int(edge[-1]) + 1 if len(edge) else 0
+            last = np.flatnonzero(edges(whole))
+            at = int(last[-1]) + 1 if len(last) else 0
             if at:
-                yield block(whole.slice(0, at))[0]
+                runs, stands = block(whole.slice(0, at))
+                yield runs
+                yield again(whole.slice(0, at), stands)
                 held, kept = [whole.slice(at)], 0
             else:
                 runs, stands = block(whole)
                 yield runs
                 held, kept = [whole.filter(pa.array(stands))], int(stands.sum())
-        if held:
-            rest = pa.Table.from_batches(held).combine_chunks().to_batches()
-            if rest:
-                yield block(rest[0])[0]
+        rest = pa.Table.from_batches(held).combine_chunks().to_batches() if held else []
+        if rest:
+            runs, stands = block(rest[0])
+            yield runs
+            yield again(rest[0], stands)
 
     return run
 
@@ -161,9 +187,14 @@ def repeated_runs(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_
     """Rows (id, begin, length, match_id): the maximal runs of words of a text that repeats cover."""
     k = max(1, span // 3)
     rows, contents, texts = live_anchors(docs, k, span, False, id_col, text_col)
-    suffixes = texts.select("doc", "rep", "text", "live").mapInArrow(context_task(k, span), "h long, cut long, after binary, before binary, doc long, rep long, pos int")
-    order = ["h", "cut", "after", "doc", "pos"]
-    runs = suffixes.repartition("h", "cut").sortWithinPartitions(*order).mapInArrow(match_task(k, span), RUNS)
+    suffixes = texts.select("doc", "rep", "text", "live").mapInArrow(context_task(k, span), SUFFIXES)
+
+    def settled(rows: DataFrame, *group: str) -> DataFrame:
+        return rows.repartition(*group).sortWithinPartitions(*group, "after", "doc", "pos").mapInArrow(match_task(k, span), FOUND)
+
+    first = written(settled(suffixes, "h", "cut", "salt"), "runs")
+    second = first.where("begin is null").select("h", "cut", F.lit(-1).alias("salt"), *SUFFIX[3:])
+    runs = first.where("begin is not null").unionAll(settled(second, "h", "cut", "salt")).select("doc", "begin", "end", "match_id")
     runs = runs.groupBy("doc", "begin", "end").agg(F.min("match_id").alias("match_id"))
     so_far = Window.partitionBy("doc").orderBy("begin", F.desc("end"))  # of one text
     runs = runs.withColumn("reach", F.max("end").over(so_far.rowsBetween(Window.unboundedPreceding, -1)))
