@@ -1,14 +1,20 @@
 """Substring dedup (operator 7): prefix-partitioned suffix trees.
 
 The suffixes are those that begin at a word and may take part in a repeat of ``span`` words (see
-anchors.py: no repeat is lost). A suffix is cut at depth ``span``; its label is the fingerprints of
-its first 8, 17, 26 and 35 words (for span 35; depths scale), 128 bits in all. Range partitioning on
-the labels, followed by the suffix's place, splits the suffixes by prefixes of as many levels as it
-takes to make partitions of even size: a prefix that is hot at one depth is split at the next, and a
-label that is hot at full depth is split by place. Each task walks its subtree depth first, that is
-in the order of the sorted labels, and holds one batch at a time. A node at full depth with two
-leaves is deep: all its leaves are repeats. The rest, leaves alone, are what the tasks report; nodes
-at the edges of partitions (two a partition) are settled by one small aggregation.
+anchors.py: no repeat is lost), cut at depth ``span``. A suffix's label has the fingerprints of its
+prefixes of four depths, 8, 17, 26 and 35 words for span 35: the tree's levels, so that a path of
+words is one step.
+
+A first pass counts the suffixes by prefix, for each depth, in buckets of prefixes. A suffix goes to
+the group of its shortest prefix whose bucket holds ``LEAVES`` suffixes at most, so a prefix that is
+too frequent is split at the next depth, and a group fits in memory. Only prefixes of full depth may
+be more frequent: their suffixes are dealt by place over as many groups as it takes, and the counts
+of their nodes, one row a node and group, are added up afterwards.
+
+A group's subtree is its sorted labels and the depths at which neighbours part (LCP). An internal
+node is a run of suffixes that share a depth; those of full depth are the deep ones, and their leaves
+are the windows that repeat. What the tasks report is the rest, leaves alone at full depth. The
+windows that repeat are joined to maximal runs of each text.
 
 Defined results: a null text has no words; texts of fewer than ``span`` words lose nothing; exact
 copies of ``span`` words or more lose every word; repeated rows count as copies; rows of equal id
@@ -28,74 +34,131 @@ from pyspark.sql import functions as F
 
 from .anchors import NO_ID, covered, kept_digest, live_anchors, live_positions, live_windows
 from .tables import written
-from .words import Words, ints, slices, span_hashes
+from .words import Words, ints, mix, slices, span_hashes
 
 LABEL = ["k1", "k2"]
+#: So many suffixes of a group are held in memory.
+LEAVES = 1 << 18
+#: The counting pass has so many buckets of prefixes for each group that there must be.
+SPREAD = 16
+NODES = "k1 long, k2 long, doc long, pos int, leaves int, edge boolean"
 
 
 def depths(span: int) -> tuple[int, int, int, int]:
     return max(1, span // 4), max(1, span // 2), max(1, 3 * span // 4), span
 
 
-def suffix_task(k: int, span: int):
-    """Labels of the suffixes of a batch of texts; pos is complemented where the text has copies."""
+def labelled(part: pa.RecordBatch, k: int, span: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Text and first word of each suffix of a batch, and its fingerprint at each depth (32 bits)."""
+    words = Words(part.column("text"))
+    starts = live_windows(words, live_positions(part.column("live")), k, span)
+    text = np.repeat(np.arange(len(words)), [len(x) for x in starts])
+    pos = np.concatenate([*starts, np.zeros(0, np.int64)])
+    at = pos + words.first[text]
+    return text, pos, [span_hashes(words.hashes, at, at + depth, 10 + n) >> np.uint64(32) for n, depth in enumerate(depths(span))]
+
+
+def bucket_of(fingerprint: np.ndarray, n: int) -> np.ndarray:
+    return (fingerprint & np.uint64(n - 1)).astype(np.int64)
+
+
+def count_task(k: int, span: int, n: int):
+    """How many suffixes each bucket of prefixes has, at each depth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(4 * n, np.int64)
         for whole in batches:
             for part in slices(whole, "text"):
-                words = Words(part.column("text"))
-                starts = live_windows(words, live_positions(part.column("live")), k, span)
-                sizes = [len(x) for x in starts]
-                if not sum(sizes):
+                for level, fingerprint in enumerate(labelled(part, k, span)[2]):
+                    counts += np.bincount(bucket_of(fingerprint, n) + level * n, minlength=4 * n)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
+
+    return run
+
+
+def groups_of(fingerprints: list[np.ndarray], place: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each suffix, and whether its group has only a part of a prefix of full depth; counts: by depth and bucket."""
+    n = counts.shape[1]
+    group, split = np.zeros(len(place), np.uint64), np.zeros(len(place), bool)
+    todo = np.ones(len(place), bool)
+    for level, fingerprint in enumerate(fingerprints):
+        bucket = bucket_of(fingerprint, n)
+        often = counts[level][bucket]
+        here = todo & ((often <= LEAVES) | (level == 3))
+        parts = np.maximum(-(-often // LEAVES), 1)
+        split |= here & (parts > 1)
+        group[here] = mix(bucket[here] * 4 + level, 41) ^ mix(place[here] % parts[here].astype(np.uint64), 42)
+        todo &= ~here
+    return (ints(group) >> 32).astype(np.int32), split
+
+
+def suffix_task(held, k: int, span: int):
+    """The suffixes of a batch of texts, with group and label; pos is complemented where the text has copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = held.value
+        for whole in batches:
+            for part in slices(whole, "text"):
+                text, pos, d = labelled(part, k, span)
+                if not len(pos):
                     continue
-                pos = np.concatenate(starts)
-                text = np.repeat(np.arange(len(words)), sizes)
-                at = pos + words.first[text]
-                d = [span_hashes(words.hashes, at, at + depth, 10 + n) >> np.uint64(32) for n, depth in enumerate(depths(span))]
+                doc = part.column("doc").to_numpy()[text]
+                group, split = groups_of(d, mix(mix(doc, 43) ^ pos.astype(np.uint64), 44), counts)
                 copies = part.column("copies").to_numpy()[text] > 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ints((d[0] << np.uint64(32)) | d[1])), pa.array(ints((d[2] << np.uint64(32)) | d[3])), pa.array(part.column("doc").to_numpy()[text]), pa.array(np.where(copies, ~pos, pos).astype(np.int32))],
-                    names=["k1", "k2", "doc", "pos"],
-                )
+                columns = [group, split, ints((d[0] << np.uint64(32)) | d[1]), ints((d[2] << np.uint64(32)) | d[3]), doc, np.where(copies, ~pos, pos).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["group", "split", "k1", "k2", "doc", "pos"])
 
     return run
 
 
-def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over sorted suffixes: the leaves that are alone at full depth, and one row for each node at an edge.
+def shared_depths(group: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """How many levels each suffix (sorted) shares with the one before it (0 to 4); -1 where a group begins."""
+    lcp = np.full(len(group), -1, np.int8)
+    same = group[1:] == group[:-1]
+    a, b = k1[1:] ^ k1[:-1], k2[1:] ^ k2[:-1]
+    levels = np.where(a != 0, np.where(a >> 32 != 0, 0, 1), np.where(b >> 32 != 0, 2, np.where(b != 0, 3, 4)))
+    lcp[1:][same] = levels[same]
+    return lcp
+
+
+def nodes_at(lcp: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the runs of suffixes that share ``level`` levels: the tree's nodes of that depth, leaves alone too."""
+    begins = np.flatnonzero(lcp < level)
+    return begins, np.append(begins[1:], len(lcp))
 
-    leaves: how many leaves a reported node has (2: two or more).
-    """
-    first, held = True, None  # held: the open node (k1, k2, doc, pos, leaves)
 
-    def out(rows: list[np.ndarray], edge: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows), pa.array(np.full(len(rows[0]), edge))], names=["k1", "k2", "doc", "pos", "leaves", "edge"])
+def tree_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over suffixes sorted by group and label: leaves alone at full depth, and each node of full depth of split prefixes (edge).
+
+    leaves: how many a reported node has (2: two or more).
+    """
+    held: list[pa.RecordBatch] = []
+
+    def settled(b: pa.RecordBatch) -> pa.RecordBatch:
+        group, k1, k2, doc, pos = (b.column(c).to_numpy() for c in ("group", "k1", "k2", "doc", "pos"))
+        split = b.column("split").to_numpy(zero_copy_only=False)
+        begins, _ = nodes_at(shared_depths(group, k1, k2), 4)
+        leaves = np.minimum(np.add.reduceat(np.where(pos < 0, 2, 1), begins), 2)
+        told = (leaves == 1) | split[begins]
+        at = begins[told]
+        columns = [k1[at], k2[at], doc[at], pos[at], leaves[told].astype(np.int32), split[at]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["k1", "k2", "doc", "pos", "leaves", "edge"])
 
     for b in batches:
         if not b.num_rows:
             continue
-        k1, k2, doc, pos = (b.column(n).to_numpy() for n in range(4))
-        new = np.ones(len(k1), bool)
-        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-        begins = np.flatnonzero(new)
-        weight = np.where(pos < 0, 2, 1)
-        leaves = np.minimum(np.add.reduceat(weight, begins), 2)
-        nodes = [k1[begins], k2[begins], doc[begins], pos[begins].astype(np.int32), leaves.astype(np.int32)]
-        if held is not None:
-            if held[0][0] == nodes[0][0] and held[1][0] == nodes[1][0]:
-                held[4] = np.minimum(held[4] + nodes[4][:1], 2).astype(np.int32)
-                nodes = [x[1:] for x in nodes]
-            nodes = [np.concatenate([h, x]) for h, x in zip(held, nodes, strict=True)]
-        held = [x[-1:].copy() for x in nodes]
-        done = [x[:-1] for x in nodes]
-        if first and len(done[0]):
-            yield out([x[:1] for x in done], True)
-            done, first = [x[1:] for x in done], False
-        alone = done[4] == 1
-        if alone.any():
-            yield out([x[alone] for x in done], False)
-    if held is not None:
-        yield out(held, True)
+        held.append(b)
+        group = b.column("group").to_numpy()
+        last = np.flatnonzero(group[1:] != group[:-1])
+        first = held[0].column("group")[0].as_py()
+        at = int(last[-1]) + 1 if len(last) else 0
+        if at or first != group[0]:  # groups end in this batch; the last one is open
+            done = [*held[:-1], b.slice(0, at)]
+            yield settled(pa.Table.from_batches(done).combine_chunks().to_batches()[0])
+            held = [b.slice(at)]
+    if held:
+        yield settled(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
 
 def remove_task(k: int, span: int):
@@ -125,10 +188,15 @@ def substring_dedup(docs: DataFrame, span: int = 35, id_col: str = "doc_id", tex
     """Rows (id, n_words, n_removed, kept_sha256, removed): removed has the runs of words taken out."""
     k = max(1, span // 3)
     rows, contents, texts = live_anchors(docs, k, span, True, id_col, text_col)
-    suffixes = texts.select("doc", "text", "copies", "live").mapInArrow(suffix_task(k, span), "k1 long, k2 long, doc long, pos int")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = [*LABEL, "doc", "pos"]
-    nodes = suffixes.repartitionByRange(parts, *place).sortWithinPartitions(*place).mapInArrow(walk, "k1 long, k2 long, doc long, pos int, leaves int, edge boolean")
+    spark = docs.sparkSession
+    words = rows.agg(F.sum("n_words")).first()[0] or 0
+    n = 1 << int(np.ceil(np.log2(max(words * SPREAD / LEAVES, 1 << 12))))
+    counts = np.zeros(4 * n, np.int64)
+    found = texts.select("text", "live").mapInArrow(count_task(k, span, n), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    held = spark.sparkContext.broadcast(counts.reshape(4, n))  # a bounded share of the suffixes: SPREAD buckets for LEAVES of them
+    suffixes = texts.select("doc", "text", "copies", "live").mapInArrow(suffix_task(held, k, span), "group int, split boolean, k1 long, k2 long, doc long, pos int")
+    nodes = suffixes.repartition("group").sortWithinPartitions("group", *LABEL).mapInArrow(tree_task, NODES)
     nodes = written(nodes, "nodes")
     edges = nodes.where("edge").groupBy(*LABEL).agg(F.sum("leaves").alias("leaves"), F.min("doc").alias("doc"), F.min("pos").alias("pos")).where("leaves = 1")
     alone = nodes.where("not edge").select("doc", "pos").unionAll(edges.select("doc", "pos")).groupBy("doc").agg(F.collect_list("pos").alias("alone"))
