@@ -6,7 +6,10 @@ smoothed counts of that language; a Viterbi path over the words, with a penalty
 labels spans. A text's language is the one whose spans hold the most letter bytes.
 
 The model is fitted on at most ``per_language`` training documents of each language (the least
-keyed hashes of the ids) and ``MOST_LANGUAGES`` languages; every text is labelled whole.
+keyed hashes of the ids). Their n-grams are counted in the executors, whole texts whatever their
+length; the driver gets the sums, and the model takes some 0.8 MB a language. Every text is labelled
+whole, in slices that shrink with the number of languages; words are scored in blocks of bytes and
+tiles of languages, so what a long text needs is its words' scores.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; rows with a null
 language train nothing; without any training row every text is ``und``; repeated rows are labelled
@@ -19,14 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sample import bounded_sample
-from .words import U, Words, mix, slices
+from .words import SLICE_BYTES, U, Words, slices, text_array
 
-MOST_LANGUAGES = 256
 BUCKETS = 1 << 16
+#: Bytes and languages that are scored at once.
+BLOCK_BYTES, TILE = 1 << 18, 8
 ORDERS = (2, 3, 4)
 #: Scripts by the first byte of a UTF-8 code point (first byte, last byte, script bit).
 SCRIPTS = ((0x41, 0x5A, 0), (0x61, 0x7A, 0), (0xC3, 0xC9, 0), (0xCE, 0xCF, 1), (0xD0, 0xD3, 2), (0xD4, 0xD5, 3), (0xD6, 0xD7, 4), (0xD8, 0xDB, 5), (0xE0, 0xE0, 6), (0xE1, 0xE1, 7), (0xE3, 0xE3, 8), (0xE4, 0xE9, 9), (0xEA, 0xED, 10), (0xF0, 0xF0, 11))
@@ -62,40 +67,63 @@ def has_letter(texts: pa.Array) -> np.ndarray:
     return np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
 
 
-def fit_languages(rows: list[tuple[str, str]], smoothing: float = 0.5) -> dict:
-    """rows: language and whole text of each training document."""
-    names = sorted({lang for lang, _ in rows})
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; the model's bound is {MOST_LANGUAGES}")
-    at = {name: i for i, name in enumerate(names)}
-    counts = np.zeros((len(ORDERS), BUCKETS, len(names)), np.float64)
-    scripts = np.zeros((len(names), 16), np.float64)
+def count_grams(texts: pa.Array, langs: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """For each language: slots (an order's bucket, or after these a script bit) and their counts in the texts."""
     masks = script_masks()
-    for lang, text in rows:
-        data = np.frombuffer(f" {text} ".encode("utf-8", "replace"), np.uint8)
-        for n, buckets in enumerate(gram_buckets(data)):
-            counts[n, :, at[lang]] += np.bincount(buckets, minlength=BUCKETS)
-        for bit in range(16):
-            scripts[at[lang], bit] += np.count_nonzero(masks[data] & (1 << bit))
-    scores = np.log((counts + smoothing) / (counts + smoothing).sum(axis=1, keepdims=True))
-    scores -= scores.mean(axis=2, keepdims=True) if names else 0
+    at = np.array(langs)
+    for lang in sorted(set(langs)):
+        counts = np.zeros(len(ORDERS) * BUCKETS + 16, np.int64)
+        for i in np.flatnonzero(at == lang).tolist():
+            data = np.frombuffer(f" {texts[i].as_py()} ".encode("utf-8", "replace"), np.uint8)
+            for a in range(0, len(data), BLOCK_BYTES):
+                low = max(0, a - max(ORDERS) + 1)
+                own = data[low : a + BLOCK_BYTES]
+                for n, buckets in enumerate(gram_buckets(own)):
+                    counts[n * BUCKETS : (n + 1) * BUCKETS] += np.bincount(buckets[a - low :], minlength=BUCKETS)
+                seen = np.bincount(masks[own[a - low :]], minlength=1 << 16)
+                for bit in range(16):
+                    counts[len(ORDERS) * BUCKETS + bit] += seen[1 << bit]
+        some = np.flatnonzero(counts)
+        yield lang, some, counts[some]
+
+
+def fit_languages(names: list[str], lang: np.ndarray, slot: np.ndarray, n: np.ndarray, smoothing: float = 0.5) -> dict:
+    """names: sorted; lang, slot, n: number of the language, slot and count (see count_grams)."""
+    size = len(ORDERS) * BUCKETS
+    scores = np.full((len(ORDERS), BUCKETS, len(names)), smoothing, np.float32)
+    grams = slot < size
+    scores.reshape(size, len(names))[slot[grams], lang[grams]] += n[grams]
+    scripts = np.zeros((len(names), 16))
+    scripts[lang[~grams], slot[~grams] - size] = n[~grams]
+    if names:
+        scores /= scores.sum(axis=1, keepdims=True, dtype=np.float64).astype(np.float32)
+        np.log(scores, out=scores)
+        scores -= scores.mean(axis=2, keepdims=True)
     share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
-    return {"names": names, "scores": scores.astype(np.float32), "scripts": ((share > 0.01) * (1 << np.arange(16))).sum(axis=1).astype(np.uint16)}
+    return {"names": names, "scores": scores, "scripts": ((share > 0.01) * (1 << np.arange(16))).sum(axis=1).astype(np.uint16)}
 
 
 def word_scores(words: Words, model: dict) -> np.ndarray:
     """Scores (words x languages); a language that lacks a word's scripts is out, unless all do."""
-    langs = len(model["names"])
-    per_byte = np.zeros((len(words.data) + 1, langs), np.float32)
-    for n, buckets in enumerate(gram_buckets(words.data)):
-        per_byte[1:] += model["scores"][n][buckets]
-    ends = np.minimum(words.ends + 1, len(words.data))  # the byte after a word tells its end
-    bounds = np.empty(2 * len(words.starts), np.int64)
-    bounds[0::2], bounds[1::2] = words.starts + 1, ends + 1
-    if bounds[-1] >= len(per_byte):
-        per_byte = np.vstack([per_byte, np.zeros((1, langs), np.float32)])
-    score = np.add.reduceat(per_byte, bounds, axis=0)[0::2]
-    seen = np.bitwise_or.reduceat(script_masks()[words.data], words.starts)
+    langs, data = len(model["names"]), words.data
+    score = np.empty((len(words.starts), langs), np.float32)
+    blocks = np.unique(np.searchsorted(words.starts, np.arange(0, len(data), BLOCK_BYTES)))
+    for a, b in zip(blocks.tolist(), [*blocks[1:].tolist(), len(words.starts)], strict=True):
+        if a == b:
+            continue
+        low = max(0, int(words.starts[a]) - max(ORDERS) + 1)
+        own = data[low : int(words.ends[b - 1]) + 1]
+        grams = gram_buckets(own)
+        bounds = np.empty(2 * (b - a), np.int64)
+        # the byte after a word tells its end
+        bounds[0::2], bounds[1::2] = words.starts[a:b] - low, np.minimum(words.ends[a:b] + 1 - low, len(own))
+        for tile in range(0, langs, TILE):
+            some = slice(tile, tile + TILE)
+            per_byte = np.zeros((len(own) + 1, min(TILE, langs - tile)), np.float32)
+            for n, buckets in enumerate(grams):
+                per_byte[:-1] += model["scores"][n][:, some][buckets]
+            score[a:b, some] = np.add.reduceat(per_byte, bounds, axis=0)[0::2]
+    seen = np.bitwise_or.reduceat(script_masks()[data], words.starts)
     fits = (model["scripts"][None, :] & seen[:, None]) > 0
     score[~fits & fits.any(axis=1)[:, None]] -= 1000.0
     return score
@@ -135,7 +163,8 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
 
 def label_texts(texts: pa.Array, model: dict, penalty: float) -> tuple[list, np.ndarray, list]:
     """Language, score and spans (begin and end word, language) of each text."""
-    words, langs = Words(texts), len(model["names"])
+    # each text stands between spaces, so its neighbours in a batch do not matter
+    words, langs = Words(pc.binary_join_element_wise(pa.scalar("", pa.large_string()), text_array(texts), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))), len(model["names"])
     n = len(words)
     if not langs or not len(words.starts):
         return ["und"] * n, np.zeros(n), [[] for _ in range(n)]
@@ -159,6 +188,12 @@ def label_texts(texts: pa.Array, model: dict, penalty: float) -> tuple[list, np.
     return [model["names"][k] if ok else "und" for k, ok in zip(top, known, strict=True)], score, spans
 
 
+def count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lang, slot, n in count_grams(batch.column("text"), batch.column("lang").to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slot), pa.string()), pa.array(slot), pa.array(n)], names=["lang", "slot", "n"])
+
+
 SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
 
@@ -166,14 +201,17 @@ def identify(docs: DataFrame, training: DataFrame, penalty: float = 8.0, per_lan
     """Rows (id, lang_pred, score, spans). training: rows whose texts and languages may be learned."""
     spark = docs.sparkSession
     known = training.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    picked = bounded_sample(known, lang_col, id_col, per_language)
-    ids = [r[0] for r in picked.select(id_col).collect()]  # per_language x MOST_LANGUAGES at most
-    rows = known.where(F.col(id_col).isin(ids)).select(lang_col, text_col).distinct().collect() if ids else []
-    model = spark.sparkContext.broadcast(fit_languages([(r[0], r[1]) for r in rows]))
+    picked = bounded_sample(known, lang_col, id_col, per_language)  # per_language ids a language
+    rows = known.join(F.broadcast(picked), [lang_col, id_col], "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sums = rows.mapInArrow(count_task, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    names = sorted(sums.column("lang").unique().to_pylist())
+    number = pc.index_in(sums.column("lang"), pa.array(names, pa.string())).to_numpy()
+    model = spark.sparkContext.broadcast(fit_languages(names, number, sums.column("slot").to_numpy(), sums.column("n").to_numpy()))
+    size = max(1 << 15, min(SLICE_BYTES, SLICE_BYTES * TILE // max(len(names), 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, "text"):
+            for part in slices(whole, "text", size):
                 lang, score, spans = label_texts(part.column("text"), model.value, penalty)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(lang, pa.string()), pa.array(score), pa.array(spans, SPANS)], names=[id_col, "lang_pred", "score", "spans"])
 
