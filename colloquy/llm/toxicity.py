@@ -36,7 +36,7 @@ from .words import Words, ints, slices
 PREFILTER = 1 << 20
 STEMS = (4, 5, 6, 7)
 LEAST = 3
-SIZES = (64, 128, 256, 512, 1024, 2048, 4096, 8192)
+SIZES = (8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192)
 #: A larger model may have so many times the least risk: it is judged on half of the sample, and used with all.
 WIDER = 1.15
 

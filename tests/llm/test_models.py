@@ -6,10 +6,11 @@ import pyarrow as pa
 import pytest
 from colloquy.llm import pieces
 from colloquy.llm.components import components
-from colloquy.llm.decontaminate import Terms, contaminated, lcs, search_task
+from colloquy.llm import decontaminate, toxicity as tox
+from colloquy.llm.decontaminate import contaminated, lcs, search_task
 from colloquy.llm.langid import identify, viterbi
 from colloquy.llm.toxicity import toxicity
-from colloquy.llm.words import Words, minimisers
+from colloquy.llm.words import Words, flat_texts, minimisers, mix
 
 ODD = ["", "  a  b ", "héllo 漢字 ▁x\n\n\tab", "   ", "<s> </s> [INST]", "x" * 300 + " " + "ab" * 200, "日本語のテキスト" * 20, "\u0000é\U0001F600"]
 
@@ -24,7 +25,7 @@ def test_without_dropout_equals_the_library(model, prose):
 
     texts = [t for t in ODD if "▁" not in t] + [prose(80, i) for i in range(20)]
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.PIECES)
-    flat, at, _ = pieces.encode_batch(pa.array(texts), np.arange(len(texts)), model, 1, 0.0, 16)
+    flat, at = pieces.encode_batch(*flat_texts(pa.array(texts)), np.arange(len(texts)), model, 1, 0.0)
     assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [sp.encode(t) for t in texts]
 
 
@@ -35,9 +36,9 @@ def slow_segment(model, symbols, salt, dropout):
         best = None
         for n in range(len(spans) - 1):
             (b, m, x), (_, e, y) = spans[n], spans[n + 1]
-            rank, made = pieces.find_merges(model, np.array([x]), np.array([y]))
+            rank = pieces.find_merges(model, np.array([x]), np.array([y]))
             if rank[0] < pieces.NONE and not pieces.skipped(np.array([salt], np.uint64), np.array([b]), np.array([m]), np.array([e]), dropout)[0]:
-                best = min(best or (1 << 40, 0, 0), (int(rank[0]), n, int(made[0])))
+                best = min(best or (1 << 40, 0, 0), (int(rank[0]), n, int(model["order"][rank[0]])))
         if best is None:
             return [s for _, _, s in spans]
         n = best[1]
@@ -53,10 +54,10 @@ def test_agenda_equals_slow_form(model, dropout):
     table = np.full((40, 12), -1, np.int32)
     for i, row in enumerate(rows):
         table[i, : len(row)] = row
-    done, n = pieces.segment_side_by_side(model, table, np.array([len(x) for x in rows]), salts, dropout)
+    keep, done = pieces.segment_side_by_side(model, table, np.array([len(x) for x in rows]), salts, dropout)
     for i, row in enumerate(rows):
         want = slow_segment(model, row, int(salts[i]), dropout)
-        assert done[i, : n[i]].tolist() == want == pieces.segment_long(model, list(row), int(salts[i]), dropout)
+        assert done[i][keep[i]].tolist() == want == pieces.segment_long(model, list(row), int(salts[i]), dropout)
 
 
 def test_dropout_varies_and_decodes(spark, docs, prose):
@@ -156,14 +157,72 @@ def test_decontamination(spark, prose):
 def test_a_copy_is_found_whatever_the_space_holds(prose):
     words = Words(pa.array([prose(24, 2000), prose(24, 2001)]))
     items = [words.hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-    terms = Terms(words.hashes)
-    v = len(terms.hashes)
-    held = SimpleNamespace(value=(terms, np.ones(v), np.ones(1), np.zeros((v, 1), np.float32), np.zeros((2, 1)), items, np.array([7, 8])))
+    terms = np.unique(words.hashes)
+    v, idf = len(terms), np.ones(len(np.unique(words.hashes)))
+    held = SimpleNamespace(value=(terms, idf, np.ones(1), np.zeros((v, 2), np.float32), decontaminate.plain_scores(items, terms, idf), items, np.array([7, 8])))
     batch = pa.RecordBatch.from_pydict({"id": [1, 2], "text": [prose(60, 1) + " " + prose(24, 2001) + " " + prose(60, 2), prose(100, 3)]})
     (got,) = search_task(held, 0.2, 0.6, 0.5)(iter([batch]))
     assert [(r["id"], r["item_id"]) for r in got.to_pylist()] == [(1, 8)]
 
 
+def test_search_equals_brute_force(prose):
+    """Every passage against every item, without pruning."""
+    r = random.Random(9)
+    texts, raw = [], [prose(r.randint(3, 60), 4000 + n) for n in range(30)] + ["a b a b a b c"]
+    for n in range(120):
+        item = raw[n % len(raw)].split()
+        for _ in range(n % 9):
+            item[r.randrange(len(item))] = "other%d" % r.randint(0, 9)
+        if n % 4 == 0:
+            item = item[: len(item) // 2] + prose(r.randint(1, 40), n).split() + item[len(item) // 2 :]
+        texts.append(prose(r.randint(0, 60), 5000 + n) + " " + " ".join(item) + " " + prose(r.randint(0, 60), 6000 + n))
+    words = Words(pa.array(raw), folded=True)
+    items = [words.hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+    terms = np.unique(words.hashes)
+    random_state = np.random.default_rng(3)
+    idf, rest = random_state.uniform(0.5, 5, len(terms)), random_state.uniform(0.5, 5, 64)
+    latent = (random_state.normal(0, 0.05, (len(terms), len(items)))).astype(np.float32)
+    plain = decontaminate.plain_scores(items, terms, idf)
+    held = SimpleNamespace(value=(terms, idf, rest, latent, plain, items, np.arange(len(items))))
+    (got,) = search_task(held, 0.2, 0.6, 0.5)(iter([pa.RecordBatch.from_pydict({"id": range(len(texts)), "text": texts})]))
+    want = set()
+    for t, text in enumerate(texts):
+        own = Words(pa.array([text]), folded=True)
+        h = own.hashes
+        weight = rest[decontaminate.buckets(h, 64)]
+        at = np.searchsorted(terms, h)
+        there = terms[np.minimum(at, len(terms) - 1)] == h
+        weight[there] = idf[at[there]]
+        _, begin, end = decontaminate.passages(own)
+        for b, e in zip(begin.tolist(), end.tolist(), strict=True):
+            for n, item in enumerate(items):
+                use = np.arange(b, e)[there[b:e]]
+                score = max((weight[use] @ x[at[use], n]) / np.linalg.norm(weight[b:e]) for x in (latent, plain))
+                around = h[max(0, b - len(item)) : e + len(item)]
+                tail = item[-max(1, len(item) // 4) :]
+                if score >= 0.2 and lcs(item, around) >= 0.6 * len(item) and lcs(tail, around) >= 0.5 * len(tail):
+                    want.add((t, n))
+    assert len(want) > 60 and {(r["id"], r["item_id"]) for r in got.to_pylist()} == want
+
+
+def test_pair_sums_equal_the_matrix(prose):
+    words = Words(pa.array([prose(90, 1), "", prose(20, 2), prose(33, 3)]))
+    terms = np.unique(words.hashes)[::2]
+    hit, term = decontaminate.find_terms(terms, decontaminate.term_table(terms), words.hashes)
+    _, begin, end = decontaminate.passages(words)
+    r = np.random.default_rng(4)
+    weight, scale, slots = r.uniform(1, 2, len(terms)), r.uniform(1, 2, len(begin)), 8
+    slot, sign, total = r.integers(0, slots, len(terms)), r.choice([-1.0, 1.0], len(terms)), np.zeros(len(terms) * slots)
+    decontaminate.pair_sums(hit, term, weight[term], begin, end, scale, slot, sign, total)
+    a, s = np.zeros((len(begin), len(terms))), np.zeros((len(terms), slots))
+    for p, (b, e) in enumerate(zip(begin, end, strict=True)):
+        for h, t in zip(hit, term, strict=True):
+            if b <= h < e:
+                a[p, t] += weight[t] * scale[p]
+    s[np.arange(len(terms)), slot] = sign
+    assert np.allclose(total.reshape(len(terms), slots), a.T @ a @ s, rtol=1e-4)
+
+
 def test_more_items_than_a_block(spark, prose):
     items = [(i, prose(24, 2000 + i)) for i in range(600)]
     rows = [(i, prose(60, i) + " " + items[i * 15][1] + " " + prose(60, 500 + i)) for i in range(40)]
@@ -176,3 +235,106 @@ def test_common_words_outside_the_benchmark_weigh_little(spark, prose):
     rows = [(i, filler + (" " + item if i % 2 else "") + " " + filler) for i in range(120)]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")
     assert {r.doc_id for r in contaminated(docs, bench).collect()} == set(range(1, 120, 2))
+
+
+def test_pu_risk_and_gradient_by_plain_formulas():
+    r = np.random.default_rng(8)
+    dense = {"p": r.random((7, 5)) < 0.4, "u": r.random((20, 5)) < 0.4}
+    made = {k: (*np.nonzero(x), len(x)) for k, x in dense.items()}
+    for prior, scale in ((0.1, 1.0), (0.9, 4.0)):  # the second has a negative bracket
+        w, b = r.normal(size=5) * scale, 0.3 * scale
+
+        def parts(w, b, prior=prior):
+            p, u = (1 / (1 + np.exp(-(x @ w + b))) for x in (dense["p"], dense["u"]))
+            return prior * (1 - p).mean(), u.mean() - prior * p.mean()
+
+        toxic, clean = parts(w, b)
+        got, grad = tox.risk(made["p"], made["u"], w, b, prior)
+        assert np.isclose(got, toxic + max(0, clean))
+        for n in range(6):
+            d = np.zeros(6)
+            d[n] = 1e-6
+            (t1, c1), (t0, c0) = parts(w + d[:5], b + d[5]), parts(w - d[:5], b - d[5])
+            slope = ((t1 - t0) + (c1 - c0)) / 2e-6 if clean >= 0 else -(c1 - c0) / 2e-6
+            assert np.isclose(grad[n], slope, atol=1e-5)
+
+
+def test_toxic_stems_with_unseen_endings(spark, prose):
+    r = random.Random(11)
+    rows = []
+    for i in range(500):
+        words = prose(r.randint(20, 60), 9000 + i).split()
+        if i % 6 == 0:
+            words.insert(r.randrange(len(words)), "grimwo" + "".join(r.choice("abcdefg") for _ in range(6)))
+        rows.append((i, " ".join(words), int(i % 6 == 0)))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    marks = spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int")
+    got = {x.doc_id: x.score for x in toxicity(docs, docs.where("doc_id < 300"), marks).collect()}
+    held = [(got[i], y) for i, _, y in rows if i >= 300]
+    assert sum(s >= 0.3 for s, y in held if y) >= 0.9 * sum(y for _, y in held) and sum(s >= 0.3 for s, y in held if not y) <= 3
+
+
+def test_every_occurrence_has_draws_of_its_own(model):
+    flat, at = pieces.encode_batch(*flat_texts(pa.array(["understanding " * 400])), np.array([5]), model, 1, 0.2)
+    back, _ = pieces.decode_flat(flat, at, model)
+    assert bytes(back).decode() == "understanding " * 400
+    text, kinds = "", set()
+    own: list[int] = []
+    for piece in flat.tolist():
+        raw = model["raw"][model["raw_at"][piece] : model["raw_at"][piece + 1]].tobytes().decode()
+        if raw.startswith(" ") and own:
+            kinds.add(tuple(own))
+            own = []
+        own.append(piece)
+        text += raw
+    assert len(kinds) > 16
+
+
+def test_long_runs_without_spaces(model):
+    text = "".join(random.Random(1).choice("etaoin") for _ in range(60_000))
+    flat, at = pieces.encode_batch(*flat_texts(pa.array([text])), np.array([1]), model, 1, 0.1)
+    assert bytes(pieces.decode_flat(flat, at, model)[0]).decode() == text
+
+
+def test_many_languages_and_neighbours(spark, prose):
+    codes = [f"l{n:03d}" for n in range(300)]
+    train = spark.createDataFrame([(n, prose(30, 7000 + n), c) for n, c in enumerate(codes)], "doc_id long, text string, lang string")
+    asked = train.select("doc_id", "text")
+    got = {r.doc_id: r.lang_pred for r in identify(asked, train).collect()}
+    assert sum(got[n] == c for n, c in enumerate(codes)) > 250
+    from colloquy.llm.langid import count_grams, fit_languages, label_texts
+
+    rows = [(names := ["en", "fr"]).index(lang) for lang in ("en", "fr")]
+    parts = list(count_grams(pa.array(["the house and river", "la maison du fleuve"]), names))
+    model = fit_languages(names, np.repeat(rows, [len(p[1]) for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
+    alone = label_texts(pa.array(["the river"]), model, 2.0)
+    beside = label_texts(pa.array(["la", "the river", "maison"]), model, 2.0)
+    assert alone[0][0] == beside[0][1] and alone[1][0] == beside[1][1]
+
+
+def test_word_hashes_of_any_length():
+    texts = ["a" * n for n in (1, 7, 8, 9, 16, 64, 65, 200)] + ["b" + "a" * 199]
+    once, again = Words(pa.array(texts)), Words(pa.array(["x " + t + " y" for t in texts]))
+    assert len(set(once.hashes.tolist())) == len(texts) and again.hashes[1::3].tolist() == once.hashes.tolist()
+    assert int(mix(np.array([12345], np.uint64), 3)[0]) == pieces.mix_one(12345, 3)
+
+
+def test_operators_run_outside_the_repository(tmp_path):
+    """The workers have no copy of the package."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+sys.path.append({root!r})
+from colloquy.llm import registry
+for name in ("op10_decontamination", "op4_minhash_neardup"):
+    print(name, registry.queries()[name](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "op4_minhash_neardup 200" in done.stdout, done.stderr[-2000:]

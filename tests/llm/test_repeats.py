@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from colloquy.llm import suffixes
 from colloquy.llm.anchors import anchors_of
-from colloquy.llm.lines import NEAR_BITS, alike, dedup_lines, line_decisions, other_pairs, simhash
+from colloquy.llm.lines import alike, buckets, dedup_lines, first_pairs, line_decisions, other_pairs, with_features
 from colloquy.llm.neardup import near_duplicates
 from colloquy.llm.substrings import substring_dedup
 from colloquy.llm.suffixes import repeated_runs
@@ -99,11 +99,27 @@ def test_near_duplicates_equal_brute_force(spark, docs, prose):
 def test_large_groups_are_cut_into_tiles(spark, docs, prose, monkeypatch):
     from colloquy.llm import neardup
 
-    monkeypatch.setattr(neardup, "UNIT", 300)
     words = prose(120, 7).split()
     texts = [" ".join(words[:i] + ["w%d" % i] + words[i:]) for i in range(20)] + [prose(100, 9)]
-    got = {r.doc_id: r.class_id for r in near_duplicates(docs(texts)).collect()}
-    assert got == {i: 0 if i < 20 else 20 for i in range(21)}
+    for unit, spokes in ((300, 3), (2_000_000, 4096)):  # the same result whatever the tasks' size
+        monkeypatch.setattr(neardup, "UNIT", unit)
+        monkeypatch.setattr(neardup, "SPOKES", spokes)
+        got = {r.doc_id: r.class_id for r in near_duplicates(docs(texts)).collect()}
+        assert got == {i: 0 if i < 20 else 20 for i in range(21)}
+
+
+def test_near_duplicates_of_equal_and_null_ids(spark, docs, prose):
+    """Two texts of similarity about 0.65, and two near copies, whatever their ids."""
+    r, rows = random.Random(21), []
+    for n in range(6):
+        words = prose(100, 600 + n).split()
+        other = list(words)
+        for i in range(5, 100, 25):
+            other[i] = "other"
+        rows += [" ".join(words), " ".join(other), " ".join(words[:50] + ["one"] + words[50:])]
+    for ids in (range(18), [n // 3 for n in range(18)], [None] * 18):
+        got = near_duplicates(docs([(i, t) for i, t in zip(ids, rows, strict=True)])).collect()
+        assert len(got) == 18 and len({x.class_key for x in got}) == 12 and sorted(x.class_size for x in got) == [1] * 6 + [2] * 12
 
 
 def test_line_dedup(spark, docs, prose):
@@ -134,22 +150,49 @@ def test_edit_similarity_is_exact(spark):
     assert 100 < want.count() < 400 and alike(frame, "a", "b", 0.8).exceptAll(want).count() == 0 and want.exceptAll(alike(frame, "a", "b", 0.8)).count() == 0
 
 
-def test_every_two_lines_of_a_bucket_meet(spark):
-    # blocks 0 and 1 are equal; 3 and 9 differ in one bit, and stand between others that are far from both
-    sims = {1: 0, 2: 0x3FF << 30, 3: 0xFFFFF << 40, 4: (0xFFFFF << 40) + (0xFF << 22), 5: (0xFFFFF << 40) + (0xFFFF << 22), 9: (0xFFFFF << 40) + (1 << 39)}
-    frame = spark.createDataFrame([(n, s, 100, n) for n, s in sims.items()], "nh long, sim long, size int, label long")
-    near = {(a, b) for a in sims for b in sims if a < b and (sims[a] ^ sims[b]).bit_count() <= NEAR_BITS}
-    assert (3, 9) in near and {tuple(r) for r in other_pairs(frame, 0.8).collect()} == near
-    assert other_pairs(frame.selectExpr("nh", "sim", "size", "1L as label"), 0.8).count() == 0
-
-
-def test_simhash_counts_every_word(spark):
-    r = random.Random(6)
-    for n in (1, 15, 16, 63, 64, 5000):
-        hashes = [r.getrandbits(63) for _ in range(n)]
-        want = sum(1 << b for b in range(60) if 2 * sum(h >> b & 1 for h in hashes) > n)
-        frame = spark.createDataFrame([(hashes,)], "h array<long>")
-        assert frame.select(simhash(F.col("h"))).first()[0] == want
+def edited_lines(prose, n=300, words=20, edits=3):
+    """Pairs of lines of which some words are replaced, of edit similarity 0.8 at least."""
+    r, out = random.Random(13), []
+    while len(out) < n:
+        line = prose(words, 20_000 + r.randrange(10**6)).split()
+        other = list(line)
+        for i in r.sample(range(words), edits):
+            other[i] = prose(1, r.randrange(10**6))
+        a, b = " ".join(line), " ".join(other)
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(row[j] + 1, row[j + 1] + 1, last + (x != y))
+        if 0 < row[-1] <= 0.2 * max(len(a), len(b)):
+            out.append((a, b))
+    return out
+
+
+def test_fuzzy_pairs_are_found(spark, docs, prose):
+    for words, edits in ((20, 3), (8, 1), (50, 7)):
+        pairs = edited_lines(prose, 200, words, edits)
+        got = {r.doc_id: r.n_removed for r in line_decisions(docs([x for pair in pairs for x in pair])).collect()}
+        assert sum(got[2 * n + 1] for n in range(len(pairs))) >= 0.95 * len(pairs), (words, edits)
+
+
+def test_short_lines_meet_by_trigrams(spark, docs):
+    texts = ["antidisestablishment", "antidisestablishmemt", "chapter eleven overview", "chapter eleven overviev", "something else"]
+    assert [r.n_removed for r in line_decisions(docs(texts)).orderBy("doc_id").collect()] == [0, 1, 0, 1, 0]
+
+
+def test_every_two_lines_of_a_bucket_meet(spark, prose):
+    base = prose(20, 31).split()
+    lines = [" ".join(base[:12] + prose(8, 40 + n).split()) for n in range(12)]  # heavy words in common, not alike all
+    frame = with_features(spark.createDataFrame([(n, x) for n, x in enumerate(lines)], "nh long, norm string")).selectExpr("nh", "words", "grams", "length(norm) size", "nh label")
+    rows = {r.nh: r for r in frame.collect()}
+    keys = {}
+    for r in buckets(frame).collect():
+        keys.setdefault(r.key, set()).add(r.nh)
+    want = {(a, b) for a in rows for b in rows if a < b and abs(rows[a]["size"] - rows[b]["size"]) <= int(0.2 * max(rows[a]["size"], rows[b]["size"]) + 1e-6) and any({a, b} <= s and len(s) > 2 for s in keys.values()) and len(set(rows[a].words) & set(rows[b].words)) >= 3}
+    pairs, members = first_pairs(frame.select("nh", "words", "grams"))
+    assert len(want) > 5 and want <= {tuple(r) for r in other_pairs(members, frame, 0.8).collect()}
+    assert other_pairs(members, frame.withColumn("label", F.lit(1).cast("long")), 0.8).count() == 0
 
 
 def test_passages_also_quoted_in_part(prose, monkeypatch):
@@ -167,11 +210,19 @@ def test_passages_also_quoted_in_part(prose, monkeypatch):
         monkeypatch.setattr(suffixes, "BLOCK", block)
         live = [[{"pos": int(at[j] - words.first[i]), "n": often, "h": int(ints(h)[j])} for j in np.flatnonzero(text == i)] for i in range(len(texts))]
         rows = pa.RecordBatch.from_pydict({"doc": range(len(texts)), "rep": range(len(texts)), "text": texts, "live": pa.array(live, pa.list_(pa.struct([("pos", pa.int32()), ("n", pa.int64()), ("h", pa.int64())])))})
-        found = pa.Table.from_batches(suffixes.context_task(16, 50)(iter([rows]))).sort_by([("h", "ascending"), ("cut", "ascending"), ("after", "ascending")])
+        order = [(c, "ascending") for c in ("h", "cut", "salt", "after")]
+        found = pa.Table.from_batches(suffixes.context_task(16, 50)(iter([rows]))).sort_by(order)
         got = {}
-        for b in suffixes.match_task(16, 50)(iter(found.to_batches(max_chunksize=3))):
-            for r in b.to_pylist():
-                got.setdefault(r["doc"], set()).update(range(r["begin"], r["end"]))
+        for _ in range(2):
+            if not len(found):
+                break
+            out = pa.Table.from_batches(suffixes.match_task(16, 50)(iter(found.to_batches(max_chunksize=3)))).to_pylist()
+            for r in out:
+                if r["begin"] is not None:
+                    got.setdefault(r["doc"], set()).update(range(r["begin"], r["end"]))
+            again = [{c: r[c] for c in found.column_names} | {"salt": -1} for r in out if r["begin"] is None]
+            assert bool(again) == (often > suffixes.HOT and _ == 0)
+            found = pa.Table.from_pylist(again, found.schema).sort_by(order)
         assert got == {i: gone for i, (_, gone) in enumerate(windows(texts, 50)) if gone} and len(got) == 12
 
 
@@ -180,3 +231,17 @@ def test_near_duplicates_with_a_line_repeated(spark, docs, prose):
     texts = plain + [t + (" " + prose(15, 900 + n)) * 50 for n, t in enumerate(plain)]
     assert all(0.8 < len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) < 0.9 for a, b in zip(plain, texts[12:], strict=True))
     assert {r.doc_id: r.class_id for r in near_duplicates(docs(texts)).collect()} == {i: i % 12 for i in range(24)}
+
+
+def test_subtrees_whatever_the_groups(spark, docs, prose, monkeypatch):
+    from colloquy.llm import substrings
+
+    texts = corpus(prose, 8)
+    want = {i: len(gone) for i, (_, gone) in enumerate(windows(texts, 35))}
+    for leaves in (2, 50):  # groups of a few suffixes: deeper prefixes, and parts of hot ones
+        monkeypatch.setattr(substrings, "LEAVES", leaves)
+        assert {r.doc_id: r.n_removed for r in substring_dedup(docs(texts).repartition(3), 35).collect()} == want
+    group, k1, k2 = np.array([1, 1, 1, 1, 1, 2]), np.array([5, 5, 5, (1 << 33) + 1, (1 << 33) + 2, (1 << 33) + 2]), np.array([1 << 32, 1 << 32, (1 << 32) + 1, 0, 0, 0])
+    lcp = substrings.shared_depths(group, k1, k2)
+    assert lcp.tolist() == [-1, 4, 3, 0, 1, -1]
+    assert [x.tolist() for x in substrings.nodes_at(lcp, 3)] == [[0, 3, 4, 5], [3, 4, 5, 6]]

@@ -8,14 +8,16 @@ from colloquy.llm.topk import exact_topk
 from pyspark.sql import functions as F
 
 
-def test_topk_equals_brute_force_with_ties_and_bad_vectors(spark):
+def test_topk_equals_brute_force_with_ties_and_bad_vectors(spark, monkeypatch):
     r = random.Random(1)
     rows = [(i, [float(r.randint(-2, 2)) for _ in range(3)]) for i in range(300)]
     rows += [(1000, None), (1001, [1.0, None, 2.0]), (1002, [float("nan"), 1.0, 1.0]), (1003, [float("inf"), 1.0, 1.0]), (1004, []), (1005, [1.0, 2.0]), rows[0]]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash")).repartition(3)
-    for block in (4096, 2):
+    for tile, shard in ((4096, 1 << 16), (2, 7)):
+        monkeypatch.setattr(topk, "TILE", tile)
+        monkeypatch.setattr(topk, "SHARD", shard)
         got = {}
-        for x in exact_topk(frame, frame.where("vec_id % 50 = 0"), 5, block=block).collect():
+        for x in exact_topk(frame, frame.where("vec_id % 50 = 0"), 5).collect():
             got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
         want = {}
         for q, v in rows[:300:50]:
@@ -54,6 +56,20 @@ def test_topk_counts_a_repeated_best_row_once(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(1)
     assert [(x.rank, x.vec_id) for x in exact_topk(frame, frame.where("vec_id = 1"), 5).orderBy("rank").collect()] == [(1, 9), (2, 8), (3, 7), (4, 6), (5, 5)]
     monkeypatch.setattr(topk, "TILE", 2)  # copies in several tiles of a task
-    batch = pa.RecordBatch.from_pydict({"id": [r[0] for r in rows], "v": [r[1] for r in rows]})
-    (got,) = topk.search_task([(np.array([1]), np.array([[1.0]]))], 5)(iter([batch]))
+    rows = [(*r, 0, False) for r in rows] + [(1, [1.0], 0, True)]
+    batch = pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(("id", "v", "shard", "asks"))}, pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64())), ("shard", pa.int32()), ("asks", pa.bool_())]))
+    (got,) = topk.search_task(5)(iter([batch]))
     assert sorted(got.column("vec_id").to_pylist()) == [5, 6, 7, 8, 9]
+
+
+def test_topk_rows_of_one_id_and_null_ids(spark):
+    rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [5.0, 0.0]), (None, [9.0, 0.0]), (7, [2.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as query_id", "2 as id")
+    got = [tuple(x) for x in exact_topk(frame, frame.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 50, 5.0), (0, 2, 7, 2.0), (50, 1, 7, 10.0), (50, 2, 0, 5.0)]
+
+
+def test_topk_scans_once_whatever_the_queries(spark):
+    frame = spark.range(20_000).selectExpr("id as vec_id", "array(cast(id % 7 as double), 1d) as embedding")
+    plan = exact_topk(frame, frame)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 2
