@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import REPLY_PREFIX, python_json_string, words_after
 
+
 def latest_user_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """(key, latest): conversations without a user turn are left out."""
     return turns.where(F.col("role") == "user").groupBy(key).agg(F.max_by("text", order).alias("latest"))
@@ -80,132 +81,114 @@ def retry_outcomes(attempts: DataFrame, max_retries: int = 1, key: str = "reques
     return tried.groupBy(key).agg(best.alias("b")).select(key, F.col("b.attempt").alias("attempt"), F.col("b.code").alias("code"), (F.col("b.attempt") + 1).alias("attempts_made"))
 
 
-class ProviderError(Exception):
-    """A failed reply, with its error code."""
-
-    def __init__(self, code: str, detail: str = "") -> None:
-        super().__init__(detail or code)
-        self.code = code
-
-
-class Provider:
-    """A plug-in: a reply, or its chunks, from the turns of a conversation (dicts of role and content)."""
-
-    def reply(self, turns: list[dict]) -> str:
-        raise NotImplementedError
-
-    def chunks(self, turns: list[dict]) -> Iterator[str]:
-        yield self.reply(turns)
-
-
-class Mock(Provider):
-    def reply(self, turns: list[dict]) -> str:
-        return REPLY_PREFIX + next(t["content"] for t in reversed(turns) if t["role"] == "user")
-
-    def chunks(self, turns: list[dict]) -> Iterator[str]:
-        first, second, *rest = self.reply(turns).split(" ")
-        yield from (first + " ", second + " ", " ".join(rest))
-
-
-class Failing(Provider):
-    """Fails with a code, the chunks after ``sent`` have gone out."""
-
-    def __init__(self, code: str, sent: tuple[str, ...] = (), late_code: str = "") -> None:
-        self.code, self.sent, self.late_code = code, sent, late_code
-
-    def reply(self, turns: list[dict]) -> str:
-        raise ProviderError(self.code)
+#: Attempts of a request: attempt (from 0), code (null: success) and the chunks that went out.
+ATTEMPT = "attempt int, code string, chunks array<string>"
+#: An attempt with another code is the last one.
+RETRYABLE = "provider_unavailable"
+#: (histories, streamed, max_retries, key) to rows of key and ATTEMPT.
+Provider = Callable[[DataFrame, bool, int, str], DataFrame]
+
+#: What the built-in providers do: the attempts that fail (None: all), the code of a
+#: failed reply, the code of a failed stream, and how many chunks of a failed stream go out.
+SCRIPTS: dict[str, tuple[int | None, str, str, int]] = {
+    "mock": (0, "", "", 0),
+    "failing-mock": (None, "provider_unavailable", "provider_unavailable", 0),
+    "partial-failing-mock": (None, "provider_unavailable", "provider_stream_interrupted", 1),
+    "flaky-mock": (1, "provider_unavailable", "provider_unavailable", 0),
+    "timeout-mock": (None, "provider_timeout", "provider_timeout", 0),
+}
+UNSUPPORTED = (None, "provider_unsupported", "provider_unsupported", 0)
 
-    def chunks(self, turns: list[dict]) -> Iterator[str]:
-        yield from self.sent
-        raise ProviderError(self.late_code or self.code)
 
+def scripted(script: tuple[int | None, str, str, int]) -> Provider:
+    """A provider without Python code on the executors: every attempt is a row of the script."""
+    failing, reply_code, stream_code, sent = script
 
-class Flaky(Mock):
-    """Fails at its first call only."""
+    def attempts(histories: DataFrame, streamed: bool, max_retries: int, key: str) -> DataFrame:
+        asked = F.element_at(F.filter("messages", lambda m: m["role"] == "user"), -1)["content"]
+        words = F.split(F.concat(F.lit(REPLY_PREFIX), asked), " ", -1)
+        chunks = F.array(F.concat(words[0], F.lit(" ")), F.concat(words[1], F.lit(" ")), F.array_join(F.slice(words, 3, F.size(words)), " "))
+        fails = F.lit(True) if failing is None else F.col("attempt") < failing
+        rows = histories.select(key, chunks.alias("whole"), F.explode(F.sequence(F.lit(0), F.lit(max_retries))).alias("attempt"))
+        return rows.select(
+            key,
+            "attempt",
+            F.when(fails, stream_code if streamed else reply_code).alias("code"),
+            F.when(fails, F.slice("whole", 1, sent if streamed else 0)).otherwise(F.col("whole")).alias("chunks"),
+        )
 
-    def __init__(self) -> None:
-        self.calls = 0
+    return attempts
 
-    def reply(self, turns: list[dict]) -> str:
-        self.calls += 1
-        if self.calls == 1:
-            raise ProviderError("provider_unavailable")
-        return super().reply(turns)
 
+class ProviderError(Exception):
+    """What a plug-in raises: a failure with its error code."""
 
-#: Names of the built-in providers. Each request gets a provider of its own.
-PROVIDERS: dict[str, Callable[[], Provider]] = {
-    "mock": Mock,
-    "failing-mock": lambda: Failing("provider_unavailable"),
-    "partial-failing-mock": lambda: Failing("provider_unavailable", ("Mock ",), "provider_stream_interrupted"),
-    "flaky-mock": Flaky,
-    "timeout-mock": lambda: Failing("provider_timeout"),
-}
+    def __init__(self, code: str) -> None:
+        super().__init__(code)
+        self.code = code
 
 
-def provider(name: str, extra: dict[str, Callable[[], Provider]] | None = None) -> Callable[[], Provider]:
-    """What makes providers of that name; unknown names make providers that fail."""
-    return (PROVIDERS | (extra or {})).get(name.strip().lower(), lambda: Failing("provider_unsupported"))
+def failure_code(failed: Exception) -> str:
+    if isinstance(failed, ProviderError):
+        return failed.code
+    kinds = ((TimeoutError, "provider_timeout"), (ConnectionError, RETRYABLE))
+    return next((code for kind, code in kinds if isinstance(failed, kind)), "provider_request_failed")
 
 
-def code_of(failed: Exception) -> str:
-    return failed.code if isinstance(failed, ProviderError) else "provider_timeout"
+def plugged(speak: Callable[[list[dict], int], Iterator[str]]) -> Provider:
+    """A provider by a Python function: the chunks of a reply, from the turns of a conversation (dicts of
+    role and content) and the number of the attempt. Each attempt that is made becomes a row."""
 
+    def attempts(histories: DataFrame, streamed: bool, max_retries: int, key: str) -> DataFrame:
+        def attempted(turns: list[dict], number: int) -> tuple[str | None, list[str]]:
+            sent: list[str] = []
+            try:
+                for chunk in speak(turns, number):
+                    sent.append(chunk)
+            except Exception as failed:  # whatever a plug-in raises is an outcome
+                return failure_code(failed), sent
+            return None, sent
 
-def reliable_reply(made: Provider, turns: list[dict], max_retries: int) -> tuple[str | None, str | None, int]:
-    """(reply, error code, attempts); tried again only when the provider is unavailable."""
-    code = None
-    for attempt in range(max_retries + 1):
-        try:
-            return made.reply(turns), None, attempt + 1
-        except (ProviderError, TimeoutError) as failed:
-            code = code_of(failed)
-        if code != "provider_unavailable":
-            break
-    return None, code, attempt + 1
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = []
+                for k, messages in zip(pdf[key], pdf["messages"], strict=True):
+                    turns = [dict(m) if isinstance(m, dict) else m.asDict() for m in messages]
+                    number, code, sent = 0, RETRYABLE, []
+                    while number <= max_retries and code == RETRYABLE and not (streamed and sent):
+                        code, sent = attempted(turns, number)
+                        rows.append((k, number, code, sent))
+                        number += 1
+                yield pd.DataFrame(rows, columns=[key, "attempt", "code", "chunks"])
 
+        kind = histories.schema[key].dataType.simpleString()
+        return histories.select(key, "messages").mapInPandas(run, f"`{key}` {kind}, {ATTEMPT}")
 
-def reliable_chunks(made: Provider, turns: list[dict], max_retries: int) -> Iterator[tuple[str, str]]:
-    """(event, data): chunks, then done or error; tried again only before the first chunk."""
-    for attempt in range(max_retries + 1):
-        sent = False
-        try:
-            for chunk in made.chunks(turns):
-                sent = True
-                yield "chunk", chunk
-        except (ProviderError, TimeoutError) as failed:
-            if sent or attempt == max_retries or code_of(failed) != "provider_unavailable":
-                yield "error", code_of(failed)
-                return
-        else:
-            yield "done", ""
-            return
+    return attempts
 
 
-def _turns(column: pd.Series) -> list[list[dict]]:
-    return [[dict(t) if isinstance(t, dict) else t.asDict() for t in turns] for turns in column]
+def provider(name: str, extra: dict[str, Provider] | None = None) -> Provider:
+    """The provider of a name, whatever its case; an unknown name fails."""
+    known = {n: scripted(s) for n, s in SCRIPTS.items()} | (extra or {})
+    return known.get(name.strip().lower(), scripted(UNSUPPORTED))
 
 
-def provider_replies(histories: DataFrame, make: Callable[[], Provider], max_retries: int = 1, key: str = "conv_id") -> DataFrame:
-    """(key, reply, error, attempts) of histories(key, messages array<struct<role,content>>) by a Python plug-in."""
+def decided(histories: DataFrame, made: Provider, streamed: bool, max_retries: int, key: str) -> DataFrame:
+    """The attempt that decides each request, with its chunks."""
+    attempts = made(histories, streamed, max_retries, key).withColumn("emitted", F.size("chunks") if streamed else F.lit(0))
+    last = retry_outcomes(attempts, max_retries, key)
+    return last.join(attempts.select(key, "attempt", "chunks"), [key, "attempt"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [reliable_reply(make(), turns, max_retries) for turns in _turns(pdf["messages"])]
-            yield pd.DataFrame({key: pdf[key], "reply": [g[0] for g in got], "error": [g[1] for g in got], "attempts": [g[2] for g in got]})
 
-    kind = histories.schema[key].dataType.simpleString()
-    return histories.select(key, "messages").mapInPandas(run, f"`{key}` {kind}, reply string, error string, attempts int")
+def provider_replies(histories: DataFrame, made: Provider, max_retries: int = 1, key: str = "conv_id") -> DataFrame:
+    """(key, reply, error, attempts) of histories(key, messages array<struct<role,content>>)."""
+    reply = F.when(F.col("code").isNull(), F.array_join("chunks", ""))
+    return decided(histories, made, False, max_retries, key).select(key, reply.alias("reply"), F.col("code").alias("error"), F.col("attempts_made").alias("attempts"))
 
 
-def provider_chunks(histories: DataFrame, make: Callable[[], Provider], max_retries: int = 1, key: str = "conv_id") -> DataFrame:
+def provider_chunks(histories: DataFrame, made: Provider, max_retries: int = 1, key: str = "conv_id") -> DataFrame:
     """(key, seq, event, data) of the same histories: chunks, then done or error (data: its code)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, n, *e) for k, turns in zip(pdf[key], _turns(pdf["messages"]), strict=True) for n, e in enumerate(reliable_chunks(make(), turns, max_retries))]
-            yield pd.DataFrame(rows, columns=[key, "seq", "event", "data"])
-
-    kind = histories.schema[key].dataType.simpleString()
-    return histories.select(key, "messages").mapInPandas(run, f"`{key}` {kind}, seq long, event string, data string")
+    sent = F.transform("chunks", lambda x: F.struct(F.lit("chunk").alias("event"), x.alias("data")))
+    end = F.struct(F.when(F.col("code").isNull(), "done").otherwise("error").alias("event"), F.coalesce("code", F.lit("")).alias("data"))
+    rows = decided(histories, made, True, max_retries, key).select(key, F.posexplode(F.concat(sent, F.array(end))).alias("seq", "x"))
+    return rows.select(key, F.col("seq").cast("long").alias("seq"), "x.event", "x.data")

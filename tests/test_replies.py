@@ -87,3 +87,35 @@ def test_event_sink(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     write_events(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_python_plug_ins(spark):
+    histories = spark.createDataFrame([(1, [("user", "Hi")])], "conv_id long, messages array<struct<role:string,content:string>>")
+
+    def speak(turns, attempt):
+        yield turns[-1]["content"] + " "
+        if attempt == 0:
+            raise ConnectionError("gone")
+        yield "there"
+
+    def refuse(turns, attempt):
+        raise ValueError("odd")
+
+    made = {"own": replies.plugged(speak), "odd": replies.plugged(refuse)}
+    assert tuple(replies.provider_replies(histories, replies.provider("OWN", made)).first()) == (1, "Hi there", None, 2)
+    assert [(r.event, r.data) for r in replies.provider_chunks(histories, replies.provider("own", made)).orderBy("seq").collect()] == [("chunk", "Hi "), ("error", "provider_unavailable")]
+    assert tuple(replies.provider_replies(histories, replies.provider("odd", made)).first()) == (1, None, "provider_request_failed", 1)
+
+
+def test_versions_swap_in_together(spark, tmp_path):
+    folder = str(tmp_path)
+    one, two = spark.range(1).toDF("id"), spark.range(2).toDF("id")
+    assert versions.write_versions({"users": one, "messages": one}, folder) == 1
+    versions.write_versions({"users": two}, folder)
+    two.withColumn("id", F.raise_error(F.lit("broken"))).createOrReplaceTempView("broken")
+    try:
+        versions.write_versions({"messages": two, "users": spark.table("broken")}, folder)
+    except Exception:
+        pass
+    assert [versions.read_version(spark, folder, n).count() for n in ("users", "messages")] == [2, 1]
+    assert versions.write_versions({"messages": two}, folder) == 3 and versions.read_version(spark, folder, "messages").count() == 2
