@@ -48,6 +48,15 @@ def without_trailing_slashes(url: Column) -> Column:
     return F.regexp_replace(url, "/+$", "")
 
 
+def mentions(url: Column, part: str) -> Column:
+    """Whether a URL holds a text, as it is written."""
+    return url.contains(part)
+
+
+def is_secure(url: Column) -> Column:
+    return url.startswith("https://")
+
+
 def words_after(text: Column, n: int) -> Column:
     """The words after the first n, joined again (words: split on single spaces)."""
     words = F.split(text, " ", -1)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import title_of
+from ..functions.time import as_utc, iso_format
+
 
 def by_key(table: DataFrame, key: str, value: object) -> DataFrame:
     """The row of a unique key, or none."""
@@ -68,3 +71,16 @@ def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key:
 
 def payload_role(role: Column) -> Column:
     return F.when(role.isin("user", "assistant", "system"), role).otherwise("developer")
+
+
+def summaries(conversations: DataFrame, messages: DataFrame) -> DataFrame:
+    """The response shape of a listing: id, title, created_at (ISO 8601 text), message_count and newest_rank."""
+    listed = conversation_list(conversations, messages).select("conversation_id", "message_count", "newest_rank")
+    rows = conversations.join(listed, "conversation_id")
+    return rows.select(F.col("conversation_id").cast("string").alias("id"), title_of(F.col("title")).alias("title"), iso_format(as_utc(F.col("created_at"))).alias("created_at"), "message_count", "newest_rank")
+
+
+def stored_and_read(turns: DataFrame, new_turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """Each conversation after its new turns are stored: (key, messages array<struct<role,text>>)."""
+    stored = turns.select(key, order, "role", "text").unionByName(new_turns.select(key, order, "role", "text"))
+    return histories(stored.select(key).distinct(), stored, key, [order], ["role", "text"])

@@ -64,3 +64,27 @@ def rotated(tokens: DataFrame, presented: DataFrame, as_of: Column, days: int) -
     fresh = live.select(token_hash(F.col("new_token")).alias("token_hash"), "user_id", plus_days(as_of, days).alias("expires_at"), F.lit(None).cast("timestamp").alias("revoked_at"))
     old = revoked(tokens, live.select("token_hash"), as_of)
     return old.select(fresh.columns).unionByName(fresh)
+
+
+def with_defaults(rows: DataFrame) -> DataFrame:
+    """Rows to insert: an id and created_at of their own where these are absent or null."""
+    made = {"id": F.uuid(), "created_at": F.current_timestamp()}
+    return rows.withColumns({c: F.coalesce(F.col(c), value) if c in rows.columns else value for c, value in made.items()})
+
+
+def issued(tokens: DataFrame, logins: DataFrame, as_of: Column, days: int) -> DataFrame:
+    """tokens with an active one more for each of logins(user_id, new_token)."""
+    fresh = logins.select(token_hash(F.col("new_token")).alias("token_hash"), "user_id", plus_days(as_of, days).alias("expires_at"))
+    return tokens.unionByName(fresh, allowMissingColumns=True)
+
+
+def revoke_outcomes(tokens: DataFrame, presented: DataFrame) -> DataFrame:
+    """presented(request_id, token_hash) with error: a token that is unknown or revoked before is refused; an expired one is not."""
+    own = tokens.select("token_hash", F.col("revoked_at").isNull().alias("_open"))
+    return presented.join(own, "token_hash", "left").select("request_id", "token_hash", F.when(~F.coalesce("_open", F.lit(False)), "auth_refresh_token_invalid").alias("error"))
+
+
+def with_created(conversations: DataFrame, outcomes: DataFrame, new_id: Column) -> DataFrame:
+    """conversations(conversation_id, user_id, title) with those that loaded_or_created has made; new_id over its columns."""
+    made = outcomes.where("outcome = 'created'").withColumn("conversation_id", new_id)
+    return inserted(conversations.select("conversation_id", "user_id", "title"), made)

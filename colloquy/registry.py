@@ -18,6 +18,7 @@ from .operators import limiters, relations, replies, versions
 from .plans.errors import CODES, error_codes
 from .plans.limits import limit_table
 from .sources.logs import log_line
+from .sources.requests import refresh_requests as parse_refresh_requests
 from .sources.requests import within_body_limit
 from .sources.tables import parquet_table as table
 from .sources.tables import readiness as engine_readiness
@@ -184,10 +185,10 @@ def persisted_turns(spark, d):
     return replies.persisted_turns(*asked_and_events(spark, d))
 
 
-@query("select doc_id, coalesce(substr(text, 1, 80), 'Untitled conversation') as title, length(text) between 1 and 4000 as length_ok, n_chars <= 16384 as body_ok from documents")
+@query("select doc_id, coalesce(substr(text, 1, 80), 'Untitled conversation') as title, length(text) between 1 and 4000 as length_ok, strlen(text) <= 16384 as body_ok from documents")
 def message_checks(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", X.title_of(t).alias("title"), X.length_between(t, 1, 4000).alias("length_ok"), within_body_limit(F.col("n_chars")).alias("body_ok"))
+    return table(spark, d, "documents").select("doc_id", X.title_of(t).alias("title"), X.length_between(t, 1, 4000).alias("length_ok"), within_body_limit(F.octet_length(t)).alias("body_ok"))
 
 
 @query(r"""
@@ -245,9 +246,27 @@ def limiter_first_hit(spark, d):
     return limiters.first_hit_windows(table(spark, d, "events"), HIT_KEYS, 2, DAY).drop("ts")
 
 
-@query(FIRST_HIT_SQL)
-def limiter_first_hit_streamed(spark, d):
-    return limiters.first_hit_windows_streamed(table(spark, d, "events"), HIT_KEYS, 2, DAY).drop("ts")
+LIMITED_SQL = """
+with recursive h as (
+  select 'rate' as kind, 'auth_register' as action, 5 as most, 60::bigint as span, 'auth_register:' || user_id as bucket_key, event_id, epoch_us(ts) as t, 'rate_limit_exceeded' as code from events where event_type = 'click'
+  union all select 'quota', 'chat_stream', 50, 3600, 'chat_stream:' || user_id, event_id, epoch_us(ts), 'quota_exceeded' from events where event_type <> 'click'
+), n as (
+  select *, row_number() over (partition by kind, bucket_key order by t, event_id) as n from h
+), f as (
+  select kind, bucket_key, event_id, n, most, span, code, t as open, 1 as used, true as allowed from n where n.n = 1
+  union all
+  select n.kind, n.bucket_key, n.event_id, n.n, n.most, n.span, n.code, case when n.t >= f.open + n.span * 1000000 then n.t else f.open end,
+    case when n.t >= f.open + n.span * 1000000 then 1 when f.used < n.most then f.used + 1 else f.used end, n.t >= f.open + n.span * 1000000 or f.used < n.most
+  from f join n on n.kind = f.kind and n.bucket_key = f.bucket_key and n.n = f.n + 1
+) select kind, bucket_key, event_id, allowed, case when not allowed then code end as error, case when not allowed then 429 end as http_status from f"""
+
+
+@query(LIMITED_SQL)
+def limits_applied(spark, d):
+    """Clicks count as registrations of an address, other events as streams of a user."""
+    click = F.col("event_type") == "click"
+    hits = table(spark, d, "events").select(F.when(click, "rate").otherwise("quota").alias("kind"), F.when(click, "auth_register").otherwise("chat_stream").alias("action"), F.col("user_id").cast("string").alias("who"), "ts", "event_id")
+    return limiters.limited(hits, limit_table(spark)).drop("ts")
 
 
 @query("""
@@ -256,7 +275,15 @@ def limiter_epoch(spark, d):
     return limiters.epoch_windows(table(spark, d, "events"), HIT_KEYS, 2, DAY).drop("ts")
 
 
-@query()
+@query("""
+with recursive h as (
+  select event_type, event_id, epoch_ms(ts) as t, row_number() over (partition by event_type order by epoch_ms(ts), event_id) as n from events
+), f as (
+  select event_type, event_id, n, t as last, cast(0 as double) as excess, true as allowed from h where n = 1
+  union all
+  select event_type, event_id, n, case when more <= 20000 then t else last end, case when more <= 20000 then more else excess end, more <= 20000
+  from (select h.event_type, h.event_id, h.n, h.t, f.last, f.excess, greatest(f.excess - 0.5::double * (h.t - f.last) + 1000, 0) as more from f join h on h.event_type = f.event_type and h.n = f.n + 1)
+) select event_type, event_id, allowed from f""")
 def proxy_limit(spark, d):
     return limiters.leaky_bucket(table(spark, d, "events"), ["event_type"], 30, 20)
 
@@ -381,6 +408,82 @@ def json_literals(spark, d):
     return turns(spark, d).select("conv_id", "turn", X.python_json_string(plain).alias("literal"))
 
 
+@query("""
+select cast(o_orderkey as varchar) as id, substr(o_orderpriority, 1, 80) as title, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00') as created_at,
+  (select count(*) from lineitem where l_orderkey = o_orderkey) as message_count, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as newest_rank from orders""")
+def conversation_summaries(spark, d):
+    titled = conversations(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("conversation_id"), F.col("o_orderpriority").alias("title")), "conversation_id")
+    return relations.summaries(titled, counted_messages(spark, d))
+
+
+@query(f"""with {REPLY_SQL}, t as (
+  select conv_id, turn, role, text from conversations
+  union all select conv_id, 1000, 'user', 'again' from (select distinct conv_id from conversations)
+  union all select conv_id, 1001, 'assistant', reply from replies
+) select conv_id, string_agg(role || ':' || text, '|' order by turn) as history, count(*) as n from t group by conv_id""")
+def stored_turns(spark, d):
+    """Each conversation gets a user's turn and the reply to the one before, and is read back."""
+    t = turns(spark, d)
+    asked = t.select("conv_id").distinct().select("conv_id", F.lit(1000).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("again").alias("text"))
+    answered = replies.mock_replies(t).select("conv_id", F.lit(1001).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.col("reply").alias("text"))
+    back = relations.stored_and_read(t, asked.unionByName(answered))
+    return back.select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["text"])), "|").alias("history"), F.size("messages").cast("long").alias("n"))
+
+
+@query("select count(*) as n, count(*) as ids, count(*) as well_formed, count(*) as dated from orders")
+def keyed_inserts(spark, d):
+    rows = versions.with_defaults(table(spark, d, "orders").select(F.col("o_custkey").alias("user_id")))
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_if(X.is_uuid(F.col("id"))).alias("well_formed"), F.count("created_at").alias("dated"))
+
+
+@query(f"""with {TOKENS_SQL} select token_hash, user_id, epoch_us(expires_at) as expires_us, revoked_at is null as open from tokens
+union all select sha256('login-' || c_custkey), c_custkey, epoch_us(timestamp '{AS_OF}' + interval 7 day), true from customer""")
+def issue_tokens(spark, d):
+    """Every user logs in."""
+    logins = users(spark, d).select("user_id", F.concat(F.lit("login-"), "user_id").alias("new_token"))
+    return versions.issued(tokens(spark, d), logins, as_of(), 7).select("token_hash", "user_id", F.unix_micros("expires_at").alias("expires_us"), F.col("revoked_at").isNull().alias("open"))
+
+
+@query(f"""with {TOKENS_SQL}, p as (select o_orderkey as request_id, sha256(cast(o_orderkey + (o_orderkey % 5 = 0)::int * 100000000 as varchar)) as token_hash from orders)
+select request_id, p.token_hash, case when t.token_hash is null or t.revoked_at is not null then 'auth_refresh_token_invalid' end as error from p left join tokens t using (token_hash)""")
+def revoke_outcomes(spark, d):
+    """Every fifth request presents an unknown token."""
+    i = F.col("o_orderkey")
+    presented = table(spark, d, "orders").select(i.alias("request_id"), X.token_hash((i + F.when(i % 5 == 0, 100_000_000).otherwise(0)).cast("string")).alias("token_hash"))
+    return versions.revoke_outcomes(tokens(spark, d), presented)
+
+
+@query("select conv_id, turn, text as refresh_token, length(text) between 32 and 512 as accepted from (select conv_id, turn, regexp_replace(text, '[^ -~]', '?', 'g') as text from conversations)")
+def refresh_requests(spark, d):
+    rows = turns(spark, d).select("conv_id", "turn", F.to_json(F.struct(F.regexp_replace("text", "[^ -~]", "?").alias("refresh_token"))).alias("body"))
+    return parse_refresh_requests(rows).drop("body")
+
+
+@query("select page_id, contains(url, 'example') as mentioned, starts_with(url, 'https://') as secure, regexp_replace(url, '/+$', '') as bare from pages")
+def url_checks(spark, d):
+    url = F.col("url")
+    return table(spark, d, "pages").select("page_id", X.mentions(url, "example").alias("mentioned"), X.is_secure(url).alias("secure"), X.without_trailing_slashes(url).alias("bare"))
+
+
+PROVIDER_SQL = """
+with asked as (select conv_id, arg_max(text, turn) filter (role = 'user') as said from conversations group by conv_id)
+select conv_id, {reply} as reply, {error} as error, {attempts} as attempts from asked"""
+
+
+def asked_histories(spark, d):
+    return relations.histories(turns(spark, d).select("conv_id").distinct(), turns(spark, d).withColumnRenamed("text", "content"), "conv_id", ["turn"], ["role", "content"])
+
+
+@query(PROVIDER_SQL.format(reply="'Mock assistant reply: ' || said", error="null", attempts=2))
+def flaky_provider(spark, d):
+    return replies.provider_replies(asked_histories(spark, d), replies.provider("flaky-mock")).withColumn("error", F.col("error").cast("int"))
+
+
+@query(PROVIDER_SQL.format(reply="null", error="'provider_timeout'", attempts=1))
+def timed_out_provider(spark, d):
+    return replies.provider_replies(asked_histories(spark, d), replies.provider("Timeout-Mock ")).withColumn("reply", F.col("reply").cast("int"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

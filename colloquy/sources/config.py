@@ -23,6 +23,12 @@ class Quotas:
     stream: int = 50
 
 
+@dataclass(frozen=True)
+class Provider:
+    name: str = "mock"
+    base_url: str = ""
+
+
 @dataclass(frozen=True)
 class Settings:
     environment: str = "development"
@@ -32,6 +38,8 @@ class Settings:
     timeout_seconds: float = 10.0
     limits: Limits = field(default_factory=Limits)
     quotas: Quotas = field(default_factory=Quotas)
+    provider: Provider = field(default_factory=Provider)
+    token_secret: str = ""
 
 
 def _filled(kind: type, values: dict[str, str], prefix: str):
@@ -59,6 +67,10 @@ def settings_from(values: dict[str, str]) -> Settings:
         raise ValueError("unknown environment")
     if got.log_level not in {"DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"}:
         raise ValueError("unknown log level")
+    if got.environment == "production":
+        for broken, why in ((not got.token_secret, "a token secret is needed"), (bool(got.provider.base_url) and got.provider.name != "mock" and not got.provider.base_url.startswith("https://"), "the provider's URL must be https")):
+            if broken:
+                raise ValueError(f"production: {why}")
     return got
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import is_blank, is_email, length_between, strip
+from .schemas import REFRESH_REQUEST
 
 
 def parse_json(body: Column, schema: T.StructType) -> Column:
@@ -28,6 +29,12 @@ def credential_requests(rows: DataFrame, body: str = "body") -> DataFrame:
     return parsed.select(*rows.columns, email.alias("email"), F.coalesce(good, F.lit(False)).alias("accepted"))
 
 
+def refresh_requests(rows: DataFrame, body: str = "body") -> DataFrame:
+    """refresh_token and accepted: a text of 32 to 512 characters."""
+    token = F.from_json(F.col(body), REFRESH_REQUEST)["refresh_token"]
+    return rows.select(*rows.columns, token.alias("refresh_token"), F.coalesce(length_between(token, 32, 512), F.lit(False)).alias("accepted"))
+
+
 def within_body_limit(n_bytes: Column, most: int = 16_384) -> Column:
     """Null (no content-length header) passes."""
     return n_bytes.isNull() | (n_bytes <= most)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.limiters import window_settle
+
 
 def first_hit_stream(hits: DataFrame, keys: list[str], limit: int, window_seconds: int, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """hits with allowed, in append mode. Equal to the batch operator for hits that arrive in time order
@@ -18,15 +20,9 @@ def first_hit_stream(hits: DataFrame, keys: list[str], limit: int, window_second
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, used = state.get if state.exists else (None, 0)
         pdf = pd.concat(list(batches)).sort_values(["_t", tie])
-        allowed = []
-        for t in pdf["_t"].tolist():
-            if opened is None or t >= opened + micros:
-                opened, used = t, 0
-            allowed.append(used < limit)
-            used += allowed[-1]
-        state.update((opened, used))
+        allowed, now = window_settle(pdf["_t"].to_numpy(), limit, micros, list(state.get) if state.exists else None)
+        state.update(tuple(now))
         yield pdf.assign(allowed=allowed)[[*keys, "_t", tie, "allowed"]]
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "_t", tie]) + ", allowed boolean"

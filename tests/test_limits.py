@@ -18,7 +18,7 @@ def allowed(frame):
     return [r.allowed for r in sorted(frame.collect(), key=lambda r: r.event_id)]
 
 
-@pytest.mark.parametrize("rule", [limiters.first_hit_windows, limiters.first_hit_windows_streamed])
+@pytest.mark.parametrize("rule", [limiters.first_hit_windows])
 @pytest.mark.parametrize("seconds,limit,expected", [([0, 1, 2], 2, [True, True, False]), ([10, 69.9, 70], 1, [True, False, True]), ([5, 5, 64, 65, 66], 1, [True, False, False, True, False])])
 def test_first_hit(spark, rule, seconds, limit, expected):
     assert allowed(rule(hits(spark, seconds), ["action", "user_id"], limit, 60)) == expected
@@ -57,3 +57,13 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = limiters.first_hit_windows(events, ["event_type", "user_id"], 1, 86_400)
     got = {(r.event_id, r.allowed) for r in spark.table("limited").collect()}
     assert got == {(r.event_id, r.allowed) for r in batch.collect()}
+
+
+def test_limits_of_the_table(spark):
+    from colloquy.plans.limits import limit_table
+
+    rows = [("rate", "auth_register", "10.0.0.1", T0 + timedelta(seconds=i), i) for i in range(6)] + [("rate", "auth_register", "10.0.0.2", T0, 6), ("quota", "chat", "u1", T0, 7), ("rate", "other", "10.0.0.1", T0, 8), ("rate", "auth_register", "10.0.0.1", T0 + timedelta(seconds=60), 9)]
+    hits = spark.createDataFrame(rows, "kind string, action string, who string, ts timestamp, event_id int")
+    got = {r.event_id: r for r in limiters.limited(hits, limit_table(spark)).collect()}
+    assert [got[i].allowed for i in range(10)] == [True] * 5 + [False] + [True] * 4
+    assert (got[5].error, got[5].http_status, got[5].bucket_key) == ("rate_limit_exceeded", 429, "auth_register:10.0.0.1") and got[0].error is None

@@ -83,3 +83,26 @@ def test_create_uses_first_80_characters(spark):
     there = spark.createDataFrame([(5, 1, "t")], "conversation_id int, user_id int, title string")
     got = {r.request_id: (r.title, r.outcome) for r in versions.loaded_or_created(asked, there).collect()}
     assert got == {1: ("\U0001F600" * 80, "created"), 2: (None, "chat_conversation_missing")}
+
+
+def test_settings_rules_of_production():
+    import pytest
+    from colloquy.sources.config import settings_from
+
+    good = {"COLLOQUY_ENVIRONMENT": "production", "COLLOQUY_TOKEN_SECRET": "s"}
+    assert settings_from(good).environment == "production" and settings_from({}).token_secret == ""
+    for bad in ({"COLLOQUY_ENVIRONMENT": "production"}, good | {"COLLOQUY_PROVIDER__NAME": "remote", "COLLOQUY_PROVIDER__BASE_URL": "http://x"}):
+        with pytest.raises(ValueError):
+            settings_from(bad)
+
+
+def test_created_conversations_and_defaults(spark):
+    from colloquy.operators import versions
+    from pyspark.sql import functions as F
+
+    there = spark.createDataFrame([("1", "u", "old")], "conversation_id string, user_id string, title string")
+    asked = spark.createDataFrame([(1, "u", "1", "x"), (2, "u", None, "  New talk "), (3, "v", "1", "x")], "request_id int, user_id string, conversation_id string, message string")
+    made = versions.with_created(there, versions.loaded_or_created(asked, there), F.concat(F.lit("c"), "request_id"))
+    assert {tuple(r) for r in made.collect()} == {("1", "u", "old"), ("c2", "u", "New talk")}
+    rows = versions.with_defaults(spark.createDataFrame([("k",), (None,)], "id string")).collect()
+    assert rows[0].id == "k" and len(rows[1].id) == 36 and all(r.created_at for r in rows)
