@@ -184,14 +184,16 @@ def test_short_lines_meet_by_trigrams(spark, docs):
 def test_every_two_lines_of_a_bucket_meet(spark, prose):
     base = prose(20, 31).split()
     lines = [" ".join(base[:12] + prose(8, 40 + n).split()) for n in range(12)]  # heavy words in common, not alike all
-    frame = with_features(spark.createDataFrame([(n, x) for n, x in enumerate(lines)], "nh long, norm string")).selectExpr("nh", "words", "grams", "length(norm) size", "nh label")
+    frame = with_features(spark.createDataFrame([(n, x) for n, x in enumerate(lines)], "nh long, norm string")).selectExpr("nh", "words", "grams", "length(norm) size", "nh label", "1L n")
     rows = {r.nh: r for r in frame.collect()}
     keys = {}
     for r in buckets(frame).collect():
         keys.setdefault(r.key, set()).add(r.nh)
-    want = {(a, b) for a in rows for b in rows if a < b and abs(rows[a]["size"] - rows[b]["size"]) <= int(0.2 * max(rows[a]["size"], rows[b]["size"]) + 1e-6) and any({a, b} <= s and len(s) > 2 for s in keys.values()) and len(set(rows[a].words) & set(rows[b].words)) >= 3}
-    pairs, members = first_pairs(frame.select("nh", "words", "grams"))
-    assert len(want) > 5 and want <= {tuple(r) for r in other_pairs(members, frame, 0.8).collect()}
+    able = {n for s in keys.values() if len(s) > 2 for n in s}
+    want = {(a, b) for a in able for b in able if a < b and abs(rows[a]["size"] - rows[b]["size"]) <= int(0.2 * max(rows[a]["size"], rows[b]["size"]) + 1e-6) and len(set(rows[a].words) & set(rows[b].words)) >= 4}
+    pairs, members = first_pairs(frame.select("nh", "words", "grams", "n"))
+    got = [tuple(r) for r in other_pairs(members, frame, 0.8).collect()]
+    assert len(want) > 5 and sorted(got) == sorted(want)
     assert other_pairs(members, frame.withColumn("label", F.lit(1).cast("long")), 0.8).count() == 0
 
 
