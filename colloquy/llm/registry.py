@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokens
 from .chat import chat_digests, format_chats
 from .decontaminate import contaminated
 from .langid import identify
@@ -147,8 +148,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).documents
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_topk": op1_exact_topk, "op2_sentencepiece": op2_sentencepiece, "op3_chat_format": op3_chat_format, "op4_minhash_neardup": op4_minhash_neardup, "op5_line_dedup": op5_line_dedup, "op6_suffix_array_dedup": op6_suffix_array_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op10_decontamination": op10_decontamination}
+    return {"op1_exact_topk": op1_exact_topk, "op2_sentencepiece": op2_sentencepiece, "op3_chat_format": op3_chat_format, "op4_minhash_neardup": op4_minhash_neardup, "op5_line_dedup": op5_line_dedup, "op6_suffix_array_dedup": op6_suffix_array_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op10_decontamination": op10_decontamination, "op11_token_alignment": op11_token_alignment}
 
 
 def oracle_sql() -> dict[str, str]:
