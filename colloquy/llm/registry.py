@@ -12,6 +12,7 @@ from .chat import chat_digests, format_chats
 from .decontaminate import contaminated
 from .langid import identify
 from .lines import line_decisions
+from .manifest import leaf_digest, merkle_manifest
 from .neardup import near_duplicates
 from .pieces import encode_texts
 from .sample import fold
@@ -152,9 +153,59 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).documents
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["source", "lang", "n_chars"]
+    changed = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    tampered = leaf_digest(["doc_id", *fields, F.regexp_replace("text", "\n", "")])
+    leaves = table(spark, sf_dir, "documents").select("doc_id", "source", leaf_digest(["doc_id", *fields, "text"]).alias("leaf"), F.when(changed, tampered).alias("tampered"))
+    found = merkle_manifest(leaves, "doc_id", "source", "leaf", "tampered")
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+OP13_SQL = """
+with recursive f as (
+  select doc_id, source, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head,
+    text, replace(text, chr(10), '') as less,
+    (list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda s, c: list_reduce(list_prepend(xor(s, c), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) & 1) = 1 as even
+  from documents
+), l as (
+  select *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf, case when even then sha256(head || coalesce(strlen(less) || ':' || less, '-')) end as changed from f
+), t as (
+  select row_number() over () as row_id, *, dense_rank() over (order by source nulls first) - 1 as tree, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as idx from l
+), n(tree, level, idx, digest) as (
+  select tree, 0, idx, leaf from t
+  union all
+  select tree, level + 1, idx // 3, sha256(string_agg(digest, '' order by idx)) from (select *, count(*) over (partition by tree) as c from n) where c > 1 group by tree, level, idx // 3
+), s as (
+  select tree, max(level) as depth, arg_max(digest, level) as subroot from n group by tree
+), m(level, idx, digest) as (
+  select 0, tree, subroot from s
+  union all
+  select level + 1, idx // 3, sha256(string_agg(digest, '' order by idx)) from (select *, count(*) over () as c from m) where c > 1 group by level, idx // 3
+), r as (
+  select max(level) as height, arg_max(digest, level) as root from m
+), steps as (
+  select row_id, 0 as phase, level, idx // cast(3 ** level as bigint) as own, idx // cast(3 ** (level + 1) as bigint) as run, tree from t join s using (tree), unnest(generate_series(0, depth - 1)) u(level)
+  union all
+  select row_id, 1, level, tree // cast(3 ** level as bigint), tree // cast(3 ** (level + 1) as bigint), tree from t, r, unnest(generate_series(0, height - 1)) u(level)
+), nodes as (
+  select tree, 0 as phase, level, idx, digest from n union all select s.tree, 1, level, idx, digest from m, s
+), sides as (
+  select row_id, phase, level, coalesce(string_agg(digest, '' order by idx) filter (idx < own), '') as l, coalesce(string_agg(digest, '' order by idx) filter (idx > own), '') as r
+  from steps left join nodes using (tree, phase, level) where idx // 3 = run group by row_id, phase, level
+), paths as (
+  select row_id, list(l || '|' || r order by phase, level) as path, string_agg(l || r, '' order by phase, level) as proof from sides group by row_id
+), folded as (
+  select t.*, subroot, root, sha256(coalesce(proof, '')) as proof_sha256, list_reduce(list_prepend(coalesce(changed, leaf), coalesce(path, [])), lambda x, p: sha256(split_part(p, '|', 1) || x || split_part(p, '|', 2))) as folded_root
+  from t join s using (tree) cross join r left join paths using (row_id)
+)
+select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified from folded
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_topk": op1_exact_topk, "op2_sentencepiece": op2_sentencepiece, "op3_chat_format": op3_chat_format, "op4_minhash_neardup": op4_minhash_neardup, "op5_line_dedup": op5_line_dedup, "op6_suffix_array_dedup": op6_suffix_array_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op10_decontamination": op10_decontamination, "op11_token_alignment": op11_token_alignment}
+    return {"op1_exact_topk": op1_exact_topk, "op2_sentencepiece": op2_sentencepiece, "op3_chat_format": op3_chat_format, "op4_minhash_neardup": op4_minhash_neardup, "op5_line_dedup": op5_line_dedup, "op6_suffix_array_dedup": op6_suffix_array_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op10_decontamination": op10_decontamination, "op11_token_alignment": op11_token_alignment, "op13_merkle_manifest": op13_merkle_manifest}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op3_chat_format": OP3_SQL, "op6_suffix_array_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op3_chat_format": OP3_SQL, "op6_suffix_array_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op13_merkle_manifest": OP13_SQL}

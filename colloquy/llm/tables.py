@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,3 +31,13 @@ def written(frame: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def numbered(frame: DataFrame, order: list[str], what: str) -> DataFrame:
+    """The rows with their place in this order (``number``, from 0), sorted by ranges and written; no task sees them all."""
+    rows = frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    rows = written(rows, what).withColumn("__part", F.shiftright("__at", 33))
+    parts = rows.groupBy("__part").agg(F.count("*").alias("__n"))  # one row a range
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(F.broadcast(parts.select("__part", before.alias("__before"))), "__part")
+    return rows.withColumn("number", F.col("__at") - F.shiftleft("__part", 33) + F.col("__before")).select(*frame.columns, "number")
