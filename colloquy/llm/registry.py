@@ -13,6 +13,7 @@ from .decontaminate import contaminated
 from .langid import identify
 from .lines import line_decisions
 from .manifest import leaf_digest, merkle_manifest
+from .mixture import mixed
 from .neardup import near_duplicates
 from .pieces import encode_texts
 from .sample import fold
@@ -153,6 +154,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).documents
 
 
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["source", "lang", "n_chars"]
     changed = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.contains("text", F.lit("\n"))
@@ -204,7 +210,7 @@ select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = roo
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_topk": op1_exact_topk, "op2_sentencepiece": op2_sentencepiece, "op3_chat_format": op3_chat_format, "op4_minhash_neardup": op4_minhash_neardup, "op5_line_dedup": op5_line_dedup, "op6_suffix_array_dedup": op6_suffix_array_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op10_decontamination": op10_decontamination, "op11_token_alignment": op11_token_alignment, "op13_merkle_manifest": op13_merkle_manifest}
+    return {"op1_exact_topk": op1_exact_topk, "op2_sentencepiece": op2_sentencepiece, "op3_chat_format": op3_chat_format, "op4_minhash_neardup": op4_minhash_neardup, "op5_line_dedup": op5_line_dedup, "op6_suffix_array_dedup": op6_suffix_array_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op10_decontamination": op10_decontamination, "op11_token_alignment": op11_token_alignment, "op12_source_mix": op12_source_mix, "op13_merkle_manifest": op13_merkle_manifest}
 
 
 def oracle_sql() -> dict[str, str]:
