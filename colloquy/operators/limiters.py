@@ -72,14 +72,20 @@ def settled(hits: DataFrame, keys: list[str], settle: Settle, tie: str) -> DataF
     return hits.repartition(*keys).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
-def first_hit_windows(hits: DataFrame, keys: list[str], limit: int, window_seconds: int, ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """hits with allowed (boolean); rejected hits do not count."""
+def first_hit_windows(hits: DataFrame, keys: list[str], limit: int, window_seconds: int, ts: str = "ts", tie: str = "event_id", spread: bool = False) -> DataFrame:
+    """hits with allowed (boolean); rejected hits do not count. spread: a key may hold more hits than a task should (see ``hotkeys``)."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     rows = hits.select(*keys, micros.alias("_t"), tie, F.lit(float(limit)).alias("_limit"), F.lit(window_seconds * 1e6).alias("_span"))
-    return settled(rows, keys, window_settle, tie).select(*keys, F.timestamp_micros("_t").alias(ts), tie, "allowed")
+    return settled_windows(rows, keys, tie, spread).select(*keys, F.timestamp_micros("_t").alias(ts), tie, "allowed")
 
 
-def limited(hits: DataFrame, parameters: DataFrame, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+def settled_windows(rows: DataFrame, keys: list[str], tie: str, spread: bool) -> DataFrame:
+    from .hotkeys import settled_by_ranges
+
+    return settled_by_ranges(rows, keys, tie) if spread else settled(rows, keys, window_settle, tie)
+
+
+def limited(hits: DataFrame, parameters: DataFrame, ts: str = "ts", tie: str = "event_id", spread: bool = False) -> DataFrame:
     """hits(kind, action, who, ts, tie) with bucket_key, allowed, error and http_status.
 
     parameters: plans.limits.limit_table. A bucket is an action (or route) of one address or user;
@@ -88,7 +94,7 @@ def limited(hits: DataFrame, parameters: DataFrame, ts: str = "ts", tie: str = "
     limits = F.broadcast(parameters.select("kind", "action", F.col("limit").cast("double").alias("_limit"), (F.col("window_seconds") * 1e6).alias("_span"), F.col("error").alias("_error")))
     rows = hits.join(limits, ["kind", "action"], "left").withColumn("bucket_key", F.concat_ws(":", "action", "who")).withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
     rows = rows.select("kind", "bucket_key", "_t", tie, F.coalesce("_limit", F.lit(1e18)).alias("_limit"), F.coalesce("_span", F.lit(1.0)).alias("_span"), "_error")
-    done = settled(rows, ["kind", "bucket_key"], window_settle, tie)
+    done = settled_windows(rows, ["kind", "bucket_key"], tie, spread)
     refused = ~F.col("allowed")
     return done.select("kind", "bucket_key", F.timestamp_micros("_t").alias(ts), tie, "allowed", F.when(refused, F.col("_error")).alias("error"), F.when(refused, 429).alias("http_status"))
 

@@ -246,27 +246,49 @@ def limiter_first_hit(spark, d):
     return limiters.first_hit_windows(table(spark, d, "events"), HIT_KEYS, 2, DAY).drop("ts")
 
 
-LIMITED_SQL = """
+@query("""
 with recursive h as (
-  select 'rate' as kind, 'auth_register' as action, 5 as most, 60::bigint as span, 'auth_register:' || user_id as bucket_key, event_id, epoch_us(ts) as t, 'rate_limit_exceeded' as code from events where event_type = 'click'
-  union all select 'quota', 'chat_stream', 50, 3600, 'chat_stream:' || user_id, event_id, epoch_us(ts), 'quota_exceeded' from events where event_type <> 'click'
+  select event_type, event_id, epoch_us(ts) as t, row_number() over (partition by event_type order by ts, event_id) as n from events
+), f as (
+  select event_type, event_id, n, t as open, 1 as used, true as allowed from h where n = 1
+  union all
+  select h.event_type, h.event_id, h.n, case when h.t >= f.open + 7200000000 then h.t else f.open end, case when h.t >= f.open + 7200000000 then 1 else f.used + 1 end, h.t >= f.open + 7200000000 or f.used < 3
+  from f join h on h.event_type = f.event_type and h.n = f.n + 1
+) select event_type, event_id, allowed from f""")
+def limiter_hot_key(spark, d):
+    """Five keys hold all hits; each is settled by many tasks."""
+    return limiters.first_hit_windows(table(spark, d, "events"), ["event_type"], 3, 7200, spread=True).drop("ts")
+
+
+#: The limits of the routes and of the users, by place.
+BINDINGS_SQL = """b(place, kind, action, most, span, code) as (values (0, 'rate', 'auth_register', 5, 60, 'rate_limit_exceeded'), (1, 'rate', 'auth_token', 10, 60, 'rate_limit_exceeded'),
+  (2, 'rate', 'chat_messages', 30, 60, 'rate_limit_exceeded'), (3, 'rate', 'chat_stream', 15, 60, 'rate_limit_exceeded'), (4, 'quota', 'chat', 100, 3600, 'quota_exceeded'), (5, 'quota', 'chat_stream', 50, 3600, 'quota_exceeded'))"""
+LIMITED_SQL = f"""
+with recursive {BINDINGS_SQL}, h as (
+  select kind, action || ':' || user_id % 3 as bucket_key, most, span * 1000000::bigint as span, code, event_id, epoch_us(ts) // 8000 as t from events join b on event_id % 6 = place
 ), n as (
   select *, row_number() over (partition by kind, bucket_key order by t, event_id) as n from h
 ), f as (
   select kind, bucket_key, event_id, n, most, span, code, t as open, 1 as used, true as allowed from n where n.n = 1
   union all
-  select n.kind, n.bucket_key, n.event_id, n.n, n.most, n.span, n.code, case when n.t >= f.open + n.span * 1000000 then n.t else f.open end,
-    case when n.t >= f.open + n.span * 1000000 then 1 when f.used < n.most then f.used + 1 else f.used end, n.t >= f.open + n.span * 1000000 or f.used < n.most
+  select n.kind, n.bucket_key, n.event_id, n.n, n.most, n.span, n.code, case when n.t >= f.open + n.span then n.t else f.open end,
+    case when n.t >= f.open + n.span then 1 else f.used + 1 end, n.t >= f.open + n.span or f.used < n.most
   from f join n on n.kind = f.kind and n.bucket_key = f.bucket_key and n.n = f.n + 1
 ) select kind, bucket_key, event_id, allowed, case when not allowed then code end as error, case when not allowed then 429 end as http_status from f"""
 
 
+def bound_hits(spark, d):
+    """Events as hits of the six limits in turn, of three addresses or users, 8,000 times as fast as they came."""
+    bound = [("rate", "auth_register"), ("rate", "auth_token"), ("rate", "chat_messages"), ("rate", "chat_stream"), ("quota", "chat"), ("quota", "chat_stream")]
+    places = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(action).alias("action")) for kind, action in bound))
+    binding = F.element_at(places, (F.col("event_id") % 6 + 1).cast("int"))
+    sooner = F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 8000))
+    return table(spark, d, "events").select(binding["kind"].alias("kind"), binding["action"].alias("action"), (F.col("user_id") % 3).cast("string").alias("who"), sooner.alias("ts"), "event_id")
+
+
 @query(LIMITED_SQL)
 def limits_applied(spark, d):
-    """Clicks count as registrations of an address, other events as streams of a user."""
-    click = F.col("event_type") == "click"
-    hits = table(spark, d, "events").select(F.when(click, "rate").otherwise("quota").alias("kind"), F.when(click, "auth_register").otherwise("chat_stream").alias("action"), F.col("user_id").cast("string").alias("who"), "ts", "event_id")
-    return limiters.limited(hits, limit_table(spark)).drop("ts")
+    return limiters.limited(bound_hits(spark, d), limit_table(spark), spread=True).drop("ts")
 
 
 @query("""
@@ -277,7 +299,7 @@ def limiter_epoch(spark, d):
 
 @query("""
 with recursive h as (
-  select event_type, event_id, epoch_ms(ts) as t, row_number() over (partition by event_type order by epoch_ms(ts), event_id) as n from events
+  select event_type, event_id, epoch_ms(ts) // 4000 as t, row_number() over (partition by event_type order by epoch_ms(ts) // 4000, event_id) as n from events
 ), f as (
   select event_type, event_id, n, t as last, cast(0 as double) as excess, true as allowed from h where n = 1
   union all
@@ -285,7 +307,9 @@ with recursive h as (
   from (select h.event_type, h.event_id, h.n, h.t, f.last, f.excess, greatest(f.excess - 0.5::double * (h.t - f.last) + 1000, 0) as more from f join h on h.event_type = f.event_type and h.n = f.n + 1)
 ) select event_type, event_id, allowed from f""")
 def proxy_limit(spark, d):
-    return limiters.leaky_bucket(table(spark, d, "events"), ["event_type"], 30, 20)
+    """Events 4,000 times as fast as they came, so that some are refused."""
+    sooner = F.timestamp_millis(F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 4000))
+    return limiters.leaky_bucket(table(spark, d, "events").select("event_type", "event_id", sooner.alias("ts")), ["event_type"], 30, 20)
 
 
 @query("""
