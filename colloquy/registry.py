@@ -22,6 +22,8 @@ from .sources.requests import refresh_requests as parse_refresh_requests
 from .sources.requests import within_body_limit
 from .sources.tables import parquet_table as table
 from .sources.tables import readiness as engine_readiness
+from .streaming.limiter import first_hit_expiring
+from .streaming.state import replayed
 
 DAY = 86_400
 Query = Callable[[SparkSession, str], DataFrame]
@@ -260,6 +262,16 @@ def limiter_hot_key(spark, d):
     return limiters.first_hit_windows(table(spark, d, "events"), ["event_type"], 3, 7200, spread=True).drop("ts")
 
 
+@query(FIRST_HIT_SQL.replace("f.used < 2", "f.used < 3"))
+def limiter_first_hit_streamed(spark, d):
+    """Events arrive in three parts of ten days, in any order inside a part; a far hit of no key ends the stream."""
+    events = table(spark, d, "events").select(*HIT_KEYS, F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    third = F.least(F.floor((F.unix_seconds("ts") - F.lit(1_704_067_200)) / (10 * DAY)), F.lit(2))
+    end = events.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("string").alias("event_type"), F.lit(-1).cast("long").alias("user_id"), F.expr("ts + interval 400 days").alias("ts"), F.lit(-1).cast("long").alias("event_id"))
+    arriving = [events.where(third <= 0), events.where(third == 1), events.where(third == 2), end]
+    return replayed(arriving, lambda hits: first_hit_expiring(hits, HIT_KEYS, 3, DAY, 11 * DAY)).drop("ts")
+
+
 #: The limits of the routes and of the users, by place.
 BINDINGS_SQL = """b(place, kind, action, most, span, code) as (values (0, 'rate', 'auth_register', 5, 60, 'rate_limit_exceeded'), (1, 'rate', 'auth_token', 10, 60, 'rate_limit_exceeded'),
   (2, 'rate', 'chat_messages', 30, 60, 'rate_limit_exceeded'), (3, 'rate', 'chat_stream', 15, 60, 'rate_limit_exceeded'), (4, 'quota', 'chat', 100, 3600, 'quota_exceeded'), (5, 'quota', 'chat_stream', 50, 3600, 'quota_exceeded'))"""

@@ -1,16 +1,29 @@
-"""The first-hit limiter over a stream: one open window per key as state."""
+"""The first-hit limiter over a stream.
+
+``first_hit_stream`` decides a hit in the micro-batch in which it comes, and keeps a key's window for ever.
+
+``first_hit_expiring`` decides by event time. A hit waits until the watermark has passed it, so hits may
+come in any order within ``delay`` seconds and are decided as in a batch; a hit that comes after the
+watermark has passed it is late and dropped, it neither counts nor gets a row. A key's state is its open
+window and its waiting hits. It goes with a timer at the window's end, so state holds only keys with a hit
+in about the last ``window + delay`` seconds of the stream.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators.limiters import window_settle
 
+OPEN = "opened long, used long, times array<long>, ties array<long>"
+
 
 def first_hit_stream(hits: DataFrame, keys: list[str], limit: int, window_seconds: int, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """hits with allowed, in append mode. Equal to the batch operator for hits that arrive in time order
@@ -28,3 +41,62 @@ def first_hit_stream(hits: DataFrame, keys: list[str], limit: int, window_second
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "_t", tie]) + ", allowed boolean"
     done = rows.groupBy(*keys).applyInPandasWithState(fold, schema, "opened long, used int", "append", GroupStateTimeout.NoTimeout)
     return done.select(*keys, F.timestamp_micros("_t").alias(ts), tie, "allowed")
+
+
+class ExpiringWindows(StatefulProcessor):
+    """Per key the open window and the hits that wait for the watermark; ``ties`` are longs."""
+
+    def __init__(self, keys: list[str], limit: int, span: int, tie: str) -> None:
+        self.keys, self.limit, self.span, self.tie = keys, limit, span, tie
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("open", OPEN)
+
+    def read(self) -> tuple[int, int, list[int], list[int]]:
+        if not self.state.exists():
+            return -1, 0, [], []
+        opened, used, times, ties = self.state.get()
+        return opened, used, list(times), list(ties)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        opened, used, times, ties = self.read()
+        for pdf in rows:
+            times += pdf["micros"].tolist()
+            ties += pdf[self.tie].tolist()
+        self.state.update((opened, used, times, ties))
+        self.handle.registerTimer(min(times) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        opened, used, times, ties = self.read()
+        order = sorted(range(len(times)), key=lambda i: (times[i], ties[i]))
+        due = [i for i in order if times[i] < passed]
+        wait = [i for i in order if times[i] >= passed]
+        if due:
+            t = np.array([times[i] for i in due], np.int64)
+            allowed, (opened, used) = window_settle(t, self.limit, self.span, [opened, used] if opened >= 0 else None)
+            yield pd.DataFrame({**{k: [v] * len(due) for k, v in zip(self.keys, key, strict=True)}, "micros": t, self.tie: [ties[i] for i in due], "allowed": allowed})
+        if wait:
+            self.state.update((opened, used, [times[i] for i in wait], [ties[i] for i in wait]))
+            self.handle.registerTimer(times[wait[0]] // 1000 + 1)
+        elif opened + self.span < passed:
+            self.state.clear()
+        else:
+            self.state.update((opened, used, [], []))
+            self.handle.registerTimer((opened + self.span) // 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def first_hit_expiring(hits: DataFrame, keys: list[str], limit: int, window_seconds: int, delay_seconds: int, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """hits with allowed, each once the watermark (the latest time seen less delay_seconds) has passed it."""
+    at = F.col(ts).cast("timestamp")
+    rows = hits.select(*keys, at.alias("event_time"), F.unix_micros(at).alias("micros"), F.col(tie).cast("long").alias(tie)).withWatermark("event_time", f"{delay_seconds} seconds")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "micros", tie]) + ", allowed boolean"
+    windows = ExpiringWindows(keys, limit, window_seconds * 1_000_000, tie)
+    done = rows.groupBy(*keys).transformWithStateInPandas(windows, schema, "Append", "EventTime")
+    return done.select(*keys, F.timestamp_micros("micros").alias(ts), tie, "allowed")
