@@ -23,6 +23,7 @@ from .sources.requests import within_body_limit
 from .sources.tables import parquet_table as table
 from .sources.tables import readiness as engine_readiness
 from .streaming.limiter import first_hit_expiring
+from .streaming.replies import persisted_stream
 from .streaming.state import replayed
 
 DAY = 86_400
@@ -187,6 +188,14 @@ def persisted_turns(spark, d):
     return replies.persisted_turns(*asked_and_events(spark, d))
 
 
+@query(f"with {EVENTS_SQL} select conv_id, 'user' as role, user_message as content from asked union all select conv_id, 'assistant', reply from replies join asked using (conv_id) where not stop")
+def persisted_turns_streamed(spark, d):
+    """The event streams of all conversations at once: what comes with odd numbers, then the rest, the last events first."""
+    events = asked_and_events(spark, d)[2]
+    late = F.col("seq") % 2 == 0
+    return replayed([events.where(~late), events.where(late).orderBy(F.desc("seq"))], persisted_stream)
+
+
 @query("select doc_id, coalesce(substr(text, 1, 80), 'Untitled conversation') as title, length(text) between 1 and 4000 as length_ok, strlen(text) <= 16384 as body_ok from documents")
 def message_checks(spark, d):
     t = F.col("text")
