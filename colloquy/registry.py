@@ -7,9 +7,10 @@ with text, events for hits of limiters and for JSON bodies.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
@@ -17,14 +18,16 @@ from .functions import time as TM
 from .operators import limiters, relations, replies, versions
 from .plans.errors import CODES, error_codes
 from .plans.limits import limit_table
+from .sources import deltas
 from .sources.logs import log_line
 from .sources.requests import refresh_requests as parse_refresh_requests
 from .sources.requests import within_body_limit
+from .sources.shared import shared_folder
 from .sources.tables import parquet_table as table
 from .sources.tables import readiness as engine_readiness
 from .streaming.limiter import first_hit_expiring
 from .streaming.replies import persisted_stream
-from .streaming.state import replayed
+from .streaming.state import replayed, run_to_end
 
 DAY = 86_400
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,6 +162,40 @@ def rejoined_reply(spark, d):
     return replies.rejoined(replies.without_empty(reply_chunks(spark, d)))
 
 
+def recorded_replies(spark, d):
+    """A folder of event-stream text: the replies' chunks, as a provider sends them."""
+    chunk = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("chunk").alias("content")).alias("delta"))).alias("choices")))
+    sent = reply_chunks(spark, d).withColumn("line", F.concat(F.lit("data: "), chunk, F.lit("\n\n")))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "")
+    text = sent.groupBy("conv_id").agg(lines.alias("lines")).select(F.concat(F.lit("id: "), "conv_id", F.lit("\n"), "lines", F.lit("data: [DONE]\n")))
+    folder = f"{shared_folder(spark).rstrip('/')}/recorded-{uuid.uuid4().hex}"
+    text.write.text(folder)
+    deltas.register(spark)
+    return folder
+
+
+def numbered_deltas(rows):
+    place = F.row_number().over(Window.partitionBy("request").orderBy("file", "offset"))
+    rows = rows.where("not done").withColumn("seq", (place - 1).cast("long"))
+    return rows.select(F.col("request").cast("long").alias("conv_id"), "seq", F.col("delta").alias("chunk"))
+
+
+RECORDED_SQL = f"""with {REPLY_SQL} select conv_id, row_number() over (partition by conv_id order by seq) - 1 as seq, chunk from chunks where length(chunk) > 0"""
+
+
+@query(RECORDED_SQL)
+def recorded_deltas(spark, d):
+    return numbered_deltas(spark.read.format("deltas").load(recorded_replies(spark, d)))
+
+
+@query(RECORDED_SQL)
+def recorded_deltas_streamed(spark, d):
+    folder = recorded_replies(spark, d)
+    stream = spark.readStream.format("deltas").load(folder)
+    run_to_end(stream, f"{folder}-out", f"{folder}-state")
+    return numbered_deltas(spark.read.schema(stream.schema).parquet(f"{folder}-out"))
+
+
 EVENTS_SQL = f"""{REPLY_SQL}, asked as (
   select conv_id, arg_max(text, turn) as user_message, conv_id % 5 = 0 as stop from conversations where role = 'user' group by conv_id
 ), sent as (select c.*, stop from chunks c join asked using (conv_id) where not stop or seq = 0), streamed as (
