@@ -7,8 +7,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import REPLY_PREFIX, python_json_string, words_after
+from ..functions.json import COMPACT, json_text
+from ..functions.text import REPLY_PREFIX, words_after
+
+METADATA = T.StructType([T.StructField("conversation_id", T.StringType()), T.StructField("user_message", T.StringType())])
+CONTENT = T.StructType([T.StructField("content", T.StringType())])
 
 
 def latest_user_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -43,9 +48,9 @@ def stream_events(requests: DataFrame, chunks: DataFrame, interrupted: Column, k
     requests: (key, user_message). Data is JSON text: compact for metadata, Python's default style otherwise.
     """
     asked = requests.withColumn("_stop", interrupted)
-    meta = asked.select(key, F.lit(0).cast("long").alias("seq"), F.lit("metadata").alias("event"), F.to_json(F.struct(F.col(key).cast("string").alias("conversation_id"), "user_message")).alias("data"))
+    meta = asked.select(key, F.lit(0).cast("long").alias("seq"), F.lit("metadata").alias("event"), json_text(F.struct(F.col(key).cast("string").alias("conversation_id"), "user_message"), METADATA, COMPACT).alias("data"))
     sent = chunks.join(asked.select(key, "_stop"), key).where(~F.col("_stop") | (F.col("seq") == 0))
-    parts = sent.select(key, (F.col("seq") + 1).alias("seq"), F.lit("chunk").alias("event"), F.concat(F.lit('{"content": '), python_json_string(F.col("chunk")), F.lit("}")).alias("data"))
+    parts = sent.select(key, (F.col("seq") + 1).alias("seq"), F.lit("chunk").alias("event"), json_text(F.struct(F.col("chunk").alias("content")), CONTENT).alias("data"))
     last = sent.groupBy(key).agg(F.max("seq").alias("last"))
     end = asked.join(last, key, "left").select(
         key,

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import time as TM
+from .functions.json import COMPACT, with_json
 from .operators import limiters, relations, replies, versions
 from .plans.errors import CODES, error_codes
 from .plans.limits import limit_table
 from .sources import deltas
 from .sources.logs import log_line
+from .sources.requests import CHAT, credential_requests, said_faults, typed
 from .sources.requests import refresh_requests as parse_refresh_requests
 from .sources.requests import within_body_limit
 from .sources.shared import shared_folder
@@ -538,7 +540,78 @@ def revoke_outcomes(spark, d):
 @query("select conv_id, turn, text as refresh_token, length(text) between 32 and 512 as accepted from (select conv_id, turn, regexp_replace(text, '[^ -~]', '?', 'g') as text from conversations)")
 def refresh_requests(spark, d):
     rows = turns(spark, d).select("conv_id", "turn", F.to_json(F.struct(F.regexp_replace("text", "[^ -~]", "?").alias("refresh_token"))).alias("body"))
-    return parse_refresh_requests(rows).drop("body")
+    return parse_refresh_requests(rows).drop("body", "faults")
+
+
+def said(name, value):
+    """The JSON of an object with one field of text."""
+    return F.to_json(F.struct(value.alias(name)))
+
+
+def faulty_bodies(text, at, name):
+    """Bodies by turns: good ones, wrong types, nothing, blanks, too much, no object, no JSON."""
+    odd = [F.lit(x) for x in (f'{{"{name}": 5}}', f'{{"{name}": ["a"]}}', f'{{"{name}": {{"a": 1}}}}', f'{{"{name}": null}}', "{}", f'{{"{name}": " \\t\\u00a0 "}}', '["a"]', "no json")]
+    long = said(name, F.repeat(text, 40))
+    return F.element_at(F.array(said(name, text), *odd, long, F.concat(F.lit(f'{{"conversation_id": 7, "{name}": true, "more": '), said(name, text), F.lit("}"))), (at % 11 + 1).cast("int"))
+
+
+BODIES_SQL = """bodies as (
+  select *, case place % 11 when 0 then json_object('{name}', text)::varchar when 1 then '{{"{name}": 5}}' when 2 then '{{"{name}": ["a"]}}' when 3 then '{{"{name}": {{"a": 1}}}}' when 4 then '{{"{name}": null}}' when 5 then '{{}}'
+    when 6 then '{{"{name}": " \\t\\u00a0 "}}' when 7 then '["a"]' when 8 then 'no json' when 9 then json_object('{name}', repeat(text, 40))::varchar else '{{"conversation_id": 7, "{name}": true, "more": ' || json_object('{name}', text)::varchar || '}}' end as body from source
+), parsed as (select *, json_valid(body) as valid, case when json_valid(body) then json_type(body) end as whole, case when json_valid(body) then json_type(body, '$.{name}') end as kind, case when json_valid(body) then json_extract_string(body, '$.{name}') end as said from bodies)"""
+BLANK_SQL = r"regexp_full_match(said, '[ \t\n\r\f\v\x{1c}-\x{1f}\x{85}\p{Z}]*')"
+TURNS_SQL = "source as (select conv_id, turn, text, conv_id + turn as place from conversations)"
+
+
+@query(f"""with {TURNS_SQL}, {BODIES_SQL.format(name="message")} select conv_id, turn, case when kind = 'VARCHAR' then length(said) end as n_chars,
+  case when not valid then ':json_invalid' when whole <> 'OBJECT' then ':object_type' else concat_ws(',', case when kind is null then 'message:missing' when kind <> 'VARCHAR' then 'message:string_type' when length(said) < 1 then 'message:string_too_short'
+    when length(said) > 4000 then 'message:string_too_long' when {BLANK_SQL} then 'message:value_error' end, case when json_type(body, '$.conversation_id') not in ('VARCHAR', 'NULL') then 'conversation_id:string_type' end) end as faults from parsed""")
+def chat_request_faults(spark, d):
+    t = turns(spark, d)
+    bodies = t.select("conv_id", "turn", faulty_bodies(F.col("text"), F.col("conv_id") + F.col("turn"), "message").alias("body"))
+    found = typed(bodies, CHAT)
+    return found.select("conv_id", "turn", F.length("message").cast("long").alias("n_chars"), said_faults(F.col("faults")).alias("faults"))
+
+
+@query(f"""with {TURNS_SQL}, {BODIES_SQL.format(name="refresh_token")} select conv_id, turn,
+  case when not valid then ':json_invalid' when whole <> 'OBJECT' then ':object_type' when kind is null then 'refresh_token:missing' when kind <> 'VARCHAR' then 'refresh_token:string_type' when length(said) < 32 then 'refresh_token:string_too_short' when length(said) > 512 then 'refresh_token:string_too_long' else '' end as faults from parsed""")
+def refresh_request_faults(spark, d):
+    bodies = turns(spark, d).select("conv_id", "turn", faulty_bodies(F.col("text"), F.col("conv_id") + F.col("turn"), "refresh_token").alias("body"))
+    return parse_refresh_requests(bodies).select("conv_id", "turn", said_faults(F.col("faults")).alias("faults"))
+
+
+@query("""
+with p as (select c_custkey as user_id, c_custkey % 7 as k, case c_custkey % 7 when 0 then json_object('email', 'c' || c_custkey || '@example.org', 'password', c_name) when 1 then json_object('email', c_name, 'password', c_name)
+    when 2 then json_object('email', c_custkey, 'password', c_custkey) when 3 then json_object('email', 'a b@example.org', 'password', '   ') when 4 then json_object('email', 'c@example', 'password', repeat(c_name, 9)) when 5 then json_object('password', '          ') else '[' end as body from customer)
+select user_id, case k when 0 then '' when 1 then 'email:value_error' when 2 then 'email:string_type,password:string_type' when 3 then 'email:value_error,password:string_too_short' when 4 then 'email:value_error,password:string_too_long'
+  when 5 then 'email:missing,password:value_error' else ':json_invalid' end as faults, k = 0 as accepted from p""")
+def credential_request_faults(spark, d):
+    u = users(spark, d)
+    i, name = F.col("user_id"), F.col("email")
+    email = F.element_at(F.array(F.concat(F.lit("c"), i, F.lit("@example.org")), name, F.lit("a b@example.org"), F.lit("c@example")), F.element_at(F.array(*map(F.lit, (1, 2, 1, 3, 4, 1, 1))), (i % 7 + 1).cast("int")))
+    password = F.when(i % 7 == 3, "   ").when(i % 7 == 4, F.repeat(name, 9)).when(i % 7 == 5, " " * 10).otherwise(name)
+    texts = F.to_json(F.struct(F.when(i % 7 != 5, email).alias("email"), password.alias("password")))
+    body = F.when(i % 7 == 2, F.to_json(F.struct(i.alias("email"), i.alias("password")))).when(i % 7 == 6, "[").otherwise(texts)
+    found = credential_requests(u.select("user_id", body.alias("body")))
+    return found.select("user_id", said_faults(F.col("faults")).alias("faults"), "accepted")
+
+
+JSON_SQL = r"""
+with chars as (
+  select conv_id, turn, role, text, list_transform(string_split(text, ''), lambda c: case c when chr(34) then '\"' when chr(92) then '\\' when chr(10) then '\n' when chr(13) then '\r' when chr(9) then '\t' when chr(8) then '\b' when chr(12) then '\f'
+    else case when unicode(c) between 32 and 126 then c when unicode(c) < 65536 then format('\u{:04x}', unicode(c)) else format('\u{:04x}\u{:04x}', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024) end end) as c from conversations
+), t as (select *, '"' || array_to_string(c, '') || '"' as escaped, to_json(text)::varchar as raw from chars)
+select conv_id, turn, '{"id": ' || conv_id || ', "turn": {"role": "' || role || '", "texts": [' || escaped || ', null], "odd": ' || (turn % 2 = 1) || '}, "by_name": {"' || role || '": ' || turn || '.5}, "nothing": null}' as python,
+  '{"id":' || conv_id || ',"turn":{"role":"' || role || '","texts":[' || raw || ',null],"odd":' || (turn % 2 = 1) || '},"by_name":{"' || role || '":' || turn || '.5},"nothing":null}' as compact from t"""
+
+
+@query(JSON_SQL)
+def json_documents(spark, d):
+    """Turns as nested documents, their texts as they are."""
+    odd, half = F.col("turn") % 2 == 1, F.col("turn") + F.lit(0.5).cast("double")
+    value = F.struct(F.col("conv_id").alias("id"), F.struct("role", F.array("text", F.lit(None)).alias("texts"), odd.alias("odd")).alias("turn"), F.create_map("role", half).alias("by_name"), F.lit(None).alias("nothing"))
+    t = with_json(with_json(turns(spark, d), "python", value), "compact", value, COMPACT)
+    return t.select("conv_id", "turn", "python", "compact")
 
 
 @query("select page_id, contains(url, 'example') as mentioned, starts_with(url, 'https://') as secure, regexp_replace(url, '/+$', '') as bare from pages")
