@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import queue
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
 
 from ..functions.json import COMPACT, json_text
 from ..functions.text import REPLY_PREFIX, words_after
@@ -140,30 +144,68 @@ def failure_code(failed: Exception) -> str:
     return next((code for kind, code in kinds if isinstance(failed, kind)), "provider_request_failed")
 
 
-def plugged(speak: Callable[[list[dict], int], Iterator[str]]) -> Provider:
+Speak = Callable[[list[dict], int], Iterator[str]]
+
+
+def attempted(speak: Speak, turns: list[dict], number: int, seconds: float | None = None) -> tuple[str | None, list[str]]:
+    """One attempt: its code (null: success) and the chunks that it gave.
+
+    With a deadline the plug-in speaks in a thread of its own. When the time is up the attempt is abandoned
+    with provider_timeout, what it gave until then counts, and the task goes on; the thread ends at the
+    plug-in's next chunk, if there is one.
+    """
+    sent: list[str] = []
+    if seconds is None:
+        try:
+            sent.extend(speak(turns, number))
+        except Exception as failed:  # whatever a plug-in raises is an outcome
+            return failure_code(failed), sent
+        return None, sent
+    given: queue.Queue = queue.Queue()
+    abandoned = threading.Event()
+
+    def work() -> None:
+        try:
+            for chunk in speak(turns, number):
+                if abandoned.is_set():
+                    return
+                given.put((chunk, None, False))
+            given.put((None, None, True))
+        except Exception as failed:
+            given.put((None, failure_code(failed), True))
+
+    threading.Thread(target=work, daemon=True).start()
+    until = time.monotonic() + seconds
+    while True:
+        try:
+            chunk, code, over = given.get(timeout=max(0.0, until - time.monotonic()))
+        except queue.Empty:
+            abandoned.set()
+            return "provider_timeout", sent
+        if over:
+            return code, sent
+        sent.append(chunk)
+
+
+def attempts_of(speak: Speak, messages: list, streamed: bool, max_retries: int, seconds: float | None = None) -> Iterator[tuple[int, str | None, list[str]]]:
+    """(attempt, code, chunks) of the attempts that are made."""
+    turns = [dict(m) if isinstance(m, dict) else m.asDict() for m in messages]
+    number, code, sent = 0, RETRYABLE, []
+    while number <= max_retries and code == RETRYABLE and not (streamed and sent):
+        code, sent = attempted(speak, turns, number, seconds)
+        yield number, code, sent
+        number += 1
+
+
+def plugged(speak: Speak, seconds: float | None = None) -> Provider:
     """A provider by a Python function: the chunks of a reply, from the turns of a conversation (dicts of
-    role and content) and the number of the attempt. Each attempt that is made becomes a row."""
+    role and content) and the number of the attempt. Each attempt that is made becomes a row; ``seconds``
+    is the time that one attempt may take."""
 
     def attempts(histories: DataFrame, streamed: bool, max_retries: int, key: str) -> DataFrame:
-        def attempted(turns: list[dict], number: int) -> tuple[str | None, list[str]]:
-            sent: list[str] = []
-            try:
-                for chunk in speak(turns, number):
-                    sent.append(chunk)
-            except Exception as failed:  # whatever a plug-in raises is an outcome
-                return failure_code(failed), sent
-            return None, sent
-
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                rows = []
-                for k, messages in zip(pdf[key], pdf["messages"], strict=True):
-                    turns = [dict(m) if isinstance(m, dict) else m.asDict() for m in messages]
-                    number, code, sent = 0, RETRYABLE, []
-                    while number <= max_retries and code == RETRYABLE and not (streamed and sent):
-                        code, sent = attempted(turns, number)
-                        rows.append((k, number, code, sent))
-                        number += 1
+                rows = [(k, *made) for k, messages in zip(pdf[key], pdf["messages"], strict=True) for made in attempts_of(speak, messages, streamed, max_retries, seconds)]
                 yield pd.DataFrame(rows, columns=[key, "attempt", "code", "chunks"])
 
         kind = histories.schema[key].dataType.simpleString()
@@ -172,6 +214,47 @@ def plugged(speak: Callable[[list[dict], int], Iterator[str]]) -> Provider:
     return attempts
 
 
+#: Rows of a reply's table function.
+SPOKEN = "seq long, event string, data string"
+
+
+def reply_function(speak: Speak, max_retries: int = 1, seconds: float | None = None):
+    """A table function of a history (array of role and content): the chunks of the attempt that counts, then
+    done or error (data: its code). Called in SQL as ``LATERAL name(messages)`` once it is registered, or by
+    ``lateralJoin``; rows travel in Arrow batches."""
+
+    class Reply:
+        def eval(self, messages: list) -> Iterator[tuple[int, str, str]]:
+            code, sent = RETRYABLE, []
+            for _, code, sent in attempts_of(speak, messages if messages is not None else [], True, max_retries, seconds):
+                pass
+            for seq, chunk in enumerate(sent):
+                yield seq, "chunk", chunk
+            yield len(sent), "done" if code is None else "error", code or ""
+
+    return udtf(Reply, returnType=SPOKEN, useArrow=True)
+
+
+def register_provider(spark: SparkSession, name: str, speak: Speak, max_retries: int = 1, seconds: float | None = None):
+    """The table function under a name of SQL."""
+    function = reply_function(speak, max_retries, seconds)
+    spark.udtf.register(name, function)
+    return function
+
+
+def spoken(histories: DataFrame, function, key: str = "conv_id") -> DataFrame:
+    """(key, seq, event, data) of histories(key, messages)."""
+    return histories.lateralJoin(function(F.col("messages").outer())).select(key, "seq", "event", "data")
+
+
+def mock_chunks(turns: list[dict], attempt: int) -> Iterator[str]:
+    """The mock provider as a plug-in: first word, second word, rest."""
+    words = (REPLY_PREFIX + next(t["content"] for t in reversed(turns) if t["role"] == "user")).split(" ")
+    yield words[0] + " "
+    yield words[1] + " "
+    yield " ".join(words[2:])
+
+
 def provider(name: str, extra: dict[str, Provider] | None = None) -> Provider:
     """The provider of a name, whatever its case; an unknown name fails."""
     known = {n: scripted(s) for n, s in SCRIPTS.items()} | (extra or {})

@@ -7,6 +7,7 @@ with text, events for hits of limiters and for JSON bodies.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -639,6 +640,32 @@ def timed_out_provider(spark, d):
     return replies.provider_replies(asked_histories(spark, d), replies.provider("Timeout-Mock ")).withColumn("reply", F.col("reply").cast("int"))
 
 
+SPOKEN_SQL = f"""with {REPLY_SQL}, late as (select conv_id, length(reply) % 20 = 0 as late from replies)
+select conv_id, cast(seq as bigint) as seq, 'chunk' as event, chunk as data from chunks join late using (conv_id) where not {{late}} or seq = 0
+union all select conv_id, case when {{late}} then 1 else 3 end, case when {{late}} then 'error' else 'done' end, case when {{late}} then 'provider_timeout' else '' end from late"""
+
+
+@query(SPOKEN_SQL.format(late="false"))
+def reply_table_function(spark, d):
+    """The table function, called from SQL."""
+    replies.register_provider(spark, "mock_reply_rows", replies.mock_chunks)
+    return spark.sql("SELECT conv_id, spoken.* FROM {histories}, LATERAL mock_reply_rows(messages) AS spoken", histories=asked_histories(spark, d))
+
+
+@query(SPOKEN_SQL.format(late="late"))
+def provider_deadline(spark, d):
+    """A plug-in that hangs after its first chunk, on replies whose length divides by 20; an attempt may take two seconds."""
+
+    def hanging(turns, attempt):
+        reply = "".join(replies.mock_chunks(turns, attempt))
+        for n, chunk in enumerate(replies.mock_chunks(turns, attempt)):
+            if n == 1 and len(reply) % 20 == 0:
+                threading.Event().wait(60)
+            yield chunk
+
+    return replies.spoken(asked_histories(spark, d).repartition(16, "conv_id"), replies.reply_function(hanging, seconds=2.0))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -119,3 +119,44 @@ def test_versions_swap_in_together(spark, tmp_path):
         pass
     assert [versions.read_version(spark, folder, n).count() for n in ("users", "messages")] == [2, 1]
     assert versions.write_versions({"messages": two}, folder) == 3 and versions.read_version(spark, folder, "messages").count() == 2
+
+
+def test_table_function_from_sql_and_frames(spark):
+    histories = spark.createDataFrame([(1, [("user", "Hi you there")]), (2, [("system", "x"), ("user", "é"), ("assistant", "y")]), (3, [])], "conv_id long, messages array<struct<role:string,content:string>>")
+
+    def speak(turns, attempt):
+        if not turns:
+            raise ValueError("nothing asked")
+        if attempt == 0 and len(turns) > 1:
+            raise ConnectionError("gone")
+        yield from replies.mock_chunks(turns, attempt)
+
+    function = replies.register_provider(spark, "spoken_rows", speak)
+    by_frame = sorted(tuple(r) for r in replies.spoken(histories, function).collect())
+    by_sql = sorted(tuple(r) for r in spark.sql("SELECT conv_id, s.* FROM {h}, LATERAL spoken_rows(messages) AS s", h=histories).collect())
+    by_rows = sorted(tuple(r) for r in replies.provider_chunks(histories, replies.plugged(speak)).select("conv_id", "seq", "event", "data").collect())
+    assert by_frame == by_sql == by_rows
+    assert by_frame[:4] == [(1, 0, "chunk", "Mock "), (1, 1, "chunk", "assistant "), (1, 2, "chunk", "reply: Hi you there"), (1, 3, "done", "")]
+    assert by_frame[-1] == (3, 0, "error", "provider_request_failed")
+
+
+def test_attempt_that_hangs_is_abandoned(spark):
+    import threading
+    import time
+
+    histories = spark.createDataFrame([(i, [("user", "x" * i)]) for i in range(6)], "conv_id long, messages array<struct<role:string,content:string>>").coalesce(1)
+
+    def speak(turns, attempt):
+        yield "a"
+        if len(turns[0]["content"]) == 2:
+            threading.Event().wait(600)
+        if len(turns[0]["content"]) == 3:
+            raise TimeoutError
+        yield "b"
+
+    begun = time.monotonic()
+    rows = {r.conv_id: r for r in replies.provider_replies(histories, replies.plugged(speak, seconds=1.5)).collect()}
+    assert time.monotonic() - begun < 60
+    assert [rows[i].error for i in range(6)] == [None, None, "provider_timeout", "provider_timeout", None, None]
+    assert rows[4].reply == "ab" and rows[2].attempts == 1
+    assert replies.attempted(speak, [{"role": "user", "content": "xx"}], 0, 0.3) == ("provider_timeout", ["a"])
