@@ -5,19 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schemas import TABLES
-
 
 def parquet_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def database_table(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
-    """A stored table of a database with a JDBC URL (its driver must be on the class path), cast to its schema."""
-    frame = spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
-    return frame.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields))
-
-
 def engine_session(app: str = "colloquy", **conf: str) -> SparkSession:
     """A session with the settings that results depend on."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
