@@ -1,64 +1,13 @@
-"""Schema versions: an ordered list of functions that create or widen tables."""
+"""Schema versions (see ``ledger``), and tables that swap in together."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ledger import downgrade, upgrade
 
-def _v1_up(spark: SparkSession, db: str) -> None:
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {db}.users (id VARCHAR(36) NOT NULL, email VARCHAR(320) NOT NULL, password_hash VARCHAR(255) NOT NULL, created_at TIMESTAMP NOT NULL) USING parquet")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {db}.conversations (id VARCHAR(36) NOT NULL, user_id VARCHAR(36) NOT NULL, title VARCHAR(255) NOT NULL, created_at TIMESTAMP NOT NULL) USING parquet")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {db}.messages (id VARCHAR(36) NOT NULL, conversation_id VARCHAR(36) NOT NULL, role VARCHAR(32) NOT NULL, content STRING NOT NULL, created_at TIMESTAMP NOT NULL) USING parquet")
-
-
-def _v1_down(spark: SparkSession, db: str) -> None:
-    for name in ("messages", "conversations", "users"):
-        spark.sql(f"DROP TABLE IF EXISTS {db}.{name}")
-
-
-def _v2_up(spark: SparkSession, db: str) -> None:
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {db}.refresh_tokens (id VARCHAR(36) NOT NULL, user_id VARCHAR(36) NOT NULL, token_hash VARCHAR(64) NOT NULL, expires_at TIMESTAMP NOT NULL, revoked_at TIMESTAMP, created_at TIMESTAMP NOT NULL) USING parquet")
-
-
-def _v2_down(spark: SparkSession, db: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {db}.refresh_tokens")
-
-
-FLAGS = {"is_active": "true", "is_superuser": "false", "is_verified": "false"}
-
-
-def _v3_up(spark: SparkSession, db: str) -> None:
-    there = spark.table(f"{db}.users").columns
-    for name, default in FLAGS.items():
-        if name not in there:
-            spark.sql(f"ALTER TABLE {db}.users ADD COLUMNS ({name} BOOLEAN DEFAULT {default})")
-
-
-def _v3_down(spark: SparkSession, db: str) -> None:
-    """Columns of Parquet tables can't be dropped: the table is rewritten without them."""
-    kept = spark.table(f"{db}.users").drop(*FLAGS)
-    kept.write.saveAsTable(f"{db}.users_without_flags", format="parquet")
-    spark.sql(f"DROP TABLE {db}.users")
-    spark.sql(f"ALTER TABLE {db}.users_without_flags RENAME TO {db}.users")
-
-
-VERSIONS: list[tuple[str, Callable, Callable]] = [("0001", _v1_up, _v1_down), ("0002", _v2_up, _v2_down), ("0003", _v3_up, _v3_down)]
-
-
-def upgrade(spark: SparkSession, db: str, to: str = "0003") -> None:
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
-    for name, up, _ in VERSIONS:
-        if name <= to:
-            up(spark, db)
-
-
-def downgrade(spark: SparkSession, db: str, below: str) -> None:
-    for name, _, down in reversed(VERSIONS):
-        if name >= below:
-            down(spark, db)
+__all__ = ["committed", "commits", "downgrade", "read_version", "upgrade", "write_versions"]
 
 
 def write_versions(tables: dict[str, DataFrame], folder: str) -> int:

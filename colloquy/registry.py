@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .functions import time as TM
 from .functions.json import COMPACT, with_json
-from .operators import limiters, relations, replies, versions
+from .operators import buckets, limiters, relations, replies, versions
 from .plans.errors import CODES, error_codes
 from .plans.limits import limit_table
 from .sources import deltas
@@ -279,6 +279,36 @@ def rotate_tokens(spark, d):
     return versions.rotated(t, presented, as_of(), 7).select("token_hash", "user_id", F.unix_micros("expires_at").alias("expires_us"), F.coalesce(F.unix_micros("revoked_at"), F.lit(-1)).alias("revoked_us"))
 
 
+def tokens_in_buckets(spark, d):
+    """The tokens as a stored table of 64 buckets; its name."""
+    name = f"tokens_{uuid.uuid4().hex}"
+    buckets.create(tokens(spark, d), name, "token_hash", 64, f"{shared_folder(spark).rstrip('/')}/{name}")
+    return name
+
+
+@query(f"""with {TOKENS_SQL} select token_id, token_hash,
+  coalesce(epoch_us(case when user_id % 75 = 7 and revoked_at is null then timestamp '{AS_OF}' else revoked_at end), -1) as revoked_us from tokens""")
+def revoke_in_buckets(spark, d):
+    """Some users' tokens are revoked in place: their buckets are rewritten."""
+    name = tokens_in_buckets(spark, d)
+    buckets.revoke(spark, name, tokens(spark, d).where("user_id % 75 = 7"), as_of())
+    return buckets.rows_of(spark, name).select("token_id", "token_hash", F.coalesce(F.unix_micros("revoked_at"), F.lit(-1)).alias("revoked_us"))
+
+
+@query(f"""with {TOKENS_SQL}, live as (
+  select * from tokens where user_id % 75 = 7 and revoked_at is null and expires_at > timestamp '{AS_OF}'
+) select token_hash, user_id, epoch_us(expires_at) as expires_us,
+  coalesce(epoch_us(case when token_hash in (select token_hash from live) then timestamp '{AS_OF}' else revoked_at end), -1) as revoked_us from tokens
+union all select sha256('new-' || token_id), user_id, epoch_us(timestamp '{AS_OF}' + interval 7 day), -1 from live""")
+def rotate_in_buckets(spark, d):
+    name = f"tokens_{uuid.uuid4().hex}"
+    t = tokens(spark, d)
+    buckets.create(t.drop("token_id").select("token_hash", "user_id", "expires_at", "revoked_at"), name, "token_hash", 64, f"{shared_folder(spark).rstrip('/')}/{name}")
+    presented = t.where("user_id % 75 = 7").select("token_hash", F.concat(F.lit("new-"), "token_id").alias("new_token"))
+    buckets.rotate(spark, name, presented, as_of(), 7)
+    return buckets.rows_of(spark, name).select("token_hash", "user_id", F.unix_micros("expires_at").alias("expires_us"), F.coalesce(F.unix_micros("revoked_at"), F.lit(-1)).alias("revoked_us"))
+
+
 FIRST_HIT_SQL = """
 with recursive h as (
   select event_type, user_id, event_id, epoch_us(ts) as t, row_number() over (partition by event_type, user_id order by ts, event_id) as n from events

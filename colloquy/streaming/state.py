@@ -3,32 +3,19 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from ..sources.shared import shared_folder
+from ..sources.shared import setting, shared_folder
 
 #: The state store that transformWithState needs.
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-@contextmanager
-def state_store(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside use the store; a query that runs keeps what it was started with."""
-    name, value = PROVIDER
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
     """All that the sources have by now, appended to Parquet once each; started again it goes on where it ended."""
-    with state_store(stream.sparkSession):
+    with setting(stream.sparkSession, *PROVIDER):  # a query that runs keeps what it was started with
         query = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 

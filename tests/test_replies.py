@@ -72,13 +72,13 @@ def test_plug_ins(spark):
 
 def test_schema_versions(spark):
     versions.upgrade(spark, "chat_v")
-    assert {t.name for t in spark.catalog.listTables("chat_v") if not t.isTemporary} == {"users", "conversations", "messages", "refresh_tokens"}
+    assert {t.name for t in spark.catalog.listTables("chat_v") if not t.isTemporary} == {"users", "conversations", "messages", "refresh_tokens", "schema_versions"}
     spark.sql("INSERT INTO chat_v.users (id, email, password_hash, created_at) VALUES ('1', 'a@b.org', 'h', now())")
     assert tuple(spark.table("chat_v.users").select("is_active", "is_superuser", "is_verified").first()) == (True, False, False)
     versions.downgrade(spark, "chat_v", "0003")
     assert "is_active" not in spark.table("chat_v.users").columns
     versions.downgrade(spark, "chat_v", "0001")
-    assert all(t.isTemporary for t in spark.catalog.listTables("chat_v"))
+    assert {t.name for t in spark.catalog.listTables("chat_v") if not t.isTemporary} == {"schema_versions"}
 
 
 def test_event_sink(spark, tmp_path):
