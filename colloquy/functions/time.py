@@ -26,10 +26,28 @@ def lifetime_seconds(minutes: Column) -> Column:
     return minutes * 60
 
 
+def python_round(x: Column, digits: int) -> Column:
+    """A double to so many decimals (0 to 3) as Python rounds it: by its exact value, halves to the even neighbour.
+
+    Whether 10**digits * x lies above the middle of its neighbours is told without error: the upper half of
+    the double's bits times a small whole number is exact, and so is its distance to the middle; the lower
+    half only decides the sign. From 2**40 on it is the engine's rounding.
+    """
+    scale = float(10**digits)
+    size = F.abs(x.cast("double"))
+    split = size * 134217729.0
+    upper = split - (split - size)
+    low = F.floor(size * scale).cast("double")
+    beyond = (upper * (2 * scale) - (low * 2.0 + 1.0)) + (size - upper) * (2 * scale)
+    nearest = F.when(beyond < 0, low).when(beyond > 0, low + 1.0).otherwise(low + low % 2.0)
+    sign = F.when(x.cast("double") < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    return F.when(size < 2.0**40, sign * nearest / scale).otherwise(F.round(x.cast("double"), digits))
+
+
 def elapsed_ms(seconds: Column) -> Column:
-    """Rounded to two places, halves away from zero (Python's round differs on some doubles)."""
-    return F.round(seconds * 1000, 2)
+    """Milliseconds, rounded to two places."""
+    return python_round(seconds * 1000, 2)
 
 
 def timed_out_message(seconds: Column) -> Column:
-    return F.format_string("LLM provider timed out after %.1f seconds.", seconds.cast("double"))
+    return F.format_string("LLM provider timed out after %.1f seconds.", python_round(seconds, 1))

@@ -51,18 +51,16 @@ def stream_events(requests: DataFrame, chunks: DataFrame, interrupted: Column, k
 
     requests: (key, user_message). Data is JSON text: compact for metadata, Python's default style otherwise.
     """
-    asked = requests.withColumn("_stop", interrupted)
-    meta = asked.select(key, F.lit(0).cast("long").alias("seq"), F.lit("metadata").alias("event"), json_text(F.struct(F.col(key).cast("string").alias("conversation_id"), "user_message"), METADATA, COMPACT).alias("data"))
-    sent = chunks.join(asked.select(key, "_stop"), key).where(~F.col("_stop") | (F.col("seq") == 0))
-    parts = sent.select(key, (F.col("seq") + 1).alias("seq"), F.lit("chunk").alias("event"), json_text(F.struct(F.col("chunk").alias("content")), CONTENT).alias("data"))
-    last = sent.groupBy(key).agg(F.max("seq").alias("last"))
-    end = asked.join(last, key, "left").select(
-        key,
-        (F.coalesce("last", F.lit(-1)) + 2).cast("long").alias("seq"),
-        F.when(F.col("_stop"), "error").otherwise("done").alias("event"),
-        F.when(F.col("_stop"), '{"detail": "LLM provider stream interrupted.", "code": "provider_stream_interrupted"}').otherwise('{"status": "complete"}').alias("data"),
-    )
-    return meta.unionByName(parts).unionByName(end)
+    event = lambda seq, name, data: F.struct(seq.cast("long").alias("seq"), F.lit(name).alias("event") if isinstance(name, str) else name.alias("event"), data.alias("data"))
+    sent = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), F.col("chunk").alias("content")))).alias("_sent"))
+    asked = requests.withColumn("_stop", interrupted).join(sent, key, "left").withColumn("_sent", F.coalesce("_sent", F.array().cast("array<struct<seq:bigint,content:string>>")))
+    asked = asked.withColumn("_sent", F.when(F.col("_stop"), F.filter("_sent", lambda c: c["seq"] == 0)).otherwise(F.col("_sent")))
+    meta = event(F.lit(0), "metadata", json_text(F.struct(F.col(key).cast("string").alias("conversation_id"), "user_message"), METADATA, COMPACT))
+    parts = F.transform("_sent", lambda c: event(c["seq"] + 1, "chunk", json_text(F.struct(c["content"].alias("content")), CONTENT)))
+    last = F.coalesce(F.array_max("_sent")["seq"], F.lit(-1)) + 2
+    data = F.when(F.col("_stop"), '{"detail": "LLM provider stream interrupted.", "code": "provider_stream_interrupted"}').otherwise('{"status": "complete"}')
+    end = event(last, F.when(F.col("_stop"), "error").otherwise("done"), data)
+    return asked.select(key, F.inline(F.concat(F.array(meta), parts, F.array(end))))
 
 
 def persisted_turns(requests: DataFrame, chunks: DataFrame, events: DataFrame, key: str = "conv_id") -> DataFrame:

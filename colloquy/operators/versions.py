@@ -59,11 +59,12 @@ def revoked(tokens: DataFrame, presented: DataFrame, as_of: Column) -> DataFrame
 
 def rotated(tokens: DataFrame, presented: DataFrame, as_of: Column, days: int) -> DataFrame:
     """tokens after rotation: active ones of presented(token_hash, new_token) are revoked, new ones are added."""
-    swap = presented.groupBy("token_hash").agg(F.min("new_token").alias("new_token"))
-    live = active_tokens(tokens, as_of).join(swap, "token_hash")
-    fresh = live.select(token_hash(F.col("new_token")).alias("token_hash"), "user_id", plus_days(as_of, days).alias("expires_at"), F.lit(None).cast("timestamp").alias("revoked_at"))
-    old = revoked(tokens, live.select("token_hash"), as_of)
-    return old.select(fresh.columns).unionByName(fresh)
+    swap = presented.groupBy("token_hash").agg(F.min("new_token").alias("_new"))
+    live = F.col("_new").isNotNull() & F.col("revoked_at").isNull() & (F.col("expires_at") > as_of)
+    row = lambda *values: F.struct(*(v.alias(c) for v, c in zip(values, ("token_hash", "user_id", "expires_at", "revoked_at"), strict=True)))
+    old = row(F.col("token_hash"), F.col("user_id"), F.col("expires_at"), F.when(live, as_of).otherwise(F.col("revoked_at")))
+    fresh = row(token_hash(F.col("_new")), F.col("user_id"), plus_days(as_of, days), F.lit(None).cast("timestamp"))
+    return tokens.join(swap, "token_hash", "left").select(F.inline(F.when(live, F.array(old, fresh)).otherwise(F.array(old))))
 
 
 def with_defaults(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ with text, events for hits of limiters and for JSON bodies.
 
 from __future__ import annotations
 
+import functools
 import threading
 import uuid
 from collections.abc import Callable
@@ -129,7 +130,8 @@ def user_by_email(spark, d):
 @query("select o_orderkey as conversation_id, o_custkey as user_id, o_orderdate as created_at from orders where o_orderkey = 7 and o_custkey = (select o_custkey from orders where o_orderkey = 7)")
 def owned_conversation(spark, d):
     c = conversations(spark, d)
-    return c.where("conversation_id = 7").join(users(spark, d).select("user_id"), "user_id", "left_semi").select(c.columns)
+    owner = c.where("conversation_id = 7").agg(F.max("user_id")).first()[0]  # one value
+    return relations.owned(c, "conversation_id", 7, "user_id", owner)
 
 
 @query("""
@@ -428,7 +430,9 @@ select o_orderkey as conversation_id, o_custkey as user_id, 'Untitled conversati
 union all select o_orderkey, o_custkey, o_orderpriority from orders where o_orderkey % 10 <> 0""")
 def insert_defaults(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("conversation_id"), F.col("o_custkey").alias("user_id"), F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderpriority")).alias("title"))
-    return versions.inserted(rows.limit(0), rows.withColumn("title", X.title_of(F.col("title"))))
+    titled = rows.withColumn("title", X.title_of(F.col("title")))
+    even = F.col("conversation_id") % 2 == 0
+    return versions.inserted(titled.where(even), titled.where(~even))  # half of them are there already
 
 
 @query("""
@@ -457,6 +461,47 @@ def cascade_delete(spark, d):
     return out
 
 
+@query("""
+select 'users' as what, c_custkey as id, null::bigint as parent from customer where c_custkey % 7 <> 0
+union all select 'conversations', o_orderkey, o_custkey from orders where o_custkey % 7 <> 0
+union all select 'messages', l_linenumber, l_orderkey from lineitem join orders on l_orderkey = o_orderkey where o_custkey % 7 <> 0
+union all select 'refresh_tokens', o_orderkey, o_custkey from orders where o_custkey % 7 <> 0""")
+def cascade_delete_rows(spark, d):
+    """The rows that are left, table by table."""
+    messages = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("conversation_id"), F.col("l_linenumber").alias("id"))
+    tables = {"users": users(spark, d), "conversations": conversations(spark, d), "messages": messages, "refresh_tokens": tokens(spark, d)}
+    left = versions.deleted_with_children(tables, users(spark, d).where("user_id % 7 = 0").select("user_id"))
+    named = {"users": ("user_id", None), "conversations": ("conversation_id", "user_id"), "messages": ("id", "conversation_id"), "refresh_tokens": ("token_id", "user_id")}
+    parts = [left[n].select(F.lit(n).alias("what"), F.col(i).cast("long").alias("id"), (F.col(p) if p else F.lit(None)).cast("long").alias("parent")) for n, (i, p) in named.items()]
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
+@query("""
+select event_id, trim(case event_id % 4 when 0 then ' ' when 1 then '' else event_type end) = '' as blank, user_id * 60 as lifetime, 'LLM provider timed out after ' || printf('%.1f', event_id / 8.0::double) || ' seconds.' as message,
+  round_even(event_id / 8.0::double, 2) as elapsed, event_id % 5 > 0 as positive, regexp_full_match(case event_id % 3 when 0 then event_type || '@example.org' when 1 then event_type || '@x' else event_type end, '.+@.+[.].+') as email from events""")
+def value_checks(spark, d):
+    e, i = table(spark, d, "events"), F.col("event_id")
+    kind = F.col("event_type")
+    text = F.when(i % 4 == 0, " \t\u3000").when(i % 4 == 1, "").otherwise(F.concat(F.lit("\u00a0"), kind))
+    email = F.when(i % 3 == 0, F.concat(kind, F.lit("@example.org"))).when(i % 3 == 1, F.concat(kind, F.lit("@x"))).otherwise(kind)
+    seconds = i.cast("double") / 8.0
+    return e.select("event_id", X.is_blank(text).alias("blank"), TM.lifetime_seconds(F.col("user_id")).alias("lifetime"), TM.timed_out_message(seconds).alias("message"), TM.python_round(seconds, 2).alias("elapsed"), (i % 5 > 0).alias("positive"), X.is_email(email).alias("email"))
+
+
+@query("""
+with t as (
+  select conv_id, list({'role': role, 'content': text, 'created_at': strftime(timestamp '2026-01-01' + to_minutes(turn), '%Y-%m-%dT%H:%M:%S+00:00')} order by turn) as messages, arg_min(text, turn) as first from conversations group by conv_id
+) select conv_id, to_json({'id': conv_id::varchar, 'title': substr(first, 1, 80), 'messages': messages})::varchar as body from t""")
+def history_responses(spark, d):
+    """The body of a conversation's history, as it is sent."""
+    made = TM.iso_format(F.lit("2026-01-01").cast("timestamp") + F.make_dt_interval(mins=F.col("turn").cast("int")))
+    t = turns(spark, d).select("conv_id", "turn", "role", F.col("text").alias("content"), made.alias("created_at"))
+    first = t.groupBy("conv_id").agg(F.min_by("content", "turn").alias("first"))
+    rows = relations.histories(first, t, "conv_id", ["turn"], ["role", "content", "created_at"])
+    value = F.struct(F.col("conv_id").cast("string").alias("id"), X.title_of(F.col("first")).alias("title"), "messages")
+    return with_json(rows, "body", value, COMPACT).select("conv_id", "body")
+
+
 @query("select l_orderkey as conversation_id, count(*) as n from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderkey % 9 <> 0) group by 1")
 def orphans(spark, d):
     parents = conversations(spark, d).where("conversation_id % 9 <> 0")

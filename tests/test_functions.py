@@ -73,3 +73,15 @@ def test_settings():
 
 def test_ready(spark):
     assert tables.is_ready(spark)
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2, 3])
+def test_rounding_equals_python(spark, digits):
+    import random
+
+    r = random.Random(digits)
+    values = [0.0, 2.675, 0.125, 0.375, 1.005, 2.5, 3.5, 0.5, 1e-9, 0.005, 0.015, 1234.565, 99.995, 0.05, 0.25, 8.45]
+    values += [r.uniform(0, 10 ** r.randint(0, 9)) for _ in range(2000)] + [k / 1000 + 0.0005 for k in range(500)] + [k / 8 for k in range(200)] + [round(r.uniform(0, 100), 3) for _ in range(1000)]
+    values += [-v for v in values]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, x double").select("i", TM.python_round(F.col("x"), digits).alias("y")).collect()
+    assert [r.y for r in sorted(rows, key=lambda r: r.i)] == [round(v, digits) for v in values]
