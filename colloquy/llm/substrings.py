@@ -16,6 +16,9 @@ node is a run of suffixes that share a depth; those of full depth are the deep o
 are the windows that repeat. What the tasks report is the rest, leaves alone at full depth. The
 windows that repeat are joined to maximal runs of each text.
 
+The driver sees only buckets that hold more than ``LEAVES`` suffixes, and these only if their bytes allow
+it; else they are joined with the suffixes.
+
 Defined results: a null text has no words; texts of fewer than ``span`` words lose nothing; exact
 copies of ``span`` words or more lose every word; repeated rows count as copies; rows of equal id
 and other text are documents of their own; an empty table gives an empty result; other columns are
@@ -39,6 +42,8 @@ from .words import Words, ints, mix, slices, span_hashes
 LABEL = ["k1", "k2"]
 #: So many suffixes of a group are held in memory.
 LEAVES = 1 << 18
+#: Fingerprints that are counted at a time, and bytes of hot buckets that are broadcast.
+COUNTED, HOT_BYTES = 1 << 21, 64 << 20
 #: The counting pass has so many buckets of prefixes for each group that there must be.
 SPREAD = 16
 NODES = "k1 long, k2 long, doc long, pos int, leaves int, edge boolean"
@@ -63,55 +68,92 @@ def bucket_of(fingerprint: np.ndarray, n: int) -> np.ndarray:
 
 
 def count_task(k: int, span: int, n: int):
-    """How many suffixes each bucket of prefixes has, at each depth."""
+    """Partial counts of the suffixes in each bucket of prefixes, at each depth (bucket: depth * n + bucket)."""
+
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, often = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(often.astype(np.int64))], names=["bucket", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(4 * n, np.int64)
+        held, size = [], 0
         for whole in batches:
             for part in slices(whole, "text"):
                 for level, fingerprint in enumerate(labelled(part, k, span)[2]):
-                    counts += np.bincount(bucket_of(fingerprint, n) + level * n, minlength=4 * n)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
+                    held.append(bucket_of(fingerprint, n) + level * n)
+                    size += len(fingerprint)
+                if size > COUNTED:
+                    yield counted(held)
+                    held, size = [], 0
+        if size:
+            yield counted(held)
 
     return run
 
 
-def groups_of(fingerprints: list[np.ndarray], place: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The group of each suffix, and whether its group has only a part of a prefix of full depth; counts: by depth and bucket."""
-    n = counts.shape[1]
+def groups_of(fingerprints: list[np.ndarray], place: np.ndarray, hot: tuple[np.ndarray, np.ndarray], n: int, leaves: int) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each suffix, and whether its group has only a part of a prefix of full depth; hot: buckets of more than ``leaves``, sorted, and their counts."""
+    keys, counts = hot
     group, split = np.zeros(len(place), np.uint64), np.zeros(len(place), bool)
     todo = np.ones(len(place), bool)
     for level, fingerprint in enumerate(fingerprints):
         bucket = bucket_of(fingerprint, n)
-        often = counts[level][bucket]
-        here = todo & ((often <= LEAVES) | (level == 3))
-        parts = np.maximum(-(-often // LEAVES), 1)
+        often = np.zeros(len(bucket), np.int64)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, bucket + level * n), len(keys) - 1)
+            often = np.where(keys[at] == bucket + level * n, counts[at], 0)
+        here = todo & ((often == 0) | (level == 3))
+        parts = np.maximum(-(-often // leaves), 1)
         split |= here & (parts > 1)
         group[here] = mix(bucket[here] * 4 + level, 41) ^ mix(place[here] % parts[here].astype(np.uint64), 42)
         todo &= ~here
     return (ints(group) >> 32).astype(np.int32), split
 
 
-def suffix_task(held, k: int, span: int):
-    """The suffixes of a batch of texts, with group and label; pos is complemented where the text has copies."""
+SUFFIX = "k1 long, k2 long, doc long, pos int"
+
+
+def suffix_task(held, k: int, span: int, n: int, leaves: int):
+    """The suffixes of a batch of texts, with label; pos is complemented where the text has copies. With
+    held (the hot buckets) their groups, without it what tells them: buckets by depth, and a number by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = held.value
         for whole in batches:
             for part in slices(whole, "text"):
                 text, pos, d = labelled(part, k, span)
                 if not len(pos):
                     continue
                 doc = part.column("doc").to_numpy()[text]
-                group, split = groups_of(d, mix(mix(doc, 43) ^ pos.astype(np.uint64), 44), counts)
+                place = mix(mix(doc, 43) ^ pos.astype(np.uint64), 44)
                 copies = part.column("copies").to_numpy()[text] > 1
-                columns = [group, split, ints((d[0] << np.uint64(32)) | d[1]), ints((d[2] << np.uint64(32)) | d[3]), doc, np.where(copies, ~pos, pos).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["group", "split", "k1", "k2", "doc", "pos"])
+                columns = {"k1": ints((d[0] << np.uint64(32)) | d[1]), "k2": ints((d[2] << np.uint64(32)) | d[3]), "doc": doc, "pos": np.where(copies, ~pos, pos).astype(np.int32)}
+                if held is None:
+                    columns |= {f"b{level}": bucket_of(fingerprint, n) + level * n for level, fingerprint in enumerate(d)} | {"place": ints(place)}
+                else:
+                    columns["group"], columns["split"] = groups_of(d, place, held.value, n, leaves)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=list(columns))
 
     return run
 
 
+def grouped_suffixes(texts: DataFrame, k: int, span: int, n: int) -> DataFrame:
+    """The suffixes with their groups. Only hot buckets are told to the tasks; more of them than HOT_BYTES has room for are joined."""
+    counts = texts.select("text", "live").mapInArrow(count_task(k, span, n), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    hot = written(counts.where(F.col("n") > LEAVES), "hot")
+    columns = texts.select("doc", "text", "copies", "live")
+    if 16 * hot.count() <= HOT_BYTES:
+        found = hot.orderBy("bucket").toArrow()
+        held = texts.sparkSession.sparkContext.broadcast(tuple(found.column(c).to_numpy() for c in ("bucket", "n")))
+        return columns.mapInArrow(suffix_task(held, k, span, n, LEAVES), f"{SUFFIX}, group int, split boolean")
+    rows = columns.mapInArrow(suffix_task(None, k, span, n, LEAVES), f"{SUFFIX}, b0 long, b1 long, b2 long, b3 long, place long")
+    for level in range(4):
+        rows = rows.join(hot.select(F.col("bucket").alias(f"b{level}"), F.col("n").alias(f"n{level}")), f"b{level}", "left")
+    parts = F.ceil(F.coalesce("n3", F.lit(1)) / LEAVES)
+    bucket = F.when(F.col("n0").isNull(), F.col("b0")).when(F.col("n1").isNull(), F.col("b1")).when(F.col("n2").isNull(), F.col("b2")).otherwise(F.col("b3"))
+    deep = F.col("n0").isNotNull() & F.col("n1").isNotNull() & F.col("n2").isNotNull()
+    share = F.when(deep, F.pmod("place", parts)).otherwise(F.lit(0))
+    return rows.select("k1", "k2", "doc", "pos", F.xxhash64(bucket, share).bitwiseAND(0x7FFFFFFF).cast("int").alias("group"), (deep & (parts > 1)).alias("split"))
+
+
 def shared_depths(group: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
     """How many levels each suffix (sorted) shares with the one before it (0 to 4); -1 where a group begins."""
     lcp = np.full(len(group), -1, np.int8)
@@ -188,14 +230,9 @@ def substring_dedup(docs: DataFrame, span: int = 35, id_col: str = "doc_id", tex
     """Rows (id, n_words, n_removed, kept_sha256, removed): removed has the runs of words taken out."""
     k = max(1, span // 3)
     rows, contents, texts = live_anchors(docs, k, span, True, id_col, text_col)
-    spark = docs.sparkSession
     words = rows.agg(F.sum("n_words")).first()[0] or 0
-    n = 1 << int(np.ceil(np.log2(max(words * SPREAD / LEAVES, 1 << 12))))
-    counts = np.zeros(4 * n, np.int64)
-    found = texts.select("text", "live").mapInArrow(count_task(k, span, n), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    held = spark.sparkContext.broadcast(counts.reshape(4, n))  # a bounded share of the suffixes: SPREAD buckets for LEAVES of them
-    suffixes = texts.select("doc", "text", "copies", "live").mapInArrow(suffix_task(held, k, span), "group int, split boolean, k1 long, k2 long, doc long, pos int")
+    n = 1 << min(32, int(np.ceil(np.log2(max(words * SPREAD / LEAVES, 1 << 12)))))
+    suffixes = grouped_suffixes(texts, k, span, n)
     nodes = suffixes.repartition("group").sortWithinPartitions("group", *LABEL).mapInArrow(tree_task, NODES)
     nodes = written(nodes, "nodes")
     edges = nodes.where("edge").groupBy(*LABEL).agg(F.sum("leaves").alias("leaves"), F.min("doc").alias("doc"), F.min("pos").alias("pos")).where("leaves = 1")

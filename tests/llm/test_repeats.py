@@ -240,8 +240,9 @@ def test_subtrees_whatever_the_groups(spark, docs, prose, monkeypatch):
 
     texts = corpus(prose, 8)
     want = {i: len(gone) for i, (_, gone) in enumerate(windows(texts, 35))}
-    for leaves in (2, 50):  # groups of a few suffixes: deeper prefixes, and parts of hot ones
+    for leaves, room in ((2, 1 << 20), (50, 1 << 20), (2, 0)):  # groups of a few suffixes: deeper prefixes, and parts of hot ones, told to tasks or joined
         monkeypatch.setattr(substrings, "LEAVES", leaves)
+        monkeypatch.setattr(substrings, "HOT_BYTES", room)
         assert {r.doc_id: r.n_removed for r in substring_dedup(docs(texts).repartition(3), 35).collect()} == want
     group, k1, k2 = np.array([1, 1, 1, 1, 1, 2]), np.array([5, 5, 5, (1 << 33) + 1, (1 << 33) + 2, (1 << 33) + 2]), np.array([1 << 32, 1 << 32, (1 << 32) + 1, 0, 0, 0])
     lcp = substrings.shared_depths(group, k1, k2)
