@@ -1,7 +1,8 @@
 """Chat formatting (operator 3), with Spark expressions only.
 
-A conversation is collected as turn structs, sorted, adjacent turns of a role are merged into a
-block, and the blocks are concatenated:
+A conversation is collected as turn structs, sorted, runs of turns of a role are merged into blocks
+(arrays of texts), and the blocks are concatenated; places of texts are running sums of lengths. Work
+grows with a conversation's turns times their logarithm:
 
     <s>[system]text[/system]<s>[user]text[next]text[/user]<s>[assistant]text</s>
 
@@ -16,6 +17,8 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,33 +47,43 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
         F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"),
     )
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    last = F.size("t")
-
-    def piece(x: Column, i: Column) -> Column:
-        """What stands before, in and after the text of a turn; blocks of a role are merged here."""
-        begins = (i == 0) | (F.try_element_at(F.col("t"), F.greatest(i, F.lit(1)))["role"] != x["role"])
-        ends = (i + 1 == last) | (F.try_element_at(F.col("t"), F.least(i + 2, last))["role"] != x["role"])
-        role = escaped_role(x["role"])
-        return F.struct(
-            F.when(begins, F.concat(F.lit("<s>["), role, F.lit("]"))).otherwise(F.lit("[next]")).alias("open"),
-            escaped(x["text"]).alias("body"),
-            F.when(ends, F.when(x["role"] == loss_role, F.lit("</s>")).otherwise(F.concat(F.lit("[/"), role, F.lit("]")))).otherwise(F.lit("")).alias("close"),
-            (x["role"] == loss_role).alias("loss"),
-        )
-
-    pieces = whole.select("conv_id", F.transform("t", piece).alias("p"))
-    begin = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<begin:bigint,length:bigint>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        n_open, n_body, n_close = (F.length(p[x]).cast("long") for x in ("open", "body", "close"))
-        span = F.array(F.struct((acc["at"] + n_open).alias("begin"), n_body.alias("length")))
-        return F.struct((acc["at"] + n_open + n_body + n_close).alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    return pieces.select(
-        "conv_id",
-        F.array_join(F.transform("p", lambda p: F.concat(p["open"], p["body"], p["close"])), "").alias("formatted"),
-        F.aggregate("p", begin, step, lambda acc: acc["spans"]).alias("loss_spans"),
-    )
+    role = lambda i: F.get("t", i)["role"]
+    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (role(i) != role(i - 1)))
+
+    def block(starts: Column, start: Column, j: Column) -> Column:
+        """A run of turns of one role."""
+        own = F.slice("t", start + 1, F.coalesce(F.get(starts, j + 1), F.size("t")) - start)
+        return F.struct(role(start).alias("role"), F.transform(own, lambda x: escaped(x["text"])).alias("texts"))
+
+    blocks = whole.select("conv_id", held(starts, lambda s: F.transform(s, lambda start, j: block(s, start, j))).alias("b"))
+    left = lambda b: F.concat(F.lit("<s>["), escaped_role(b["role"]), F.lit("]"))
+    right = lambda b: F.when(b["role"] == loss_role, F.lit("</s>")).otherwise(F.concat(F.lit("[/"), escaped_role(b["role"]), F.lit("]")))
+    formatted = F.array_join(F.transform("b", lambda b: F.concat(left(b), F.array_join(b["texts"], "[next]"), right(b))), "")
+
+    def pieces(b: Column) -> Column:
+        """Of each text of a block: what stands before it since the text before, and its own length."""
+        end = F.size(b["texts"]) - 1
+        before = lambda i: F.when(i == 0, F.length(left(b))).otherwise(F.length(F.lit("[next]"))).cast("long")
+        after = lambda i: F.when(i == end, F.length(right(b))).otherwise(F.lit(0)).cast("long")
+        return F.transform(b["texts"], lambda x, i: F.struct(before(i).alias("open"), F.length(x).cast("long").alias("body"), after(i).alias("close"), (b["role"] == loss_role).alias("loss")))
+
+    placed = blocks.select("conv_id", formatted.alias("formatted"), F.flatten(F.transform("b", pieces)).alias("p"))
+    ends = running_sums(F.transform("p", lambda p: p["open"] + p["body"] + p["close"]))
+    spans = held(ends, lambda e: F.transform("p", lambda p, i: F.struct((F.get(e, i) - p["close"] - p["body"] + 1).alias("begin"), p["body"].alias("length"), p["loss"].alias("loss"))))
+    kept = F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["begin"].alias("begin"), s["length"].alias("length")))
+    return placed.select("conv_id", "formatted", kept.alias("loss_spans"))
+
+
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is computed once. As a plain column Spark could move its expression into the
+    lambda functions that use it, and compute it for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sums(values: Column) -> Column:
+    """The sum of each entry and those before it, by doubling: as many passes as the logarithm of the entries."""
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    return F.aggregate(steps, values, lambda sums, step: F.transform(sums, lambda x, i: x + F.coalesce(F.when(i >= step, F.get(sums, i - step)), F.lit(0).cast("long"))))
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
@@ -84,7 +97,9 @@ def read_chats(formatted: DataFrame) -> DataFrame:
         inner = F.substr(body, F.lit(1), F.length(body) - close)
         return F.transform(F.split(inner, r"\[next\]", -1), lambda x: F.struct(unescaped_role(role).alias("role"), unescaped(x).alias("text")))
 
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substr(F.col("formatted"), s["begin"].cast("int"), s["length"].cast("int")))), "")
+    # four bytes a code point, so that a place is reached without counting from the start
+    text = lambda wide, s: F.decode(F.substr(wide, ((s["begin"] - 1) * 4 + 1).cast("int"), (s["length"] * 4).cast("int")), "UTF-32")
+    loss = held(F.encode("formatted", "UTF-32"), lambda wide: F.array_join(F.transform("loss_spans", lambda s: unescaped(text(wide, s))), ""))
     return formatted.select("conv_id", F.flatten(F.transform(blocks, of_block)).alias("turns"), loss.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -73,3 +74,22 @@ def test_topk_scans_once_whatever_the_queries(spark):
     frame = spark.range(20_000).selectExpr("id as vec_id", "array(cast(id % 7 as double), 1d) as embedding")
     plan = exact_topk(frame, frame)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Range (") == 2
+
+
+def test_long_conversations_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        rows = spark.range(n).selectExpr("1L as conv_id", "id as turn", "case when id % 3 = 1 then 'assistant' else 'user' end as role", "concat('tëxt <s> [', id, '] 😀 ', repeat('x', 200)) as text")
+        best = 1e9
+        for _ in range(2):
+            begun = time.monotonic()
+            r = chat_digests(format_chats(rows)).first()
+            best = min(best, time.monotonic() - begun)
+        want = "".join(f"tëxt <s> [{i}] 😀 " + "x" * 200 for i in range(n) if i % 3 == 1)
+        assert (r.n_turns, r.loss_chars, r.loss_sha256) == (n, len(want), hashlib.sha256(want.encode()).hexdigest())
+        return best
+
+    seconds(100)
+    small, large = seconds(4_000), seconds(16_000)
+    assert large < 10 * small + 2, (small, large)  # four times the turns
