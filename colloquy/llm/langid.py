@@ -9,7 +9,8 @@ The model is fitted on at most ``per_language`` training documents of each langu
 keyed hashes of the ids). Their n-grams are counted in the executors, whole texts whatever their
 length; the driver gets the sums, and the model takes some 0.8 MB a language. Every text is labelled
 whole, in slices that shrink with the number of languages; words are scored in blocks of bytes and
-tiles of languages, so what a long text needs is its words' scores.
+tiles of languages. A long text's path is found in blocks of words side by side, which max-plus products
+join; the scores of a span of words are held at a time.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; rows with a null
 language train nothing; without any training row every text is ``und``; repeated rows are labelled
@@ -18,7 +19,7 @@ alike; equal totals go to the language first in order; other columns are ignored
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ BUCKETS = 1 << 16
 #: Bytes and languages that are scored at once.
 BLOCK_BYTES, TILE = 1 << 18, 8
 ORDERS = (2, 3, 4)
+#: Words of a block and of a span whose scores are held, and labels up to which texts are cut into blocks (its cost is their square).
+STEPS, SPAN, LABELS = 1 << 10, 1 << 18, 32
 #: Scripts by the first byte of a UTF-8 code point (first byte, last byte, script bit).
 SCRIPTS = ((0x41, 0x5A, 0), (0x61, 0x7A, 0), (0xC3, 0xC9, 0), (0xCE, 0xCF, 1), (0xD0, 0xD3, 2), (0xD4, 0xD5, 3), (0xD6, 0xD7, 4), (0xD8, 0xDB, 5), (0xE0, 0xE0, 6), (0xE1, 0xE1, 7), (0xE3, 0xE3, 8), (0xE4, 0xE9, 9), (0xEA, 0xED, 10), (0xF0, 0xF0, 11))
 
@@ -103,12 +106,13 @@ def fit_languages(names: list[str], lang: np.ndarray, slot: np.ndarray, n: np.nd
     return {"names": names, "scores": scores, "scripts": ((share > 0.01) * (1 << np.arange(16))).sum(axis=1).astype(np.uint16)}
 
 
-def word_scores(words: Words, model: dict) -> np.ndarray:
-    """Scores (words x languages); a language that lacks a word's scripts is out, unless all do."""
+def word_scores(words: Words, model: dict, begin: int = 0, end: int | None = None) -> np.ndarray:
+    """Scores (words from begin to end x languages); a language that lacks a word's scripts is out, unless all do."""
+    end = len(words.starts) if end is None else end
     langs, data = len(model["names"]), words.data
-    score = np.empty((len(words.starts), langs), np.float32)
-    blocks = np.unique(np.searchsorted(words.starts, np.arange(0, len(data), BLOCK_BYTES)))
-    for a, b in zip(blocks.tolist(), [*blocks[1:].tolist(), len(words.starts)], strict=True):
+    score = np.empty((end - begin, langs), np.float32)
+    blocks = np.unique(np.clip(np.searchsorted(words.starts, np.arange(0, len(data), BLOCK_BYTES)), begin, end))
+    for a, b in zip(blocks.tolist(), [*blocks[1:].tolist(), end], strict=True):
         if a == b:
             continue
         low = max(0, int(words.starts[a]) - max(ORDERS) + 1)
@@ -122,42 +126,99 @@ def word_scores(words: Words, model: dict) -> np.ndarray:
             per_byte = np.zeros((len(own) + 1, min(TILE, langs - tile)), np.float32)
             for n, buckets in enumerate(grams):
                 per_byte[:-1] += model["scores"][n][:, some][buckets]
-            score[a:b, some] = np.add.reduceat(per_byte, bounds, axis=0)[0::2]
-    seen = np.bitwise_or.reduceat(script_masks()[data], words.starts)
-    fits = (model["scripts"][None, :] & seen[:, None]) > 0
-    score[~fits & fits.any(axis=1)[:, None]] -= 1000.0
+            score[a - begin : b - begin, some] = np.add.reduceat(per_byte, bounds, axis=0)[0::2]
+    if end > begin:
+        first, last = int(words.starts[begin]), int(words.ends[end - 1])
+        seen = np.bitwise_or.reduceat(script_masks()[data[first:last]], words.starts[begin:end] - first)
+        fits = (model["scripts"][None, :] & seen[:, None]) > 0
+        score[~fits & fits.any(axis=1)[:, None]] -= 1000.0
     return score
 
 
-def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
-    """The best label of each word; texts advance side by side, a word a step."""
-    counts = np.diff(first)
-    order = np.argsort(-counts, kind="stable")
-    counts, begins = counts[order], first[:-1][order]
-    path = np.zeros(len(scores), np.int16)
-    if not len(scores):
-        return path
-    active = np.searchsorted(-counts, -np.arange(int(counts[0])), side="left")  # texts longer than each step
-    stays, came = np.zeros(scores.shape, bool), np.zeros(len(scores), np.int16)
-    value = scores[begins[: active[0]]].copy()
-    final = np.zeros((len(counts), scores.shape[1]), np.float32)
-    for step in range(1, len(active)):
-        n = active[step]
+def advanced(scores: np.ndarray, begins: np.ndarray, sizes: np.ndarray, value: np.ndarray, penalty: float, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """Runs of words, longest first, advance side by side, a word a step, from the values (runs x labels) before them.
+
+    Returns the values after them and, if they are kept, for each word the labels that stay and the one from which the others came.
+    """
+    stays, came = (np.zeros(scores.shape, bool), np.zeros(len(scores), np.int16)) if keep else (None, None)
+    value, final = value.astype(np.float32), np.empty(value.shape, np.float32)
+    for step in range(int(sizes[0])):
+        n = int(np.searchsorted(-sizes, -step, side="left"))  # runs longer than this step
         final[n : len(value)] = value[n:]
         value, at = value[:n], begins[:n] + step
         top = value.argmax(axis=1)
-        leap = value[np.arange(n), top][:, None] - penalty
-        stays[at] = value >= leap
-        came[at] = top
+        leap = value[np.arange(n), top][:, None] - np.float32(penalty)
+        if keep:
+            stays[at] = value >= leap
+            came[at] = top
         value = np.maximum(value, leap) + scores[at]
     final[: len(value)] = value
-    label = final.argmax(axis=1).astype(np.int16)
-    for step in range(len(active) - 1, -1, -1):
-        n = active[step]
-        at = begins[:n] + step
-        path[at] = label[:n]
-        if step:
-            label[:n] = np.where(stays[at, label[:n]], label[:n], came[at])
+    return final, stays, came
+
+
+def viterbi(scores: np.ndarray | Callable[[int, int], np.ndarray], first: np.ndarray, penalty: float, langs: int | None = None) -> np.ndarray:
+    """The best label of each word, texts beginning at ``first``; scores of all words, or a function of a range of them.
+
+    Texts are cut into blocks of ``STEPS`` words (where there are not too many labels). Of each block of a longer text the best value from every
+    label before it to every label at its end is found, all blocks side by side; these matrices are joined
+    by max-plus products along the text, which tells the label at every border; then the blocks' own paths
+    are found, side by side again. Scores are held for about ``SPAN`` words at a time.
+    """
+    whole = scores if isinstance(scores, np.ndarray) else None
+    langs = whole.shape[1] if whole is not None else langs
+    total = int(first[-1])
+    path = np.zeros(total, np.int16)
+    if not total:
+        return path
+    steps = STEPS if langs <= LABELS else total
+    begins = np.concatenate([np.arange(a, b, steps) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True) if b > a])
+    ends = np.append(begins[1:], total)
+    text = np.searchsorted(first, begins, side="right") - 1
+    many = np.bincount(text, minlength=len(first))[text] > 1
+    groups = np.split(np.arange(len(begins)), np.flatnonzero(np.diff(begins // SPAN)) + 1)
+    held: dict[int, np.ndarray] = {}
+
+    def of_group(g: int, blocks: np.ndarray) -> np.ndarray:
+        low, high = int(begins[blocks[0]]), int(ends[blocks[-1]])
+        if g not in held:
+            held.clear()
+            held[g] = whole[low:high] if whole is not None else scores(low, high)
+        return held[g]
+
+    before, after = np.full(len(begins), -1), np.full(len(begins), -1)  # labels at the borders of blocks; -1: any
+    if many.any():
+        products = np.zeros((len(begins), langs, langs), np.float32)
+        start = np.where(np.eye(langs, dtype=bool), 0.0, -np.inf)
+        for g, blocks in enumerate(groups):
+            some = blocks[many[blocks]]
+            if len(some):
+                some = some[np.argsort(begins[some] - ends[some], kind="stable")]
+                own, at = of_group(g, blocks), np.repeat(begins[some] - begins[blocks[0]], langs)
+                products[some] = advanced(own, at, np.repeat(ends[some] - begins[some], langs), np.tile(start, (len(some), 1)), penalty, False)[0].reshape(len(some), langs, langs)
+        for t in np.unique(text[many]).tolist():
+            blocks = np.flatnonzero(text == t)
+            value, came = np.zeros(langs), []
+            for block in blocks.tolist():
+                through = value[:, None] + products[block]
+                came.append(through.argmax(axis=0))
+                value = through.max(axis=0)
+            label = int(value.argmax())
+            for block, back in zip(blocks[::-1].tolist(), came[::-1], strict=True):
+                after[block] = label
+                label = int(back[label])
+                before[block] = label
+            before[blocks[0]] = -1
+    for g, blocks in enumerate(groups):
+        some = blocks[np.argsort(begins[blocks] - ends[blocks], kind="stable")]
+        own, at, sizes = of_group(g, blocks), begins[some] - begins[blocks[0]], ends[some] - begins[some]
+        start = np.where((before[some] < 0)[:, None] | (before[some][:, None] == np.arange(langs)), 0.0, -np.inf)
+        final, stays, came = advanced(own, at, sizes, start, penalty, True)
+        label = np.where(after[some] >= 0, after[some], final.argmax(axis=1)).astype(np.int16)
+        for step in range(int(sizes[0]) - 1, -1, -1):
+            n = int(np.searchsorted(-sizes, -step, side="left"))
+            word = at[:n] + step
+            path[begins[blocks[0]] + word] = label[:n]
+            label[:n] = np.where(stays[word, label[:n]], label[:n], came[word])
     return path
 
 
@@ -168,7 +229,7 @@ def label_texts(texts: pa.Array, model: dict, penalty: float) -> tuple[list, np.
     n = len(words)
     if not langs or not len(words.starts):
         return ["und"] * n, np.zeros(n), [[] for _ in range(n)]
-    path = viterbi(word_scores(words, model), words.first, penalty)
+    path = viterbi(lambda a, b: word_scores(words, model, a, b), words.first, penalty, langs)
     weight = np.add.reduceat(letter_bytes()[words.data].astype(np.int64), words.starts)
     text = words.text_of_word()
     totals = np.bincount(text * langs + path, weights=weight, minlength=n * langs).reshape(n, langs)

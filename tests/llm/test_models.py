@@ -104,6 +104,38 @@ def test_viterbi_equals_brute_force():
         assert tuple(path[a:b]) == best
 
 
+def test_blocks_join_to_the_best_path(monkeypatch):
+    from colloquy.llm import langid
+
+    r = np.random.default_rng(5)
+    sizes = [700, 1, 0, 3, 64, 65, 333]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    scores = (r.normal(size=(int(first[-1]), 4)) * r.choice([0.2, 1.0, 3.0], size=(int(first[-1]), 1))).astype(np.float32)
+    value = lambda path: sum(scores[i, path[i]] - (1.3 if i not in first and path[i] != path[i - 1] else 0.0) for i in range(len(path)))
+    whole = viterbi(scores, first, 1.3)
+    for steps, span in ((64, 100), (7, 50), (1, 10), (10_000, 1 << 18)):
+        monkeypatch.setattr(langid, "STEPS", steps)
+        monkeypatch.setattr(langid, "SPAN", span)
+        asked = []
+        path = viterbi(lambda a, b: asked.append(b - a) or scores[a:b], first, 1.3, 4)
+        assert path.tolist() == whole.tolist() and abs(value(path) - value(whole)) < 1e-3
+        assert max(asked) <= max(span + steps, 0) or steps > span
+
+
+def test_a_text_of_four_million_words():
+    import time
+
+    from colloquy.llm.langid import count_grams, fit_languages, label_texts
+
+    names, said = ["en", "fr"], ["the house and the river ", "la maison du fleuve "]
+    parts = list(count_grams(pa.array(said), names))
+    model = fit_languages(names, np.repeat([0, 1], [len(p[1]) for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
+    text, begun = (said[0] * 1000 + said[1] * 1000) * 444, time.monotonic()
+    lang, score, spans = label_texts(pa.array([text, said[1] * 2000], pa.large_string()), model, 8.0)
+    assert time.monotonic() - begun < 120
+    assert lang == ["en", "fr"] and len(spans[0]) == 888 and spans[0][:2] == [(0, 5000, "en"), (5000, 9000, "fr")]
+
+
 def test_language_spans(spark):
     en, ru, fr = "the house and the river with all of them", "москва и река дом у воды", "la maison et le fleuve avec toutes les choses"
     train = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([(en, "en"), (ru, "ru"), (fr, "fr")] * 5)] + [(99, en, None)], "doc_id long, text string, lang string")
