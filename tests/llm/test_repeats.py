@@ -4,8 +4,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from colloquy.llm import suffixes
 from colloquy.llm.anchors import anchors_of
+from colloquy.llm import lines as lines_module
 from colloquy.llm.lines import alike, buckets, dedup_lines, first_pairs, line_decisions, other_pairs, with_features
 from colloquy.llm.neardup import near_duplicates
 from colloquy.llm.substrings import substring_dedup
@@ -181,7 +183,9 @@ def test_short_lines_meet_by_trigrams(spark, docs):
     assert [r.n_removed for r in line_decisions(docs(texts)).orderBy("doc_id").collect()] == [0, 1, 0, 1, 0]
 
 
-def test_every_two_lines_of_a_bucket_meet(spark, prose):
+@pytest.mark.parametrize("side", [1024, 3])
+def test_every_two_lines_of_a_bucket_meet(spark, prose, side, monkeypatch):
+    monkeypatch.setattr(lines_module, "SIDE", side)
     base = prose(20, 31).split()
     lines = [" ".join(base[:12] + prose(8, 40 + n).split()) for n in range(12)]  # heavy words in common, not alike all
     frame = with_features(spark.createDataFrame([(n, x) for n, x in enumerate(lines)], "nh long, norm string")).selectExpr("nh", "words", "grams", "length(norm) size", "nh label", "1L n")
