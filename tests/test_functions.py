@@ -85,3 +85,11 @@ def test_rounding_equals_python(spark, digits):
     values += [-v for v in values]
     rows = spark.createDataFrame(list(enumerate(values)), "i int, x double").select("i", TM.python_round(F.col("x"), digits).alias("y")).collect()
     assert [r.y for r in sorted(rows, key=lambda r: r.i)] == [round(v, digits) for v in values]
+
+
+def test_session_has_the_settings_that_results_depend_on(spark):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    session = tables.engine_session("test", **{"spark.sql.adaptive.coalescePartitions.enabled": "true"})
+    assert session.conf.get("spark.sql.session.timeZone") == "UTC" and session.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert tables.is_ready(session)
+    session.conf.set("spark.sql.adaptive.enabled", before)
