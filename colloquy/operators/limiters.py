@@ -35,15 +35,27 @@ def window_settle(t: np.ndarray, limit: float, window: float, state: list | None
 
 
 def bucket_settle(t: np.ndarray, burst: float, drain: float, state: list | None) -> tuple[np.ndarray, list]:
-    """The same for a bucket that drains; state: the last allowed time, and the excess then (thousandths of a hit)."""
+    """The same for a bucket that drains; state: the last allowed time, and the excess then (thousandths of a hit).
+
+    A refused hit changes nothing, so from one the next allowed hit is sought in growing steps.
+    """
     last, excess = state if state else (None, 0.0)
-    allowed = []
-    for now in t.tolist():
-        more = 0.0 if last is None else max(excess - drain * (now - last) + 1000.0, 0.0)
-        allowed.append(ok := more <= burst * 1000.0)
-        if ok:
-            last, excess = now, more
-    return np.array(allowed, bool), [last, excess]
+    allowed, times, full = np.zeros(len(t), bool), t.tolist(), burst * 1000.0
+    at = 0
+    while at < len(times):
+        more = 0.0 if last is None else max(excess - drain * (times[at] - last) + 1000.0, 0.0)
+        if more <= full:
+            allowed[at] = True
+            last, excess, at = times[at], more, at + 1
+            continue
+        at, step = at + 1, 64
+        while at < len(times):
+            free = excess - drain * (t[at : at + step] - last) + 1000.0 <= full
+            if free.any():
+                at += int(free.argmax())
+                break
+            at, step = at + len(free), 2 * step
+    return allowed, [last, excess]
 
 
 def settled(hits: DataFrame, keys: list[str], settle: Settle, tie: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import os
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from colloquy.operators import limiters
 from colloquy.streaming.limiter import first_hit_stream
@@ -39,6 +40,21 @@ def test_leaky_bucket(spark):
     assert got == [True] * 21 + [False, False] + [True]
 
 
+@pytest.mark.parametrize("drain,burst", [(0.5, 20), (0.37, 3), (0.01, 0)])
+def test_bucket_equals_one_hit_at_a_time(drain, burst):
+    r = np.random.default_rng(burst)
+    t = np.cumsum(r.choice([0, 1, 5, 40, 3000, 90_000], size=4000, p=[0.5, 0.2, 0.2, 0.07, 0.02, 0.01]))
+    want, last, excess = [], None, 0.0
+    for now in t.tolist():
+        more = 0.0 if last is None else max(excess - drain * (now - last) + 1000.0, 0.0)
+        want.append(more <= burst * 1000.0)
+        if want[-1]:
+            last, excess = now, more
+    first, state = limiters.bucket_settle(t[:1700], burst, drain, None)
+    rest, end = limiters.bucket_settle(t[1700:], burst, drain, state)
+    assert [*first, *rest] == want and end == [last, excess] and 0 < sum(want) < len(want)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet").orderBy("ts")
     rows = events.toPandas()
