@@ -67,11 +67,17 @@ def bucket_of(fingerprint: np.ndarray, n: int) -> np.ndarray:
     return (fingerprint & np.uint64(n - 1)).astype(np.int64)
 
 
-def count_task(k: int, span: int, n: int):
-    """Partial counts of the suffixes in each bucket of prefixes, at each depth (bucket: depth * n + bucket)."""
+def count_task(k: int, span: int, n: int, share: float):
+    """Partial counts of the suffixes in each bucket of prefixes, at each depth (bucket: depth * n + bucket).
+
+    Buckets that hold less than a share of what is counted at a time are left out, so that not every task tells of
+    every bucket; over all of the input a bucket's count is too low by at most that share of all suffixes.
+    """
 
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
-        bucket, often = np.unique(np.concatenate(parts), return_counts=True)
+        whole = np.concatenate(parts)
+        bucket, often = np.unique(whole, return_counts=True)
+        bucket, often = (x[often >= share * len(whole)] for x in (bucket, often))
         return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(often.astype(np.int64))], names=["bucket", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +141,15 @@ def suffix_task(held, k: int, span: int, n: int, leaves: int):
     return run
 
 
-def grouped_suffixes(texts: DataFrame, k: int, span: int, n: int) -> DataFrame:
-    """The suffixes with their groups. Only hot buckets are told to the tasks; more of them than HOT_BYTES has room for are joined."""
-    counts = texts.select("text", "live").mapInArrow(count_task(k, span, n), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+def grouped_suffixes(texts: DataFrame, k: int, span: int, words: int, n: int) -> DataFrame:
+    """The suffixes with their groups. Only hot buckets are told to the tasks; more of them than HOT_BYTES has room for are joined.
+
+    Counts may be too low by a quarter of LEAVES, which is added to them: groups keep their bound, and what repeats
+    does not depend on how suffixes are grouped.
+    """
+    lost = LEAVES // 4
+    task = count_task(k, span, n, lost / max(4 * words, 1))
+    counts = texts.select("text", "live").mapInArrow(task, "bucket long, n long").groupBy("bucket").agg((F.sum("n") + lost).alias("n"))
     hot = written(counts.where(F.col("n") > LEAVES), "hot")
     columns = texts.select("doc", "text", "copies", "live")
     if 16 * hot.count() <= HOT_BYTES:
@@ -232,7 +244,7 @@ def substring_dedup(docs: DataFrame, span: int = 35, id_col: str = "doc_id", tex
     rows, contents, texts = live_anchors(docs, k, span, True, id_col, text_col)
     words = rows.agg(F.sum("n_words")).first()[0] or 0
     n = 1 << min(32, int(np.ceil(np.log2(max(words * SPREAD / LEAVES, 1 << 12)))))
-    suffixes = grouped_suffixes(texts, k, span, n)
+    suffixes = grouped_suffixes(texts, k, span, words, n)
     nodes = suffixes.repartition("group").sortWithinPartitions("group", *LABEL).mapInArrow(tree_task, NODES)
     nodes = written(nodes, "nodes")
     edges = nodes.where("edge").groupBy(*LABEL).agg(F.sum("leaves").alias("leaves"), F.min("doc").alias("doc"), F.min("pos").alias("pos")).where("leaves = 1")
