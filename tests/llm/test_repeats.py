@@ -8,7 +8,7 @@ import pytest
 from colloquy.llm import suffixes
 from colloquy.llm.anchors import anchors_of
 from colloquy.llm import lines as lines_module
-from colloquy.llm.lines import alike, buckets, dedup_lines, first_pairs, line_decisions, other_pairs, with_features
+from colloquy.llm.lines import alike, bucket_keys, dedup_lines, first_pairs, line_decisions, other_pairs, with_blocks, with_features
 from colloquy.llm.neardup import near_duplicates
 from colloquy.llm.substrings import substring_dedup
 from colloquy.llm.suffixes import repeated_runs
@@ -187,18 +187,67 @@ def test_short_lines_meet_by_trigrams(spark, docs):
 def test_every_two_lines_of_a_bucket_meet(spark, prose, side, monkeypatch):
     monkeypatch.setattr(lines_module, "SIDE", side)
     base = prose(20, 31).split()
-    lines = [" ".join(base[:12] + prose(8, 40 + n).split()) for n in range(12)]  # heavy words in common, not alike all
-    frame = with_features(spark.createDataFrame([(n, x) for n, x in enumerate(lines)], "nh long, norm string")).selectExpr("nh", "words", "grams", "length(norm) size", "nh label", "1L n")
-    rows = {r.nh: r for r in frame.collect()}
-    keys = {}
-    for r in buckets(frame).collect():
-        keys.setdefault(r.key, set()).add(r.nh)
-    able = {n for s in keys.values() if len(s) > 2 for n in s}
-    want = {(a, b) for a in able for b in able if a < b and abs(rows[a]["size"] - rows[b]["size"]) <= int(0.2 * max(rows[a]["size"], rows[b]["size"]) + 1e-6) and len(set(rows[a].words) & set(rows[b].words)) >= 4}
-    pairs, members = first_pairs(frame.select("nh", "words", "grams", "n"))
-    got = [tuple(r) for r in other_pairs(members, frame, 0.8).collect()]
-    assert len(want) > 5 and sorted(got) == sorted(want)
-    assert other_pairs(members, frame.withColumn("label", F.lit(1).cast("long")), 0.8).count() == 0
+    lines = [" ".join(base[:12] + prose(8, 40 + n).split()) for n in range(12)]  # words in common, not alike all
+    frame = with_features(spark.createDataFrame([(n, x) for n, x in enumerate(lines)], "nh long, norm string")).selectExpr("nh", "words", "grams", "length(norm) size", "1L n")
+    every_pair_of_a_bucket(with_blocks(frame, "size", "n"))
+
+
+def every_pair_of_a_bucket(blocked):
+    sizes, keys = {r.nh: r.size for r in blocked.collect()}, {}
+    for r in blocked.select("nh", bucket_keys(F.col("blocks")).alias("keys")).collect():
+        for k in r["keys"]:
+            keys.setdefault(k, set()).add(r.nh)
+    want = {(a, b) for s in keys.values() for a in s for b in s if a < b and abs(sizes[a] - sizes[b]) <= int(0.2 * max(sizes[a], sizes[b]) + 1e-6)}
+    pairs, members = first_pairs(blocked, 0.8)
+    got = [tuple(r) for r in other_pairs(members, blocked.selectExpr("*", "nh label"), 0.8).collect()]
+    met = {(r.b, r.a) for r in pairs.collect()}
+    assert len(want) > 5 and len(set(got)) == len(got) and set(got) | met == want
+    assert other_pairs(members, blocked.selectExpr("*", "1L label"), 0.8).count() == 0
+
+
+@pytest.mark.parametrize("side", [1024, 3])
+def test_lines_that_share_two_blocks_only_meet(spark, side, monkeypatch):
+    """Neither is a centre of the bucket, and they have nothing else in common."""
+    monkeypatch.setattr(lines_module, "SIDE", side)
+    rows = [(n, [1, 2, 100 + n, 200 + n], 50, 1) for n in range(9)]
+    every_pair_of_a_bucket(spark.createDataFrame(rows, "nh long, blocks array<int>, size int, n long"))
+
+
+def test_groups_of_lines_are_those_of_brute_force(spark, docs, prose):
+    """Lines of three frequent passages, edited; no group joins others, and those found are 0.95 of them (blocks are a sample)."""
+    r = random.Random(4)
+    lines = []
+    for k in range(3):
+        base = prose(16, 600 + k).split()
+        for _ in range(25):
+            line = list(base)
+            for i in r.sample(range(16), r.randint(0, 6)):
+                line[i] = prose(1, r.randrange(10**6))
+            lines.append(" ".join(line))
+    frame = spark.createDataFrame(list(enumerate(lines)), "n long, x string")
+    near = F.levenshtein("p.x", "q.x") <= F.floor(0.2 * F.greatest(F.length("p.x"), F.length("q.x")) + 1e-6)
+    alike_pairs = frame.alias("p").join(frame.alias("q"), (F.col("p.n") < F.col("q.n")) & near).select("p.n", "q.n").collect()
+    first = list(range(len(lines)))
+    for _ in lines:
+        for a, b in alike_pairs:
+            first[a] = first[b] = min(first[a], first[b])
+    want = {n for n, f in enumerate(first) if f < n}
+    got = {x.doc_id for x in line_decisions(docs(lines)).where("n_removed > 0").collect()}
+    assert len(want) > 20 and got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_changed_characters_do_not_take_blocks(spark, docs, prose):
+    """One character is changed in eight of twenty words."""
+    r, texts = random.Random(9), []
+    for n in range(100):
+        words = prose(20, 70_000 + n).split()
+        other = list(words)
+        for i in r.sample([i for i, w in enumerate(words) if len(w) > 2], 8):
+            k = r.randrange(len(other[i]))
+            other[i] = other[i][:k] + "z" + other[i][k + 1 :]
+        texts += [" ".join(words), " ".join(other)]
+    got = {x.doc_id: x.n_removed for x in line_decisions(docs(texts)).collect()}
+    assert sum(got[2 * n + 1] for n in range(100)) >= 90
 
 
 def test_passages_also_quoted_in_part(prose, monkeypatch):
