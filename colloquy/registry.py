@@ -32,7 +32,7 @@ from .sources.tables import parquet_table as table
 from .sources.tables import readiness as engine_readiness
 from .streaming.limiter import first_hit_expiring
 from .streaming.replies import persisted_stream
-from .streaming.state import replayed, run_to_end
+from .streaming.state import SLOTS, replayed, run_to_end
 
 DAY = 86_400
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,7 +236,7 @@ def persisted_turns_streamed(spark, d):
     """The event streams of all conversations at once: what comes with odd numbers, then the rest, the last events first."""
     events = asked_and_events(spark, d)[2]
     late = F.col("seq") % 2 == 0
-    return replayed([events.where(~late), events.where(late).orderBy(F.desc("seq"))], persisted_stream)
+    return replayed([events.where(~late), events.where(late).orderBy(F.desc("seq"))], lambda e: persisted_stream(e, slots=SLOTS))
 
 
 @query("select doc_id, coalesce(substr(text, 1, 80), 'Untitled conversation') as title, length(text) between 1 and 4000 as length_ok, strlen(text) <= 16384 as body_ok from documents")
@@ -351,7 +351,7 @@ def limiter_first_hit_streamed(spark, d):
     third = F.least(F.floor((F.unix_seconds("ts") - F.lit(1_704_067_200)) / (10 * DAY)), F.lit(2))
     end = events.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("string").alias("event_type"), F.lit(-1).cast("long").alias("user_id"), F.expr("ts + interval 400 days").alias("ts"), F.lit(-1).cast("long").alias("event_id"))
     arriving = [events.where(third <= 0), events.where(third == 1), events.where(third == 2), end]
-    return replayed(arriving, lambda hits: first_hit_expiring(hits, HIT_KEYS, 3, DAY, 11 * DAY)).drop("ts")
+    return replayed(arriving, lambda hits: first_hit_expiring(hits, HIT_KEYS, 3, DAY, 11 * DAY, slots=SLOTS)).drop("ts")
 
 
 #: The limits of the routes and of the users, by place.

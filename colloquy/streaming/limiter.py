@@ -6,21 +6,25 @@
 come in any order within ``delay`` seconds and are decided as in a batch; a hit that comes after the
 watermark has passed it is late and dropped, it neither counts nor gets a row. A key's state is its open
 window and its waiting hits. It goes with a timer at the window's end, so state holds only keys with a hit
-in about the last ``window + delay`` seconds of the stream.
+in about the last ``window + delay`` seconds of the stream. With ``slots`` the keys are dealt by hash to so
+many groups: a group's state holds the same of its keys, and is read and written once a micro-batch instead of
+once a key, which is what most of the time goes to where keys have few hits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues, ValueState
 
 from ..operators.limiters import window_settle
+from .state import key_text, keys_of
 
 OPEN = "opened long, used long, times array<long>, ties array<long>"
 
@@ -91,10 +95,66 @@ class ExpiringWindows(StatefulProcessor):
         pass
 
 
-def first_hit_expiring(hits: DataFrame, keys: list[str], limit: int, window_seconds: int, delay_seconds: int, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+class SlottedWindows(StatefulProcessor):
+    """``ExpiringWindows`` of all keys (texts) of a slot."""
+
+    def __init__(self, limit: int, span: int, tie: str) -> None:
+        self.limit, self.span, self.tie = limit, span, tie
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "keys array<string>, opened array<long>, used array<long>")
+        self.waiting = handle.getValueState("waiting", "keys array<string>, times array<long>, ties array<long>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        keys, times, ties = (list(x) for x in self.waiting.get()) if self.waiting.exists() else ([], [], [])
+        for pdf in rows:
+            keys += pdf["key"].tolist()
+            times += pdf["micros"].tolist()
+            ties += pdf[self.tie].tolist()
+        self.waiting.update((keys, times, ties))
+        self.handle.registerTimer(min(times) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        windows = {k: (o, u) for k, o, u in zip(*self.open.get(), strict=True)} if self.open.exists() else {}
+        hits = sorted(zip(*self.waiting.get(), strict=True)) if self.waiting.exists() else []
+        due = [h for h in hits if h[1] < passed]
+        wait = [h for h in hits if h[1] >= passed]
+        allowed: list[bool] = []
+        for k, own in groupby(due, key=lambda h: h[0]):
+            settled, windows[k] = window_settle(np.array([h[1] for h in own], np.int64), self.limit, self.span, list(windows[k]) if k in windows else None)
+            allowed += settled.tolist()
+        windows = {k: (int(o), int(u)) for k, (o, u) in windows.items() if o + self.span >= passed}
+        self.put(self.open, [(k, *w) for k, w in windows.items()])
+        self.put(self.waiting, wait)
+        later = [h[1] for h in wait] + [o + self.span for o, _ in windows.values()]
+        if later:
+            self.handle.registerTimer(min(later) // 1000 + 1)
+        if due:
+            yield pd.DataFrame({"key": [h[0] for h in due], "micros": [h[1] for h in due], self.tie: [h[2] for h in due], "allowed": allowed})
+
+    @staticmethod
+    def put(state: ValueState, rows: list[tuple]) -> None:
+        if rows:
+            state.update(tuple(list(x) for x in zip(*rows, strict=True)))
+        elif state.exists():
+            state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def first_hit_expiring(hits: DataFrame, keys: list[str], limit: int, window_seconds: int, delay_seconds: int, ts: str = "ts", tie: str = "event_id", slots: int | None = None) -> DataFrame:
     """hits with allowed, each once the watermark (the latest time seen less delay_seconds) has passed it."""
     at = F.col(ts).cast("timestamp")
     rows = hits.select(*keys, at.alias("event_time"), F.unix_micros(at).alias("micros"), F.col(tie).cast("long").alias(tie)).withWatermark("event_time", f"{delay_seconds} seconds")
+    if slots:
+        dealt = rows.select(key_text(keys).alias("key"), "event_time", "micros", tie).withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(slots)))
+        settled = SlottedWindows(limit, window_seconds * 1_000_000, tie)
+        done = dealt.groupBy("slot").transformWithStateInPandas(settled, f"key string, micros long, `{tie}` long, allowed boolean", "Append", "EventTime")
+        return done.select(*keys_of(rows, keys, "key"), F.timestamp_micros("micros").alias(ts), tie, "allowed")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "micros", tie]) + ", allowed boolean"
     windows = ExpiringWindows(keys, limit, window_seconds * 1_000_000, tie)

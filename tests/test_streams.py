@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime, timedelta
 
 from colloquy.operators import limiters, replies
@@ -57,6 +58,22 @@ def test_restart_gives_each_row_once_and_state_is_bounded(spark, tmp_path):
     assert kept.count() <= 41  # of 200 keys
 
 
+def test_keys_in_slots_are_decided_alike(spark, tmp_path):
+    """Null keys and late hits too; the state of the slots empties; a slot is called once a micro-batch, however many keys it has."""
+    r = random.Random(6)
+    parts = [[(r.choice(["a", "b", 'c"', None, "é"]), r.randint(200 * n, 200 * n + 230), 100 * n + i) for i in range(100)] for n in range(4)]
+    frames = [*(at(spark, p) for p in parts), end(spark, 5000), end(spark, 10**6)]
+    slotted = lambda slots: lambda hits: first_hit_expiring(hits, ["who"], 2, 60, 45, slots=slots)
+    want = {(x.who, x.event_id, x.ts, x.allowed) for x in replayed(frames, limited(45)).collect()}
+    for slots in (1, 3):
+        assert {(x.who, x.event_id, x.ts, x.allowed) for x in replayed(frames, slotted(slots)).collect()} == want and len(want) > 300
+    for n, frame in enumerate(frames):
+        frame.write.mode("append").parquet(f"{tmp_path}/in")
+        run_to_end(slotted(2)(spark.readStream.schema(HITS).parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert outcome(spark.read.parquet(f"{tmp_path}/out")).keys() == {w[1] for w in want}
+    assert spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "open").load().count() <= 1
+
+
 def test_state_holds_recent_keys_only(spark, tmp_path):
     folder = str(tmp_path)
     for n in range(2):
@@ -84,6 +101,7 @@ def test_interleaved_and_interrupted_replies(spark):
     parts = [[one[0], two[0], one[2], three[0]], [one[4], two[1], three[1], one[1], one[1]], [two[2], one[3], three[2], four[1]], [four[0]]]
     want = [(1, "assistant", "Mock reply: é"), (1, "user", "hi é"), (2, "user", "yo"), (3, "user", "left"), (4, "assistant", ""), (4, "user", "none")]
     assert stored(spark, parts) == want
+    assert stored(spark, parts, slots=1) == want and stored(spark, parts, slots=2) == want
     requests = spark.createDataFrame([(1, "hi é"), (2, "yo"), (3, "left"), (4, "none")], "conv_id long, user_message string")
     events = spark.createDataFrame(one + two + three + four, "conv_id long, seq long, event string, data string")
     chunks = events.where("event = 'chunk'").selectExpr("conv_id", "seq", "from_json(data, 'content string').content as chunk")
