@@ -22,7 +22,8 @@ from .operators import buckets, limiters, relations, replies, versions
 from .plans.errors import CODES, error_codes
 from .plans.limits import limit_table
 from .sources import deltas
-from .sources.database import database_table, jdbc_options
+from .sources.database import database_file_table
+from .sources.files import store
 from .sources.logs import log_line
 from .sources.requests import CHAT, credential_requests, said_faults, typed
 from .sources.requests import refresh_requests as parse_refresh_requests
@@ -693,12 +694,12 @@ def json_documents(spark, d):
 
 @query("select c_custkey as user_id, c_nationkey % 3 // 2 * (c_custkey % 40) as team, c_name as email from customer")
 def database_read(spark, d):
-    """Users stored in an embedded database (of this process) and read back in parts; two thirds are of one team."""
+    """Users stored in an embedded database (a file of the shared folder) and read back in parts; two thirds are of one team."""
     team = F.floor(F.col("c_nationkey") % 3 / 2) * (F.col("c_custkey") % 40)
-    url = f"jdbc:derby:memory:users{uuid.uuid4().hex};create=true"
-    stored = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), team.cast("int").alias("team"), F.col("c_name").alias("email"))
-    stored.coalesce(1).write.jdbc(url, "people", properties=jdbc_options(url) | {"createTableColumnTypes": "email VARCHAR(320)"})
-    return database_table(spark, url, "people", ["\"team\"", "\"user_id\""], rows=200).select("user_id", F.col("team").cast("long").alias("team"), "email")
+    stored = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("user_id"), team.cast("long").alias("team"), F.col("c_name").alias("email"))
+    address = f"{shared_folder(spark).rstrip('/')}/users-{uuid.uuid4().hex}.db"
+    store(stored, address, "people", ["team", "user_id"])
+    return database_file_table(spark, address, "people", stored.schema, ["team", "user_id"], rows=200)
 
 
 @query("select page_id, contains(url, 'example') as mentioned, starts_with(url, 'https://') as secure, regexp_replace(url, '/+$', '') as bare from pages")

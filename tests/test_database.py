@@ -2,6 +2,7 @@ import uuid
 
 import pytest
 from colloquy.sources import database as D
+from colloquy.sources.files import store
 from colloquy.sources.schemas import USERS
 
 
@@ -69,3 +70,25 @@ def test_schema_of_a_stored_table(spark):
     rows = [("1", "a@b.org", "h", True, False, True, datetime(2026, 1, 2))]
     spark.createDataFrame(rows, USERS).write.jdbc(url, "users", properties=D.jdbc_options(url))
     assert [tuple(r) for r in D.database_table(spark, url, "users").collect()] == rows
+
+
+def test_files_are_read_in_parts_by_processes_of_their_own(spark, tmp_path):
+    """The database is no one's memory: Python workers, as on any executor, read what another task stored."""
+    rows = [(7 if i % 2 else None if i % 40 == 0 else i, i, f"é'{i}" if i % 9 else None) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "k long, id long, name string")
+    address = f"file://{tmp_path}/a b.db"
+    store(frame, address, "items", ["k", "id"])
+    got = D.database_file_table(spark, address, "items", frame.schema, ["k", "id"], rows=100)
+    sizes = [len(p) for p in got.rdd.glom().collect()]
+    assert sum(sizes) == 3000 and min(sizes) >= 1 and max(sizes) <= 100 and len(sizes) <= 75
+    assert {tuple(r) for r in got.collect()} == set(rows)
+    store(frame.limit(0), f"{address}2", "items", ["k", "id"])
+    assert D.database_file_table(spark, f"{address}2", "items", frame.schema, ["k", "id"]).count() == 0
+
+
+def test_query_does_not_use_memory_of_the_driver(spark):
+    from colloquy import registry
+    from compare import SF
+
+    plan = registry.queries()["database_read"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "JDBC" not in plan
