@@ -6,6 +6,7 @@ import queue
 import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -195,16 +196,22 @@ def attempts_of(speak: Speak, messages: list, streamed: bool, max_retries: int,
         number += 1
 
 
-def plugged(speak: Speak, seconds: float | None = None) -> Provider:
+def plugged(speak: Speak, seconds: float | None = None, at_once: int = 1) -> Provider:
     """A provider by a Python function: the chunks of a reply, from the turns of a conversation (dicts of
     role and content) and the number of the attempt. Each attempt that is made becomes a row; ``seconds``
-    is the time that one attempt may take."""
+    is the time that one attempt may take, ``at_once`` how many requests of a task are open at a time (one
+    that is waited for holds up no others; ``speak`` is called from as many threads)."""
 
     def attempts(histories: DataFrame, streamed: bool, max_retries: int, key: str) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                rows = [(k, *made) for k, messages in zip(pdf[key], pdf["messages"], strict=True) for made in attempts_of(speak, messages, streamed, max_retries, seconds)]
-                yield pd.DataFrame(rows, columns=[key, "attempt", "code", "chunks"])
+            def tried(messages: list) -> list[tuple[int, str | None, list[str]]]:
+                return list(attempts_of(speak, messages if messages is not None else [], streamed, max_retries, seconds))
+
+            with ThreadPoolExecutor(at_once) as pool:
+                for pdf in batches:
+                    outcomes = pool.map(tried, pdf["messages"])
+                    rows = [(k, *made) for k, attempts in zip(pdf[key], outcomes, strict=True) for made in attempts]
+                    yield pd.DataFrame(rows, columns=[key, "attempt", "code", "chunks"])
 
         kind = histories.schema[key].dataType.simpleString()
         return histories.select(key, "messages").mapInPandas(run, f"`{key}` {kind}, {ATTEMPT}")

@@ -28,7 +28,7 @@ from .sources.logs import log_line
 from .sources.requests import CHAT, credential_requests, said_faults, typed
 from .sources.requests import refresh_requests as parse_refresh_requests
 from .sources.requests import within_body_limit
-from .sources.shared import shared_folder
+from .sources.shared import shared_folder, written
 from .sources.tables import parquet_table as table
 from .sources.tables import readiness as engine_readiness
 from .streaming.limiter import first_hit_expiring
@@ -741,7 +741,7 @@ def reply_table_function(spark, d):
 
 @query(SPOKEN_SQL.format(late="late"))
 def provider_deadline(spark, d):
-    """A plug-in that hangs after its first chunk, on replies whose length divides by 20; an attempt may take two seconds."""
+    """A plug-in that hangs after its first chunk, on replies whose length divides by 20; an attempt may take two seconds, and 32 of a task are open at a time."""
 
     def hanging(turns, attempt):
         reply = "".join(replies.mock_chunks(turns, attempt))
@@ -750,7 +750,9 @@ def provider_deadline(spark, d):
                 threading.Event().wait(60)
             yield chunk
 
-    return replies.spoken(asked_histories(spark, d).repartition(16, "conv_id"), replies.reply_function(hanging, seconds=2.0))
+    # the attempts are used twice, so they are written: made again they would wait again
+    made = replies.plugged(hanging, seconds=2.0, at_once=32)
+    return replies.provider_chunks(asked_histories(spark, d).repartition(64, "conv_id"), lambda *asked: written(made(*asked), "attempts"))
 
 
 def queries() -> dict[str, Query]:

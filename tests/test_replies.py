@@ -160,3 +160,22 @@ def test_attempt_that_hangs_is_abandoned(spark):
     assert [rows[i].error for i in range(6)] == [None, None, "provider_timeout", "provider_timeout", None, None]
     assert rows[4].reply == "ab" and rows[2].attempts == 1
     assert replies.attempted(speak, [{"role": "user", "content": "xx"}], 0, 0.3) == ("provider_timeout", ["a"])
+
+
+def test_requests_that_are_waited_for_hold_up_no_others(spark):
+    """40 of 60 requests of one task hang; one after the other they would take 40 seconds and more."""
+    import time
+
+    def hanging(turns, attempt):
+        yield "a"
+        if int(turns[0]["content"]) % 3:
+            time.sleep(20)
+        yield "b"
+
+    rows = [(n, [("user", str(n))]) for n in range(60)]
+    histories = spark.createDataFrame(rows, "conv_id long, messages array<struct<role:string,content:string>>").coalesce(1)
+    begin = time.monotonic()
+    made = replies.plugged(hanging, seconds=1.0, at_once=32)(histories, True, 1, "conv_id").collect()
+    assert time.monotonic() - begin < 30
+    want = {n: (0, "provider_timeout", ["a"]) if n % 3 else (0, None, ["a", "b"]) for n in range(60)}
+    assert {r.conv_id: (r.attempt, r.code, r.chunks) for r in made} == want
