@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import written
+from .tables import may_be_among, written
 from .words import U, Words, ints, mix, slices, span_hashes
 
 SHINGLE = 5
@@ -217,7 +217,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 26, ro
     # of each content that shares a bucket, one row's text
     stands = some.groupBy("c1").agg(F.min("id").alias("id"), F.max("size").alias("size")).join(member.select("c1").distinct(), "c1", "left_semi")
     stands = written(some.select("c1", "id", "th").join(stands, ["c1", "id"]).groupBy("c1", "id", "size").agg(F.min("th").alias("th")), "stands")
-    texts = keyed.join(stands.select("id", "th", "c1"), ["id", "th"]).dropDuplicates(["c1"])
+    # texts that stand for none are not shuffled
+    texts = may_be_among(keyed, "th", stands, "stands").where("stands").drop("stands")
+    texts = texts.join(stands.select("id", "th", "c1"), ["id", "th"]).dropDuplicates(["c1"])
     sets = written(texts.select("c1", "text").mapInArrow(set_task, "c1 long, shingles binary"), "sets")
 
     def verified(units: DataFrame, task, *order) -> DataFrame:
