@@ -301,3 +301,46 @@ def test_subtrees_whatever_the_groups(spark, docs, prose, monkeypatch):
     lcp = substrings.shared_depths(group, k1, k2)
     assert lcp.tolist() == [-1, 4, 3, 0, 1, -1]
     assert [x.tolist() for x in substrings.nodes_at(lcp, 3)] == [[0, 3, 4, 5], [3, 4, 5, 6]]
+
+
+def quoting(prose, n=150):
+    """Lines of one passage between words of their own, most of them not alike."""
+    passage = prose(30, 8_000)
+    return [prose(12, 8_100 + i) + " " + passage + " " + prose(12, 8_500 + i) for i in range(n)]
+
+
+def test_lines_that_quote_a_passage_are_not_all_paired(spark, prose):
+    """Their rarest words are their own, so they meet in few buckets."""
+    lines = quoting(prose)
+    own = [w for line in lines for w in line.split()[:12] + line.split()[-12:]]
+    lines += [f"{a} {b} {c} {d}" for a, b, c, d in zip(own[::4], own[1::4], own[2::4], own[3::4], strict=True)]  # no word is of one line alone
+    frame = with_features(spark.createDataFrame(list(enumerate(lines)), "nh long, norm string")).selectExpr("nh", "words", "grams", "length(norm) size", "1L n")
+    blocked = with_blocks(frame, "size", "n")
+    _, members = first_pairs(blocked, 0.8)
+    assert other_pairs(members, blocked.selectExpr("*", "nh label"), 0.8).where("a < 150 and b < 150").count() < 1500
+
+
+def test_lines_little_more_than_a_passage_are_found(spark, docs, prose):
+    """Two words of each line are its own, and another line has them."""
+    passage, lines = prose(60, 9_000), []
+    for i in range(60):
+        a, b = prose(1, 9_100 + i) + "xyzzy%d" % i, prose(1, 9_300 + i) + "plugh%d" % i
+        lines += [f"{a} {passage} {b}", f"{a} {b} " + prose(6, 9_500 + i)]
+    got = {r.doc_id: r.n_removed for r in line_decisions(docs(lines)).collect()}
+    assert sum(got[2 * i] for i in range(60)) == 59
+
+
+def test_texts_without_a_partner_are_not_shuffled(spark, docs, prose, monkeypatch):
+    from colloquy.llm.tables import may_be_among
+
+    frame = spark.range(-500, 500).withColumnRenamed("id", "k")
+    found = spark.range(-500, 500, 7).withColumnRenamed("id", "k").cache()
+    got = {r.k: r.may for r in may_be_among(frame, "k", found, "may").collect()}
+    assert len(got) == 1000 and all(got[k] for k in range(-500, 500, 7)) and sum(got.values()) < 160
+    assert may_be_among(frame, "k", found.limit(0), "may").where("may").count() == 0
+    texts = [prose(20, 1), prose(20, 2) + "\n" + prose(20, 1), None, "", prose(30, 3)]
+    want = [texts[0], prose(20, 2), None, "", texts[4]]
+    for room in (lines_module.BROADCAST_BYTES, 0):  # lines fetched by a broadcast, and by a shuffle
+        monkeypatch.setattr(lines_module, "BROADCAST_BYTES", room)
+        assert [r.text for r in dedup_lines(docs(texts)).orderBy("doc_id").collect()] == want
+        assert {r.doc_id: r.n_removed for r in line_decisions(docs([prose(40, 5), prose(39, 5) + " changed"])).collect()} == {0: 0, 1: 1}
