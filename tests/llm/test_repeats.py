@@ -344,3 +344,33 @@ def test_texts_without_a_partner_are_not_shuffled(spark, docs, prose, monkeypatc
         monkeypatch.setattr(lines_module, "BROADCAST_BYTES", room)
         assert [r.text for r in dedup_lines(docs(texts)).orderBy("doc_id").collect()] == want
         assert {r.doc_id: r.n_removed for r in line_decisions(docs([prose(40, 5), prose(39, 5) + " changed"])).collect()} == {0: 0, 1: 1}
+
+
+def test_blocks_whichever_features_are_common(spark, prose, monkeypatch):
+    """Common features are broadcast and rare ones shuffled; the blocks are the same."""
+    lines = [prose(12, n // 2) + " " + prose(6, 300) for n in range(40)]
+    frame = with_features(spark.createDataFrame(list(enumerate(lines)), "nh long, norm string")).selectExpr("nh", "words", "grams", "length(norm) size", "1L n")
+    found = []
+    for often, common in ((64, 1 << 17), (3, 1 << 17), (1, 1), (1, 1 << 17)):
+        monkeypatch.setattr(lines_module, "OFTEN", often)
+        monkeypatch.setattr(lines_module, "COMMON", common)
+        found.append(sorted((r.nh, r.blocks, r.quoted, r["size"], r.n) for r in with_blocks(frame, "size", "n").collect()))
+    assert len(found[0]) == 40 and all(x == found[0] for x in found)
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    from colloquy.llm import components as module
+
+    tables, write = [], module.written
+    monkeypatch.setattr(module, "written", lambda frame, what: tables.append(what) or write(frame, what))
+    got = {r.node: r.label for r in module.components(spark.createDataFrame([(1, 2), (3, 1), (7, 5), (2, 1), (4, 4)], "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 5: 5, 7: 5} and len(tables) == 1
+    chain = spark.createDataFrame([(n, n + 1) for n in range(30)], "a long, b long")
+    assert {(r.node, r.label) for r in module.components(chain).collect()} == {(n, 0) for n in range(31)}
+
+
+def test_edits_of_aligned_words_bound_the_distance(spark, prose):
+    pairs = [(a + " ", b + " ") for a, b in edited_lines(prose, 40)] + [(prose(8, n) + " ", prose(9, n + 50) + " ") for n in range(40)] + [("a b c ", "n a b c ")]
+    rows = spark.createDataFrame(pairs, "a string, b string").selectExpr("levenshtein(a, b) d", "split(trim(a), ' ') x", "split(trim(b), ' ') y")
+    got = [(r.d, r.most) for r in rows.withColumn("most", lines_module.edits_at_most("x", "y")).collect()]
+    assert all(d <= most for d, most in got) and got[-1] == (2, 2)
