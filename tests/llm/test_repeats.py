@@ -374,3 +374,39 @@ def test_edits_of_aligned_words_bound_the_distance(spark, prose):
     rows = spark.createDataFrame(pairs, "a string, b string").selectExpr("levenshtein(a, b) d", "split(trim(a), ' ') x", "split(trim(b), ' ') y")
     got = [(r.d, r.most) for r in rows.withColumn("most", lines_module.edits_at_most("x", "y")).collect()]
     assert all(d <= most for d, most in got) and got[-1] == (2, 2)
+
+
+def test_edits_of_aligned_words_are_close(spark, prose):
+    """Words that are misspelt, or that also occur elsewhere, do not spoil the bound; over the limit, any number over it."""
+    r = random.Random(9)
+    pairs = []
+    for n in range(40):
+        words = " ".join(w + " the of" for w in prose(14, n).split()).split()
+        other = [w[:-1] + "x" if len(w) > 3 and r.random() < 0.3 else w for w in words]
+        del other[3:5]
+        pairs.append((" ".join(words), " ".join(other)))
+    rows = spark.createDataFrame(pairs, "a string, b string").selectExpr("levenshtein(a, b) d", "split(a, ' ') x", "split(b, ' ') y", "2 few")
+    got = rows.select("d", lines_module.edits_at_most("x", "y").alias("bound"), lines_module.edits_at_most("x", "y", "few").alias("over")).collect()
+    assert all(r.d <= r.bound for r in got) and sum(r.bound for r in got) <= 1.3 * sum(r.d for r in got) and all(r.over > 2 for r in got if r.bound > 2)
+
+
+def test_pairs_are_compared_once_and_few_lines_are_kept(spark, docs, prose, monkeypatch):
+    """The second round leaves out what the first found unlike, and neither all lines nor buckets' keys of one line are written."""
+    rounds, tables, verify, write = [], {}, lines_module.verified, lines_module.written
+
+    def verified(pairs, *args):
+        rounds.append({(max(r.a, r.b), min(r.a, r.b)) for r in pairs.collect()})
+        return verify(pairs, *args)
+
+    def written(frame, what):
+        tables[what] = write(frame, what)
+        return tables[what]
+
+    monkeypatch.setattr(lines_module, "verified", verified)
+    monkeypatch.setattr(lines_module, "written", written)
+    shared = prose(3, 900)
+    texts = [f"{shared} {prose(9, n)}" for n in range(4)] + [prose(12, 50 + n) for n in range(20)]
+    want = [(n, []) for n in range(24)]
+    assert sorted((r.doc_id, r.removed) for r in line_decisions(docs(texts)).collect()) == want
+    assert len(rounds) == 2 and rounds[0] and not rounds[0] & rounds[1] and len(rounds[0] | rounds[1]) == 6
+    assert "lines" not in tables and tables["members"].select("nh").distinct().count() == 4
