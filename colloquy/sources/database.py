@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .files import ask, file_table, quoted
+from .files import file_table
 from .schemas import TABLES
 
 #: Schemes of database addresses, their JDBC names and drivers.
@@ -116,20 +116,9 @@ class Histogram:
         return [Part(f"({p.predicate})", p.rows) for p in out]
 
 
-class FileHistogram(Histogram):
-    """The same of a database in a file."""
-
-    def __init__(self, address: str, table: str, keys: list[str], rows: int) -> None:
-        self.address, self.table, self.keys, self.rows = address, table, keys, rows
-
-    def ask(self, sql: str) -> list[list]:
-        return ask(self.address, sql)
-
-
 def database_file_table(spark: SparkSession, address: str, name: str, schema: T.StructType, keys: list[str], rows: int = ROWS) -> DataFrame:
     """A table of a file that ``files.store`` wrote, read by all executors in parts of at most so many rows."""
-    parts = FileHistogram(address, quoted(name), [quoted(k) for k in keys], rows).parts()
-    return file_table(spark, address, name, schema, [p.predicate for p in parts])
+    return file_table(spark, address, name, schema, keys, rows)
 
 
 def database_table(spark: SparkSession, address: str, name: str, keys: list[str] | None = None, rows: int = ROWS, schema: T.StructType | None = None, **options: str) -> DataFrame:

@@ -1,7 +1,9 @@
 import uuid
+from contextlib import closing
 
 import pytest
 from colloquy.sources import database as D
+from colloquy.sources import files
 from colloquy.sources.files import store
 from colloquy.sources.schemas import USERS
 
@@ -86,6 +88,35 @@ def test_files_are_read_in_parts_by_processes_of_their_own(spark, tmp_path):
     assert D.database_file_table(spark, f"{address}2", "items", frame.schema, ["k", "id"]).count() == 0
 
 
+def test_many_parts_are_few_tasks_and_each_is_one_stretch_of_the_index(spark, tmp_path):
+    """Two thirds are of one value, as in the query: its parts must not search all that value's rows, and tasks must not grow with parts."""
+    rows = [(0 if i % 3 else i % 40, i) for i in range(12_000)] + [(None, i) for i in range(300)] + [(-(2**63), 2**63 - 1), (2**63 - 1, -(2**63)), (5, None)]
+    frame = spark.createDataFrame(rows, "k long, id long")
+    address = f"file://{tmp_path}/many.db"
+    store(frame, address, "items", ["k", "id"])
+    got = D.database_file_table(spark, address, "items", frame.schema, ["k", "id"], rows=10)
+    sizes = [len(p) for p in got.rdd.glom().collect()]
+    assert len(sizes) <= 64 and min(sizes) > 0 and max(sizes) < 400
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, rows))
+    with closing(files.opened(f"{tmp_path}/many.db")) as base:
+        found = list(files.parts(base, "items", ["k", "id"], 10))
+        counts = [base.execute(f"SELECT COUNT(*) FROM items WHERE {p}").fetchone()[0] for p in found]
+        assert sum(counts) == len(rows) and min(counts) > 0 and max(counts) <= 10 and len(counts) < 2 * len(rows) / 10
+        for p in found:
+            [(*_, plan)] = base.execute(f"EXPLAIN QUERY PLAN SELECT * FROM items WHERE {p}").fetchall()
+            assert plan.startswith("SEARCH") and ("id" not in p or "(k=? AND id" in plan)
+
+
+def test_a_store_without_rows_or_with_one_full_value(spark, tmp_path):
+    """A value that no other key cuts stays whole, and neighbours are not lost beside it; nulls alone are read as well."""
+    for n, rows in enumerate([[], [(None, 1)] * 30, [(3, i) for i in range(30)], [(2, 0)] * 3 + [(3, i) for i in range(30)] + [(4, 0)] * 3]):
+        frame = spark.createDataFrame(rows, "k long, id long")
+        address = f"file://{tmp_path}/full{n}.db"
+        store(frame, address, "items", ["k"])
+        got = D.database_file_table(spark, address, "items", frame.schema, ["k"], rows=10)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, rows))
+
+
 def test_query_does_not_use_memory_of_the_driver(spark):
     from colloquy import registry
     from compare import SF
