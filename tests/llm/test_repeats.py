@@ -410,3 +410,12 @@ def test_pairs_are_compared_once_and_few_lines_are_kept(spark, docs, prose, monk
     assert sorted((r.doc_id, r.removed) for r in line_decisions(docs(texts)).collect()) == want
     assert len(rounds) == 2 and rounds[0] and not rounds[0] & rounds[1] and len(rounds[0] | rounds[1]) == 6
     assert "lines" not in tables and tables["members"].select("nh").distinct().count() == 4
+
+
+def test_callers_columns_are_left_as_they_are(spark):
+    from colloquy.llm.tables import may_be_among
+
+    names = ["__slot", "__row", "__bit", "__bits", "__byte"]
+    frame = spark.range(50).selectExpr("id as k", *(f"concat('{c}', id) as `{c}`" for c in names))
+    rows = may_be_among(frame, "k", spark.range(0, 50, 7).withColumnRenamed("id", "k"), "may").collect()
+    assert len(rows) == 50 and all(r[c] == f"{c}{r.k}" for r in rows for c in names) and all(r.may for r in rows if r.k % 7 == 0)
